@@ -17,9 +17,9 @@ FROM d WINDOW g AS (PARTITION BY norm)
 
 OP6 = f"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
 ), wins AS (
   SELECT DISTINCT item_id, n, list_slice(w, k, k + n - 1) AS win
   FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)
@@ -41,4 +41,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN names ON d.doc_id = names.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6}
+#: Base32 of a SHA-1: 8 groups of 5 hexadecimal digits give 4 letters each.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1(payload), {5 * g + 1}, 5) AS INTEGER) >> {15 - 5 * k}) & 31 AS INTEGER), 1)" for g in range(8) for k in range(4)
+)
+
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS low FROM p)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to
+FROM q
+"""
+
+OP2 = """
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS chosen, CAST(coalesce(turn, 2147483647) AS INTEGER) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations
+), by_turn AS (
+  SELECT pair_id, turn, list_sort(list({'r': role, 't': text}) FILTER (WHERE chosen)) AS c, list_sort(list({'r': role, 't': text}) FILTER (WHERE NOT chosen)) AS r
+  FROM t GROUP BY pair_id, turn
+), differ AS (
+  SELECT pair_id, min(turn) AS first FROM by_turn WHERE c IS DISTINCT FROM r GROUP BY pair_id
+), placed AS (
+  SELECT t.*, coalesce(turn < first, true) AS in_prompt FROM t LEFT JOIN differ ON t.pair_id = differ.pair_id
+), shown AS (
+  SELECT *, replace(replace(role, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS r,
+         replace(replace(text, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS x,
+         count(*) FILTER (WHERE in_prompt AND chosen) OVER (PARTITION BY pair_id) AS n_prompt
+  FROM placed
+)
+SELECT pair_id, CASE WHEN in_prompt THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn,
+       '<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10) AS rendered,
+       CASE WHEN role = 'assistant' AND NOT in_prompt THEN CAST(13 + length(r) AS INTEGER) ELSE 0 END AS mask_start,
+       CASE WHEN role = 'assistant' AND NOT in_prompt THEN CAST(23 + length(r) + length(x) AS INTEGER) ELSE 0 END AS mask_stop,
+       n_prompt
+FROM shown WHERE chosen OR NOT in_prompt
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing, pii, simhash, token_counts
-from .common import table
+from . import decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, token_counts, warc
+from .common import scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -17,8 +17,22 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    return warc.read(warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder), folder)
+
+
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen one of pair k, 2k + 1 the rejected one."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return preferences.segments(turns, F.expr("shiftright(conv_id, 1)"), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"))
+    return packed_columns(packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json")))
+
+
+def packed_columns(packed: DataFrame) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
@@ -59,4 +73,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op9_pii, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op9_pii, op10_token_counts)}

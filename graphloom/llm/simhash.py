@@ -265,16 +265,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``row, id, fp, component_id`` for every row; the component is the smallest id reachable by links.
+    """``row, id, fp, component_id, component`` for every row; the id is the smallest reachable by links.
 
     Rows with equal fingerprints are linked, wordless and null texts (0) among
     them. Null ids take part in links and are never the smallest, unless a
-    component has no other; then its component is null.
+    component has no other; then the id is null. ``component`` is a number of the
+    component itself.
     """
     made = stored(fingerprints(docs, id_column, text), "fingerprints")
     points = stored(made.groupBy("fp").agg(F.min("id").alias("low")), "points")
     found = components(links(points.select("fp"), radius))
     named = points.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_point = named.join(least, "component").select("fp", "component_id")
-    return made.join(by_point, "fp").select("row", "id", "fp", "component_id")
+    by_point = named.join(least, "component").select("fp", "component", "component_id")
+    return made.join(by_point, "fp").select("row", "id", "fp", "component_id", "component")
