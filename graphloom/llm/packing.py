@@ -14,8 +14,11 @@ the smallest sufficient gap, else to a new one.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +30,12 @@ from .common import RowNumbers, stored, utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: White-space-free chunks and lower-case words whose ids a Python worker remembers.
-CHUNKS, WORDS = 250_000, 250_000
+#: White-space-free chunks and lower-case words whose ids a Python worker remembers, up to twice as many.
+CHUNKS, WORDS = 250_000, 350_000
+#: Chunks of more characters go to the tokenizer as they are.
+LONG = 64
+#: Bytes of texts that are encoded together.
+TOGETHER = 4 << 20
 #: The tokenizer's own pre-tokens, for characters below U+0250 where both sides agree on letters and numbers.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s]|_)+")
 BEYOND = re.compile("[^\x21-\x7e¡-¬®-ɏ]|<\\|")
@@ -36,50 +43,105 @@ BEYOND = re.compile("[^\x21-\x7e¡-¬®-ɏ]|<\\|")
 
 @functools.lru_cache(2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class ChunkIds(dict):
-    """Ids (little-endian unsigned 32-bit) by white-space-free chunk of UTF-8.
+class Recent:
+    """A mapping that forgets what was not used for ``size`` to twice ``size`` new keys."""
 
-    The tokenizer drops white space and never merges across it, so the ids of
-    a text are those of its chunks in turn.
-    """
+    def __init__(self, size: int) -> None:
+        self.size, self.now, self.before = size, {}, {}
 
-    def __init__(self, path: str) -> None:
-        self.encoder, self.words = _tokenizer(path), {}
+    def turn(self) -> None:
+        if len(self.now) >= self.size:
+            self.now, self.before = {}, self.now
+
+    def missing(self, keys: set) -> list:
+        """Keys that are not known; those that are can be looked up in ``now``."""
+        out = []
+        for k in keys - self.now.keys():
+            value = self.before.get(k)
+            if value is None:
+                out.append(k)
+            else:
+                self.now[k] = value
+        return out
 
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            ids = self.words[word] = self._encoded(word)
-        return ids
+#: The tokenizer's letters for bytes: printable ones stand for themselves, the others follow from U+0100 on.
+LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if len(text) > 64:
-            return self._encoded(text)
-        ids = self._encoded(text) if BEYOND.search(text) else b"".join(map(self._word, PRETOKEN.findall(text.lower())))
-        if len(self) >= CHUNKS:
-            self.clear()
-        self[chunk] = ids
-        return ids
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+def _bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
+class ChunkIds:
+    """Ids (little-endian unsigned 32-bit) of texts, by way of their white-space-free chunks.
+
+    The tokenizer drops white space and never merges across it, so the ids of
+    a text are those of its chunks in turn. A chunk's are those of its
+    pre-tokens; only new ones reach the tokenizer, many in a call.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.encoder, self.chunks, self.words = _tokenizer(path), Recent(CHUNKS), Recent(WORDS)
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        return [_bytes(e.ids) for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Of pre-tokens: only the model is left to apply, on its letters for bytes."""
+        merge = self.encoder.model.tokenize
+        return [_bytes([x.id for x in merge(w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS))]) for w in words]
+
+    def ids(self, given: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in given]
+        self.chunks.turn()
+        self.words.turn()
+        plain, whole = {}, []
+        for chunk in self.chunks.missing(set().union(*split)):
+            text = chunk.decode()
+            if len(text) > LONG or BEYOND.search(text):
+                whole.append(chunk)
+            else:
+                plain[chunk] = PRETOKEN.findall(text.lower())
+        new = self.words.missing(set().union(*plain.values()))
+        self.words.now.update(zip(new, self._merged(new), strict=True))
+        known, word = self.chunks.now, self.words.now.__getitem__
+        for chunk, parts in plain.items():
+            known[chunk] = b"".join(map(word, parts))
+        known.update(zip(whole, self._encoded([c.decode() for c in whole]), strict=True))
+        out = [b"".join(map(known.__getitem__, own)) for own in split]
+        for chunk in whole:
+            if len(chunk) > 4 * LONG:
+                del known[chunk]
+        return out
 
 
 #: ``spot`` is the place among the pieces of this length in this part of the input.
 PIECES = "row long, id long, piece int, start long, length int, ids_crc32 long, part int, spot long"
 
 
+def together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Neighbouring texts, about ``TOGETHER`` bytes at a time."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -87,8 +149,10 @@ def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
         chunks, numbers, seen = ChunkIds(path), RowNumbers(), {}
         for batch in batches:
             out: list[list] = [[] for _ in range(8 + with_ids)]
-            for row, i, text in zip(numbers.take(batch.num_rows), batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = chunks.ids(text) + end
+            texts = utf8(batch.column(1))
+            encoded = (ids for part in together(texts) for ids in chunks.ids(part))
+            for row, i, ids in zip(numbers.take(batch.num_rows), batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4
