@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, token_counts, warc
+from . import decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, suffix_dedup, token_counts, warc
 from .common import scratch, table
 
 
@@ -62,6 +62,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
@@ -73,4 +78,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op9_pii, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op8_suffix_dedup, op9_pii, op10_token_counts)}
