@@ -70,6 +70,10 @@ def _value_issues(spec: GraphSpec, attr: AttrSchema, value: Column) -> list[Colu
     return out
 
 
+def _each_value(spec: GraphSpec, attr: AttrSchema):
+    return lambda v: F.filter(F.array(*_value_issues(spec, attr, F.to_json(v))), lambda i: i.isNotNull())
+
+
 def attribute_issues(spec: GraphSpec, type: str, attributes: Column) -> Column:
     """Array of ``struct<code, message>`` for one element type's attributes, a map of JSON texts."""
     lists = []
@@ -83,7 +87,7 @@ def attribute_issues(spec: GraphSpec, type: str, attributes: Column) -> Column:
         if attr.multivalued:
             is_list = value.startswith("[")
             own.append(_issue(has & (value != "null") & ~is_list, "not-multivalued", f"{name} is no list"))
-            each = F.transform(F.from_json(value, "array<variant>"), lambda v, a=attr: F.filter(F.array(*_value_issues(spec, a, F.to_json(v))), lambda i: i.isNotNull()))
+            each = F.transform(F.from_json(value, "array<variant>"), _each_value(spec, attr))
             lists.append(F.coalesce(F.when(is_list, F.flatten(each)), none) if _value_issues(spec, attr, value) else none)
         else:
             own += _value_issues(spec, attr, value)

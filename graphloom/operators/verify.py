@@ -316,7 +316,7 @@ class GraphMatch:
         a, e = actual.edges.select("id", *key, "attributes"), expected.edges.select("id", *key, "attributes")
         size = e.groupBy(*key).count().where("count = 1").join(a.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1"), key).select(*key)
         single = e.join(size, key).join(a.select(*key, F.col("attributes").alias("a")), key).select("type", "a", F.col("attributes").alias("e"))
-        more = lambda f: f.join(size, key, "left_anti")
+        more = lambda f: f.join(size, key, "left_anti").select(*(F.col(c).alias(c) for c in ("id", *key, "attributes")))
         paired = more(a).groupBy(*key).cogroup(more(e).groupBy(*key)).applyInPandas(_assign, "type string, actual map<string,string>, expected map<string,string>")
         pairs = nodes.select("type", "a", "e").unionByName(single).unionByName(paired.select("type", F.col("actual").alias("a"), F.col("expected").alias("e")))
         return pairs.select("type", "a", F.explode("e").alias("attribute", "expected")).select("type", "attribute", F.col("a")[F.col("attribute")].alias("actual"), "expected")

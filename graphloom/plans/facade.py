@@ -15,6 +15,7 @@ from ..operators.context import ExtractionContext, NullCache
 from ..operators.resolution import resolve_graph
 from ..sources import coerce_sources
 from ..spec import ElementType, GraphSpec
+from ..storage import stored
 from .bindings import coerce_bindings, join, routed
 
 SCHEMA_AS_EXTRACTOR, SKIP, ERROR = "schema_as_extractor", "skip", "error"
@@ -35,9 +36,9 @@ def extract(
     """Fill the grammar from the sources.
 
     Elements without a binding go to a language model (the service ``llm``, or
-    the given factory), are skipped, or are an error. The steps' rows join one
-    lazy plan; what runs at once is the check for doubled edge ids and what a
-    strategy itself must know.
+    the given factory), are skipped, or are an error. The steps' rows are
+    written once to the shared folder; the graph is a lazy plan over them. The
+    check for doubled edge ids runs at once.
     """
     spark = spark or SparkSession.active()
     bundle, bindings, services = coerce_sources(sources), coerce_bindings(extractors), dict(services or {})
@@ -57,7 +58,9 @@ def extract(
         nodes += own_nodes
         edges += own_edges
     union = lambda frames: reduce(DataFrame.unionByName, frames[1:] or frames)
-    graph = assemble(union(nodes), union(edges), reports={"unbound_elements": list(plan.unbound)})
+    # every step runs once; merging, checks and reports read its rows, not the sources
+    staged = [stored(union(frames), "staged") for frames in (nodes, edges)]
+    graph = assemble(*staged, reports={"unbound_elements": list(plan.unbound)})
     if resolve is not None:
         unbound = graph.reports["unbound_elements"]
         graph = resolve_graph(graph, resolve)
