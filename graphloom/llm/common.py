@@ -48,10 +48,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage, so a lost executor costs a re-read and not a
     recomputation, and fixes row numbers that depend on the input's split.
     """
+    return kept(df, tag)[0]
+
+
+def kept(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for tables that are dropped before the end."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -61,7 +66,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-
 class RowNumbers:
     """Numbers that are unique in the job and the same when a task is run again.
 

@@ -1,17 +1,20 @@
 """Repeated byte strings by a distributed difference-cover algorithm.
 
-Only stretches that can hold a repeated string are sorted. Each window of
-``WINDOW`` bytes has an anchor, the smallest hash among its shorter grams, and
-equal windows have it in the same place; so a window whose anchor's hash is
-nowhere else is unique, and no window is lost by leaving it out.
-
-In those stretches positions 1 and 2 modulo 3 are the sample. Triples of words
-at sampled positions are sorted and named by rank, and so are triples of names,
-until names stand for ``COVERED`` bytes; each round stays within the sample.
-The other positions are merged in by the bytes that lead to the next sampled
-one: any two positions are both sampled after 0, 1 or 2 bytes, so sorting
-by the three keys that go with these shifts brings equal windows together,
-where neighbours are compared.
+Only strings that can repeat, and each once, are sorted. Every window of
+``WINDOW`` bytes has an anchor, the first of its smallest shorter grams, and
+equal windows have it in the same place; so a window whose anchor is nowhere
+else is unique. The windows of one anchor lie side by side and span a stretch.
+Equal stretches repeat each other, whole, and are represented by one of them.
+Different stretches around one anchor are cut into parts of ``PART`` windows:
+parts without the same middle share no window, equal parts are again one, and
+the rest is sorted, one representative for each.
+
+There, positions 1 and 2 modulo 3 are the sample. Triples of words at sampled
+positions are sorted and named by rank, and so are the triples of names, which
+stand for ``COVERED`` bytes. The other positions are merged in by the bytes
+that lead to the next sampled one: any two positions are both sampled after 0,
+1 or 2 bytes, so the keys that go with these shifts bring equal windows
+together, where neighbours are compared.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import numbered
-from .common import RowNumbers, stored, utf8
+from .common import RowNumbers, chunks, columns_batch, dropped, kept, stored, utf8
 
 WINDOW, GRAM = 200, 100
-#: The two shifts of each round's triple of names, multiples of 3. Words of 8 bytes make names of 24, then of 72, then of 198 bytes.
-ROUNDS = ((24, 48), (63, 126))
-COVERED = 198
+#: Bytes of a triple of words, and of a triple of such triples' names.
+TRIPLE = 66
+COVERED = 3 * TRIPLE
+PART = 8
+PLACE = np.uint64((1 << 31) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -46,11 +51,12 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all grams that are the smallest of some window, and their hashes."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors, their hashes, and the first and last window of each."""
     n = len(text)
     if n < WINDOW:
-        return np.array([], np.int64), np.array([], np.uint64)
+        none = np.array([], np.int64)
+        return none, none, none, none
     with np.errstate(over="ignore"):
         data = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * np.cumprod(np.full(n, BASE, np.uint64)))))
@@ -59,19 +65,26 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         gram ^= gram >> np.uint64(29)
         gram *= MIX
         gram ^= gram >> np.uint64(32)
-    width = WINDOW - GRAM + 1
-    least = _sliding(gram, width, np.minimum)
-    padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-    chosen = np.flatnonzero(_sliding(padded, width, np.maximum) == gram)
-    return chosen, gram[chosen]
+    # the upper bits decide, then the place: the first of the smallest
+    order = gram & ~PLACE | np.arange(len(gram), dtype=np.uint64)
+    at = (_sliding(order, WINDOW - GRAM + 1, np.minimum) & PLACE).astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
+    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
+    return at[first], gram[at[first]].view(np.int64), first, last
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, h = anchors(text)
+            at, h, first, last = anchors(text)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["row", "at", "h"])
+                whole = [_digest(text[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                place = at << 16 | (at - first) << 8 | (at - last)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(place), pa.array(h), pa.array(whole, pa.int64())], ["row", "place", "h", "whole"])
 
 
 def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,80 +93,105 @@ def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(numbers.take(batch.num_rows), pa.int64()), batch.column(0), pa.array(utf8(batch.column(1)), pa.binary())], ["row", "id", "text"])
 
 
-def stretches(places: list[int], size: int) -> list[tuple[int, int]]:
-    """Where windows with these anchors lie."""
-    out: list[tuple[int, int]] = []
-    for at in sorted(places):
-        a, b = max(0, at - (WINDOW - GRAM)), min(size, at + WINDOW)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-POSITIONS = "row long, stretch int, pos int, size int, word long, b0 int, b1 int, x int, y int"
-
-
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in POSITIONS.split(", ")]
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of stretches, from their texts."""
     for batch in batches:
-        for row, text, places in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for s, (a, b) in enumerate(stretches(places, len(text))):
-                n = b - a
-                data = np.frombuffer(text[a:b] + bytes(WINDOW), np.uint8)
-                word = np.ndarray((n,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
-                signed = (word ^ np.uint64(1 << 63)).view(np.int64)  # order kept
-                at = lambda k, data=data, n=n: pa.array(data[k : k + n].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(np.full(n, a, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, n, np.int32)), pa.array(signed), at(0), at(1), at(COVERED), at(COVERED + 1)], names)
-
-
-def named(sample: DataFrame, shifts: tuple[int, int]) -> DataFrame:
-    """The sample with ``name`` replaced by the rank of (name, name after each shift); the ends of stretches rank first."""
-    own = Window.partitionBy("row", "stretch", F.col("pos") % 3).orderBy("pos")
-    triples = sample.select("*", *(F.coalesce(F.lead("name", s // 3).over(own), F.lit(-(1 << 63))).alias(f"n{k}") for k, s in enumerate(shifts)))
-    triples = stored(triples, "triples")
-    key = ["name", "n0", "n1"]
-    ranks = numbered(triples.select(*key).distinct(), key, "rank")
-    return stored(triples.join(ranks, key).drop(*key).withColumnRenamed("rank", "name"), "names")
+        for row, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for some in chunks(iter(found), 10_000):
+                rows = []
+                for f in some:
+                    at, first, last = f["place"] >> 16, f["place"] >> 8 & 255, f["place"] & 255
+                    rows.append((row, at, at - first, text[at - first : at - last + WINDOW], f["n"]))
+                yield columns_batch(["row", "at", "base", "bytes", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()], rows)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of a stretch by their distance from the anchor, ``PART`` at a time."""
+    names = ["row", "at", "first", "last", "n", "middle", "whole"]
+    for batch in batches:
+        for some in chunks(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True), 1_000):
+            rows = []
+            for row, at, base, data, n in some:
+                far, near = at - base, at - base - (len(data) - WINDOW)
+                for part in range(near // PART, far // PART + 1):
+                    # what all windows of the part hold, wherever the stretch ends; it tells the part too
+                    middle = data[far - part * PART : far - (part * PART + PART - 1) + WINDOW]
+                    a, b = far - min(far, part * PART + PART - 1), far - max(near, part * PART)
+                    mark = part.to_bytes(2, "big") + (far - a).to_bytes(2, "big") + (far - b).to_bytes(2, "big")
+                    rows.append((row, at, base + a, base + b, n, _digest(mark[:2] + middle), hashlib.blake2b(mark + data[a : b + WINDOW], digest_size=16).digest()))
+            yield columns_batch(names, [pa.int64()] * 6 + [pa.binary()], rows)
+
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Stretches with windows to be sorted: row, anchor, base, bytes, the windows' places."""
+    for row, at, base, data, parts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        yield row, at, base, np.frombuffer(data, np.uint8), np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three triples of words for each sampled position."""
+    for batch in batches:
+        for row, at, base, data, starts in _open(batch):
+            pos = np.unique(np.concatenate((starts, starts + 1, starts + 2)))
+            pos = pos[pos % 3 > 0]
+            raw = data.tobytes()
+            words = [raw[p + k : p + k + TRIPLE] for p in (pos - base).tolist() for k in (0, TRIPLE, 2 * TRIPLE)]
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(np.full(n, at, np.int64)), pa.array(pos.repeat(3)), pa.array(np.tile(np.arange(3, dtype=np.int32), n // 3)), pa.array(words, pa.binary())], ["row", "at", "pos", "k", "words"])
 
 
-def _meet(keyed: DataFrame, *key: Column) -> DataFrame:
-    """Positions whose key is another's too."""
-    rows = keyed.select("row", "start", F.struct(*key).alias("key"))
-    again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows.join(again, "key", "left_semi").select("row", "start")
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window with the bytes at its ends, once for each shift that leads to a sampled position."""
+    for batch in batches:
+        for row, at, base, data, starts in _open(batch):
+            for shift in range(3):
+                own = starts[(starts + shift) % 3 > 0]
+                if len(own):
+                    # of the two bytes that a name does not cover, ``shift`` are before it
+                    left, right = (data[own - base + (k if k < shift else COVERED + k)].astype(np.int32) for k in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row, np.int64)), pa.array(np.full(len(own), at, np.int64)), pa.array(own + shift), pa.array(np.full(len(own), shift, np.int32)), pa.array(left), pa.array(right)], ["row", "at", "pos", "shift", "b0", "b1"])
+
+
+def named(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the rank of ``key`` in its place."""
+    ranks = numbered(rows.select(*key).distinct(), key, "rank")
+    return rows.join(ranks, key).drop(*key).withColumnRenamed("rank", "name")
+
+
+def sorted_windows(stretches: DataFrame) -> DataFrame:
+    """``row, first, last`` for windows that are another's equal, one by one; the stretches are different places of the texts."""
+    sample = stored(stretches.mapInArrow(_sampled, "row long, at long, pos long, k int, words binary"), "sample")
+    names = named(sample, ["words"])
+    triples = names.groupBy("row", "at", "pos").agg(*(F.max(F.when(F.col("k") == k, F.col("name"))).alias(f"n{k}") for k in range(3)))
+    again = named(stored(triples, "triples"), ["n0", "n1", "n2"])
+    keys = ["shift", "name", "b0", "b1"]
+    merged = stretches.mapInArrow(_windows, "row long, at long, pos long, shift int, b0 int, b1 int").join(again, ["row", "at", "pos"])
+    merged = stored(merged.select("row", (F.col("pos") - F.col("shift")).alias("first"), *keys), "merged")
+    equal = merged.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    return merged.join(equal, keys, "left_semi").select("row", "first", F.col("first").alias("last")).distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``row, start`` of each window that starts anywhere else too; ``docs`` has ``row`` and binary ``text``."""
-    found = stored(docs.select("row", "text").mapInArrow(_anchored, "row long, at int, h long"), "anchors")
+    """``row, first, last``: ranges of windows that start anywhere else too; ``docs`` has ``row`` and binary ``text``."""
+    spark = docs.sparkSession
+    found, path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, place long, h long, whole long"), "anchors")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = found.join(again, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
-    spread = docs.join(places, "row").select("row", "text", "places").mapInArrow(_positions, POSITIONS)
-    all_positions = stored(spread, "positions")
-    sample = all_positions.where("pos % 3 > 0").select("row", "stretch", "pos", F.col("word").alias("name"))
-    # a word covers 8 bytes: the first triple has words 8 and 16 bytes on, which are not in the sample's classes
-    first = all_positions.select("row", "stretch", "pos", "word")
-    own = Window.partitionBy("row", "stretch").orderBy("pos")
-    words = first.select("row", "stretch", "pos", *(F.coalesce(F.lead("word", k).over(own), F.lit(-(1 << 63))).alias(f"w{k}") for k in (8, 16)))
-    triples = sample.join(words, ["row", "stretch", "pos"]).withColumnsRenamed({"w8": "n0", "w16": "n1"})
-    triples = stored(triples, "triples")
-    key = ["name", "n0", "n1"]
-    names = triples.join(numbered(triples.select(*key).distinct(), key, "rank"), key).drop(*key).withColumnRenamed("rank", "name")
-    for shifts in ROUNDS:
-        names = named(names, shifts)
-    ranked = names.select("row", "stretch", "pos", "name")
-    whole = all_positions.where(F.col("pos") + WINDOW <= F.col("size")).withColumn("start", F.col("stretch") + F.col("pos"))
-
-    def shifted(k: int) -> DataFrame:
-        """Positions that are in the sample after k bytes, with the name there."""
-        return whole.join(ranked.select("row", "stretch", (F.col("pos") - k).alias("pos"), "name"), ["row", "stretch", "pos"])
-
-    c = _meet(shifted(0), F.col("name"), F.col("x"), F.col("y"))
-    a = _meet(shifted(1), F.col("b0"), F.col("name"), F.col("y"))
-    b = _meet(shifted(2), F.col("b0"), F.col("b1"), F.col("name"))
-    return a.unionByName(b).unionByName(c).distinct()
+    shared = stored(found.join(again, "h", "left_semi").select("row", "place", "h", "whole"), "shared")
+    dropped(spark, path)
+    classes = stored(shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "classes")
+    copies = shared.join(classes.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
+    at = F.shiftright("place", 16)
+    copies = copies.select("row", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last"))
+    several = classes.groupBy("h").agg(F.count("*").alias("wholes")).where("wholes > 1").select("h")
+    lists = classes.join(several, "h", "left_semi").groupBy("one.row").agg(F.collect_list(F.struct("one.place", "n")).alias("found"))
+    stretches = stored(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, at long, base long, bytes binary, n long"), "stretches")
+    parts = stored(stretches.mapInArrow(_parts, "row long, at long, first long, last long, n long, middle long, whole binary"), "parts")
+    kinds = stored(parts.groupBy("middle", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
+    equal = parts.where("n = 1").join(kinds.where("n > 1").select("middle", "whole"), ["middle", "whole"], "left_semi").select("row", "first", "last")
+    unlike = kinds.groupBy("middle").agg(F.count("*").alias("wholes")).where("wholes > 1").select("middle")
+    left = kinds.join(unlike, "middle", "left_semi").groupBy("one.row", "one.at").agg(F.collect_list(F.struct("one.first", "one.last")).alias("parts"))
+    opened = stored(stretches.join(left, ["row", "at"]).select("row", "at", "base", "bytes", "parts"), "opened")
+    return copies.unionByName(equal).unionByName(sorted_windows(opened))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +199,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             runs: list[list[int]] = []
-            for s in sorted(starts or ()):
+            for s, e in sorted((r["first"], r["last"]) for r in starts or ()):
                 if runs and s <= runs[-1][1]:
-                    runs[-1][1] = s + WINDOW
+                    runs[-1][1] = max(runs[-1][1], e + WINDOW)
                 else:
-                    runs.append([s, s + WINDOW])
+                    runs.append([s, e + WINDOW])
             kept, last = hashlib.sha256(), 0
             for a, b in runs:
                 kept.update(text[last:a])
@@ -185,5 +223,5 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     repeat each other. Spans are byte offsets, ends exclusive.
     """
     own = stored(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_numbered_texts, "row long, id long, text binary"), "texts")
-    starts = repeated(own.select("row", "text")).groupBy("row").agg(F.collect_list("start").alias("starts"))
+    starts = repeated(own.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     return own.join(starts, "row", "left").select("id", "text", "starts").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")

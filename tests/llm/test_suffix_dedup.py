@@ -39,6 +39,21 @@ def test_planted_repeats(spark):
     assert any(0 < r[1] < r[0] for r in got.values())
 
 
+def test_pieces_of_few_strings(spark):
+    """Repeats that begin and end anywhere, next to one another, over ends of stretches and parts of stretches."""
+    rng = np.random.default_rng(2)
+    pool = ["".join(rng.choice(list("abcdé "), 600)) for _ in range(4)] + ["ab" * 300]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            a = rng.integers(0, 400)
+            parts.append(pool[rng.integers(len(pool))][a : a + rng.integers(1, 420)])
+        texts.append("".join(parts))
+    got = check(spark, texts)
+    assert sum(0 < r[1] < r[0] for r in got.values()) > 20
+
+
 def test_all_documents(spark, sf):
     check(spark, [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()])
 
