@@ -48,14 +48,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage, so a lost executor costs a re-read and not a
     recomputation, and fixes row numbers that depend on the input's split.
     """
-    return kept(df, tag)[0]
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """As ``stored``, with the path, for tables that are dropped before the end."""
+    """As ``stored``, packed closer, and with the path, for tables that are dropped before the end.
+
+    The shuffle files of finished jobs go when the driver collects its garbage,
+    which it is asked to do here, as there may be no reason of its own for long.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

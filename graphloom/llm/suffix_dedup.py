@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import numbered
-from .common import RowNumbers, chunks, columns_batch, dropped, kept, stored, utf8
+from .common import RowNumbers, chunks, columns_batch, dropped, kept, utf8
 
 WINDOW, GRAM = 200, 100
 #: Bytes of a triple of words, and of a triple of such triples' names.
@@ -160,38 +160,51 @@ def named(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def sorted_windows(stretches: DataFrame) -> DataFrame:
     """``row, first, last`` for windows that are another's equal, one by one; the stretches are different places of the texts."""
-    sample = stored(stretches.mapInArrow(_sampled, "row long, at long, pos long, k int, words binary"), "sample")
-    names = named(sample, ["words"])
-    triples = names.groupBy("row", "at", "pos").agg(*(F.max(F.when(F.col("k") == k, F.col("name"))).alias(f"n{k}") for k in range(3)))
-    again = named(stored(triples, "triples"), ["n0", "n1", "n2"])
+    spark = stretches.sparkSession
+    sample, sample_path = kept(stretches.mapInArrow(_sampled, "row long, at long, pos long, k int, words binary"), "sample")
+    names, names_path = kept(named(sample, ["words"]), "names")
+    dropped(spark, sample_path)
+    triples, triples_path = kept(names.groupBy("row", "at", "pos").agg(*(F.max(F.when(F.col("k") == k, F.col("name"))).alias(f"n{k}") for k in range(3))), "triples")
+    dropped(spark, names_path)
+    again = named(triples, ["n0", "n1", "n2"])
     keys = ["shift", "name", "b0", "b1"]
     merged = stretches.mapInArrow(_windows, "row long, at long, pos long, shift int, b0 int, b1 int").join(again, ["row", "at", "pos"])
-    merged = stored(merged.select("row", (F.col("pos") - F.col("shift")).alias("first"), *keys), "merged")
+    merged, merged_path = kept(merged.select("row", (F.col("pos") - F.col("shift")).alias("first"), *keys), "merged")
+    dropped(spark, triples_path)
     equal = merged.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return merged.join(equal, keys, "left_semi").select("row", "first", F.col("first").alias("last")).distinct()
+    found = kept(merged.join(equal, keys, "left_semi").select("row", "first", F.col("first").alias("last")).distinct(), "windows")[0]
+    dropped(spark, merged_path)
+    return found
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """``row, first, last``: ranges of windows that start anywhere else too; ``docs`` has ``row`` and binary ``text``."""
     spark = docs.sparkSession
-    found, path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, place long, h long, whole long"), "anchors")
+    found, found_path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, place long, h long, whole long"), "anchors")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = stored(found.join(again, "h", "left_semi").select("row", "place", "h", "whole"), "shared")
-    dropped(spark, path)
-    classes = stored(shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "classes")
+    shared, shared_path = kept(found.join(again, "h", "left_semi").select("row", "place", "h", "whole"), "shared")
+    dropped(spark, found_path)
+    classes, classes_path = kept(shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "classes")
     copies = shared.join(classes.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
     at = F.shiftright("place", 16)
-    copies = copies.select("row", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last"))
+    copies = kept(copies.select("row", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")), "copies")[0]
+    dropped(spark, shared_path)
     several = classes.groupBy("h").agg(F.count("*").alias("wholes")).where("wholes > 1").select("h")
     lists = classes.join(several, "h", "left_semi").groupBy("one.row").agg(F.collect_list(F.struct("one.place", "n")).alias("found"))
-    stretches = stored(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, at long, base long, bytes binary, n long"), "stretches")
-    parts = stored(stretches.mapInArrow(_parts, "row long, at long, first long, last long, n long, middle long, whole binary"), "parts")
-    kinds = stored(parts.groupBy("middle", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
-    equal = parts.where("n = 1").join(kinds.where("n > 1").select("middle", "whole"), ["middle", "whole"], "left_semi").select("row", "first", "last")
+    stretches, stretches_path = kept(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, at long, base long, bytes binary, n long"), "stretches")
+    dropped(spark, classes_path)
+    parts, parts_path = kept(stretches.mapInArrow(_parts, "row long, at long, first long, last long, n long, middle long, whole binary"), "parts")
+    kinds, kinds_path = kept(parts.groupBy("middle", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
+    equal = kept(parts.where("n = 1").join(kinds.where("n > 1").select("middle", "whole"), ["middle", "whole"], "left_semi").select("row", "first", "last"), "equal")[0]
+    dropped(spark, parts_path)
     unlike = kinds.groupBy("middle").agg(F.count("*").alias("wholes")).where("wholes > 1").select("middle")
     left = kinds.join(unlike, "middle", "left_semi").groupBy("one.row", "one.at").agg(F.collect_list(F.struct("one.first", "one.last")).alias("parts"))
-    opened = stored(stretches.join(left, ["row", "at"]).select("row", "at", "base", "bytes", "parts"), "opened")
-    return copies.unionByName(equal).unionByName(sorted_windows(opened))
+    opened, opened_path = kept(stretches.join(left, ["row", "at"]).select("row", "at", "base", "bytes", "parts"), "opened")
+    for path in (kinds_path, stretches_path):
+        dropped(spark, path)
+    windows = sorted_windows(opened)
+    dropped(spark, opened_path)
+    return copies.unionByName(equal).unionByName(windows)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +235,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     the same text or another. Null and short texts lose nothing; repeated rows
     repeat each other. Spans are byte offsets, ends exclusive.
     """
-    own = stored(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_numbered_texts, "row long, id long, text binary"), "texts")
+    own = kept(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_numbered_texts, "row long, id long, text binary"), "texts")[0]
     starts = repeated(own.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     return own.join(starts, "row", "left").select("id", "text", "starts").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
