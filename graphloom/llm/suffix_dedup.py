@@ -128,28 +128,42 @@ def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np
         yield row, at, base, np.frombuffer(data, np.uint8), np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts])
 
 
+def _joined(columns: dict[str, list[np.ndarray]], rows: np.ndarray, places: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+    """One batch for many stretches: each one's row and anchor, repeated, and the columns' parts put together."""
+    whole = {"row": rows.repeat(sizes), "at": places.repeat(sizes)} | {k: np.concatenate(v) for k, v in columns.items()}
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in whole.values()], list(whole))
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three triples of words for each sampled position."""
     for batch in batches:
-        for row, at, base, data, starts in _open(batch):
-            pos = np.unique(np.concatenate((starts, starts + 1, starts + 2)))
-            pos = pos[pos % 3 > 0]
-            raw = data.tobytes()
-            words = [raw[p + k : p + k + TRIPLE] for p in (pos - base).tolist() for k in (0, TRIPLE, 2 * TRIPLE)]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(np.full(n, at, np.int64)), pa.array(pos.repeat(3)), pa.array(np.tile(np.arange(3, dtype=np.int32), n // 3)), pa.array(words, pa.binary())], ["row", "at", "pos", "k", "words"])
+        for some in chunks(_open(batch), 500):
+            places, words = [], []
+            for _, _, base, data, starts in some:
+                pos = np.unique(np.concatenate((starts, starts + 1, starts + 2)))
+                pos = pos[pos % 3 > 0]
+                raw = data.tobytes()
+                words += [raw[p + k : p + k + TRIPLE] for p in (pos - base).tolist() for k in (0, TRIPLE, 2 * TRIPLE)]
+                places.append(pos.repeat(3))
+            row, at = (np.array([x[k] for x in some], np.int64) for k in range(2))
+            made = _joined({"pos": places}, row, at, [len(p) for p in places])
+            yield made.append_column("k", pa.array(np.tile(np.arange(3, dtype=np.int32), len(words) // 3))).append_column("words", pa.array(words, pa.binary()))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window with the bytes at its ends, once for each shift that leads to a sampled position."""
     for batch in batches:
-        for row, at, base, data, starts in _open(batch):
+        for some in chunks(_open(batch), 500):
+            row, at = (np.array([x[k] for x in some], np.int64) for k in range(2))
             for shift in range(3):
-                own = starts[(starts + shift) % 3 > 0]
-                if len(own):
+                found: dict[str, list[np.ndarray]] = {"pos": [], "shift": [], "b0": [], "b1": []}
+                for _, _, base, data, starts in some:
+                    own = starts[(starts + shift) % 3 > 0]
                     # of the two bytes that a name does not cover, ``shift`` are before it
                     left, right = (data[own - base + (k if k < shift else COVERED + k)].astype(np.int32) for k in range(2))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row, np.int64)), pa.array(np.full(len(own), at, np.int64)), pa.array(own + shift), pa.array(np.full(len(own), shift, np.int32)), pa.array(left), pa.array(right)], ["row", "at", "pos", "shift", "b0", "b1"])
+                    for name, part in zip(found, (own + shift, np.full(len(own), shift, np.int32), left, right), strict=True):
+                        found[name].append(part)
+                yield _joined(found, row, at, [len(p) for p in found["pos"]])
 
 
 def named(rows: DataFrame, key: list[str]) -> DataFrame:
