@@ -383,7 +383,7 @@ def text_join(spark, sf):
 
 @query
 def embedding_record_rows(spark, sf):
-    return embedding_rows(trade_graph(spark, sf)).where("type <> 'customer'")
+    return embedding_rows(trade_graph(spark, sf))
 
 
 @query
@@ -393,12 +393,12 @@ def cytoscape_element_rows(spark, sf):
 
 @query
 def turtle_triples(spark, sf):
-    return turtle_rows(trade_graph(spark, sf)).where("id not like 'customer%'")
+    return turtle_rows(trade_graph(spark, sf))
 
 
 @query
 def cypher_parameters(spark, sf):
-    return cypher_rows(trade_graph(spark, sf)).where("id like 'nation:%' or id like 'in:%'").select("id", "source", "target", "props")
+    return cypher_rows(trade_graph(spark, sf)).select("id", "source", "target", "props")
 
 
 @query
@@ -410,7 +410,7 @@ def corpus_summary(spark, sf):
 @query
 def evidence_lookup(spark, sf):
     graph = trade_graph(spark, sf)
-    return graph.evidence.where("element_id like 'nation:%'").select("element_id", F.col("evidence.provenance.derived_from").alias("source"), F.col("evidence.provenance.generated_by").alias("strategy"), F.col("evidence.confidence.method").alias("method"))
+    return graph.evidence.select("element_id", F.col("evidence.provenance.derived_from").alias("source"), F.col("evidence.provenance.generated_by").alias("strategy"), F.col("evidence.confidence.method").alias("method"))
 
 
 # without SQL ---------------------------------------------------------------------
