@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -269,7 +269,9 @@ def _part_nodes(spark, sf) -> DataFrame:
 def _part_graph(spark, sf) -> Graph:
     pid = F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"))
     nodes = _part_nodes(spark, sf)
-    edges = _t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("l"), "l_orderkey").alias("id"), pid.alias("source"), F.reverse(F.reverse(pid)).alias("target"), F.lit("self").alias("type"), F.create_map().cast("map<string,string>").alias("attributes"))
+    # several rows share an order and a line number; each is an edge of its own
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))
+    edges = _t(spark, sf, "lineitem").select("l_partkey", F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), place).alias("id")).select("id", pid.alias("source"), F.reverse(F.reverse(pid)).alias("target"), F.lit("self").alias("type"), F.create_map().cast("map<string,string>").alias("attributes"))
     return Graph(nodes, edges)
 
 
