@@ -165,7 +165,7 @@ def match_offsets(spark, sf):
 
 @query
 def quote_context(spark, sf):
-    return find(_documents(spark, sf), [EMAIL]).where("m = 0").select(F.col("source_id").cast("long").alias("doc_id"), "exact", "prefix", "suffix")
+    return find(_documents(spark, sf), [EMAIL]).select(F.col("source_id").cast("long").alias("doc_id"), "m", "exact", "prefix", "suffix")
 
 
 @query
@@ -421,10 +421,10 @@ def evidence_lookup(spark, sf):
 @query
 def reanchor_emails(spark, sf):
     """Quotes looked for in their documents after the text was shifted and partly changed."""
-    found = find(_documents(spark, sf), [EMAIL]).where("m = 0")
+    found = find(_documents(spark, sf), [EMAIL])
     rows = found.join(_documents(spark, sf).select("source_id", "text"), "source_id")
-    moved = rows.select("source_id", "exact", "prefix", "suffix", F.concat(F.lit("Moved. "), F.replace("text", F.col("exact"), F.concat(F.substring("exact", 1, 12), F.lit("?")))).alias("text"), F.col("start").alias("hint"))
-    return reanchored(moved).select("source_id", "exact", "start", "end")
+    moved = rows.select("source_id", "m", "exact", "prefix", "suffix", F.concat(F.lit("Moved. "), F.replace("text", F.col("exact"), F.concat(F.substring("exact", 1, 12), F.lit("?")))).alias("text"), F.col("start").alias("hint"))
+    return reanchored(moved).select("source_id", "m", "exact", "start", "end")
 
 
 @query
