@@ -299,7 +299,7 @@ def resolve_merge_report(spark, sf):
 def resolve_components(spark, sf):
     s = _t(spark, sf, "supplier")
     own = F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
-    links = s.select(own.alias("u"), F.concat(F.lit("n"), "s_nationkey").alias("v")).unionByName(s.where("s_suppkey % 9 = 0").select(own.alias("u"), F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 2000)).alias("v")))
+    links = s.select(own.alias("u"), F.concat(F.lit("n"), "s_nationkey").alias("v")).unionByName(s.select(own.alias("u"), F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 2000)).alias("v")))
     return connected(links).select("node", "component")
 
 
@@ -339,14 +339,15 @@ def trace_overlap(spark, sf):
 
 @query
 def edge_bag_counts(spark, sf):
-    made = lambda df, s, t: df.select(F.lit("x").alias("type"), F.col(s).cast("string").alias("source"), F.col(t).alias("target"))
     o = _t(spark, sf, "orders")
-    return edge_bags(made(o.where("o_orderkey % 3 <> 0"), "o_custkey", "o_orderstatus"), made(o.where("o_orderkey % 5 <> 0"), "o_custkey", "o_orderstatus"))
+    made = lambda target: o.select(F.lit("x").alias("type"), F.col("o_custkey").cast("string").alias("source"), target.alias("target"))
+    status = F.col("o_orderstatus")
+    return edge_bags(made(status), made(F.when(F.col("o_orderpriority") == "1-URGENT", "U").otherwise(status)))
 
 
 @query
 def node_set_counts(spark, sf):
-    return node_sets(_t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")), _t(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id")))
+    return node_sets(_t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")), _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id")))
 
 
 @query
