@@ -40,7 +40,7 @@ class Automaton:
     A window is ``window`` consecutive words of an item, or a whole item of fewer words.
     """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -54,7 +54,7 @@ class Automaton:
         pairs = {a * len(self.ids) + b for _, own in coded for a, b in zip(own, own[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
         # windows by state: {state: {length: items}}
-        self.ends: dict[int, dict[int, set[int]]] = {}
+        self.ends: dict[int, dict[int, set[int | None]]] = {}
         for i, own in coded:
             for state, length in self._windows(own):
                 self.ends.setdefault(state, {}).setdefault(length, set()).add(i)
@@ -124,12 +124,12 @@ class Automaton:
             if b - a >= need:
                 yield a, b + (need and self.shortest >= 2)
 
-    def matches(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def matches(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Hit spans (first word, behind the last; disjoint, in order) and the items hit."""
         get = self.ids.get
         codes = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        items: set[int | None] = set()
         for a, b in self.stretches(codes):
             state = length = 0
             for k, w in enumerate(codes[a:b].tolist(), a + 1):
@@ -191,17 +191,17 @@ def _matched(automata: list) -> Callable:
                     items[k] |= hit
             spans = [[{"start": a, "stop": b} for a, b in united(x)] for x in spans]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers.take(len(own)), pa.int64()), batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(spans, KIND), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+                [pa.array(numbers.take(len(own)), pa.int64()), batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(spans, KIND), pa.array([sorted(x, key=lambda i: (i is None, i or 0)) for x in items], pa.list_(pa.int64()))],
                 ["row", "id", "n_words", "spans", "items"],
             )
 
     return run
 
 
-def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW) -> list[Automaton]:
-    """Automata of the items, each over at most ``SHARD_WORDS`` words (or one item)."""
+def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW, unnamed: bool = True) -> list[Automaton]:
+    """Automata of the items, each over at most ``SHARD_WORDS`` words (or one item); ``unnamed`` takes items without an id too."""
     made, part, n = [], [], 0
-    rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").orderBy("id", "text").toLocalIterator()
+    rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null" if unnamed else "id is not null and text is not null").orderBy("id", "text").toLocalIterator()
     for row in rows:  # one automaton's items at a time
         own = words(row["text"].encode())
         if part and n + len(own) > SHARD_WORDS:
@@ -212,15 +212,16 @@ def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text
     return [*made, Automaton(part, window)] if part or not made else made
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """Where benchmark items occur: ``row, id, n_words, spans, items`` for every document row.
 
-    Spans count words. Null and empty texts have no words; items that are null,
-    wordless or without an id are never found. Items with one id count as one.
-    An empty benchmark hits nothing.
+    Spans count words. Null and empty texts have no words; items that are null
+    or wordless are never found. Items with one id count as one. With ``unnamed``,
+    items without an id are found too and count as one, a null in ``items``;
+    else they are not. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_column, item_text, window)]
+    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_column, item_text, window, unnamed)]
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(_matched(shared), SCHEMA)
 
 
@@ -260,7 +261,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = 200,
 
     A document goes altogether if one span has over ``most_words`` words or if
     spans cover over ``most_share`` of its words. Others keep their rows and
-    columns; only hit spans leave ``text``. Clean texts are unchanged.
+    columns; only hit spans leave ``text``. Clean texts are unchanged. Items need
+    no id.
     """
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window=window)]
