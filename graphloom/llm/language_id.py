@@ -26,6 +26,8 @@ SIZES = (1, 2, 3)
 PROFILE, OWN = 400, 300
 #: Profiles are learned from about so many documents of each language, chosen by a hash of the id.
 TRAINED = 4_000
+#: A text fits a language if its score is at least this share of the median score of about so many of the language's documents.
+FIT, CALIBRATED = 0.5, 1_000
 MEMO = 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,18 +66,25 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array([grams[k] for k in keys], pa.int64())], ["lang", "gram", "n"])
 
 
+def _sampled(labelled: DataFrame, id_column: str, text: str, lang: str, trained: int) -> DataFrame | None:
+    """About ``trained`` documents of each language, by a hash of the id; none if no language is known."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    many = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not many:
+        return None
+    share = F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(int(min(1.0, trained / n) * (1 << 30))))])
+    return known.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < share[F.col(lang)])
+
+
 def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", trained: int = TRAINED, size: int = PROFILE) -> dict[str, list[str]]:
     """The profile of each language among rows with a text and a language.
 
     The sample's bound is ``trained`` documents a language, in expectation: the
     share of a language's documents that enters is ``trained`` over their number.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    many = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not many:
+    sample = _sampled(labelled, id_column, text, lang, trained)
+    if sample is None:
         return {}
-    share = F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(int(min(1.0, trained / n) * (1 << 30))))])
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < share[F.col(lang)])
     counted = sample.select(F.col(lang), F.col(text)).mapInArrow(_learned, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     out: dict[str, list[str]] = {}
@@ -167,15 +176,37 @@ def learning_part(id_column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4)) != 2, F.lit(False))
 
 
+def bounds(labelled: DataFrame, profiles: dict[str, list[str]], trained: int = CALIBRATED) -> dict[str, float]:
+    """For each language, the least score with which a text is taken to be in it."""
+    sample = _sampled(labelled, "doc_id", "text", "lang", trained) if profiles else None
+    if sample is None:
+        return {}
+    scores = identify(sample, profiles, ["lang"]).where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("median"))
+    return {r["lang_pred"]: FIT * r["median"] for r in scores.collect()}  # one row a language
+
+
 def recognised(docs: DataFrame) -> DataFrame:
-    """Documents whose language is recognised, columns unchanged; the others go."""
-    profiles = learn(docs.where(learning_part()))
+    """Documents whose language is recognised, columns unchanged; the others go.
+
+    Those are texts without letters and texts too far from every profile. If no
+    profile could be learned, all documents with letters stay.
+    """
+    known = docs.where(learning_part())
+    profiles = learn(known)
+    least = bounds(known, profiles)
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+
+        def stays(text: str | None) -> bool:
+            if not own.langs:
+                return bool(LETTERS.search(text or ""))
+            lang, score = own.nearest(text)
+            return lang != UNKNOWN and score >= least.get(lang, 0.0)
+
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([own.nearest(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([stays(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
