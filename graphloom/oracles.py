@@ -47,7 +47,7 @@ x AS (SELECT page_id, k, ms[k][10:-2] AS path, CAST(list_sum(list_transform(arou
 n AS (SELECT *, row_number() OVER (ORDER BY page_id, k) - 1 AS i FROM x)
 SELECT 'links_to:page-links->path-' || {slug('path')} || ':' || i AS id, 'path:' || {slug('path')} AS target, start, CAST(page_id AS VARCHAR) AS page FROM n""",
     "match_offsets": f"WITH {MATCHES} SELECT doc_id, CAST(m AS INTEGER) AS m, start, start + length(exact) AS stop, exact FROM spans",
-    "quote_context": f"WITH {MATCHES} SELECT doc_id, exact, substring(text, CAST(greatest(0, start - 24) + 1 AS BIGINT), CAST(least(24, start) AS BIGINT)) AS prefix, substring(text, CAST(start + length(exact) + 1 AS BIGINT), 24) AS suffix FROM spans WHERE m = 0",
+    "quote_context": f"WITH {MATCHES} SELECT doc_id, CAST(m AS INTEGER) AS m, exact, substring(text, CAST(greatest(0, start - 24) + 1 AS BIGINT), CAST(least(24, start) AS BIGINT)) AS prefix, substring(text, CAST(start + length(exact) + 1 AS BIGINT), 24) AS suffix FROM spans",
     "sql_extract": f"SELECT 'priority:' || {slug('o_orderpriority')} AS id, CAST(count(*) AS VARCHAR) AS n, max(CAST(o_orderkey AS VARCHAR)) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
     "json_query_events": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) > 50",
     "json_where_in_ne": "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) IN (1, 2, 5, 8)",
@@ -83,12 +83,12 @@ UNION ALL SELECT element_id, 'endpoint-type' FROM e WHERE c_custkey % 17 <> 0 AN
     "normalize_entity_names": f"SELECT p_partkey, coalesce({NORMAL.format(x=chr(39) + 'The ' + chr(39) + ' || p_name || ' + chr(39) + ', Inc.' + chr(39))}, '') AS name FROM part",
     "resolve_clusters": f"WITH {PARTS} SELECT id, cid FROM named",
     "resolve_nodes": f"WITH {PARTS} SELECT cid AS id, arg_min(name, id) AS name, CAST(arg_min(p_size, id) AS VARCHAR) AS size FROM named GROUP BY cid",
-    "resolve_remapped_edges": f"WITH {PARTS} SELECT 'l' || l_orderkey AS id, cid AS source, cid AS target FROM lineitem JOIN named ON named.id = 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') WHERE l_linenumber = 1",
+    "resolve_remapped_edges": f"WITH {PARTS} SELECT 'l' || l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS id, cid AS source, cid AS target FROM lineitem JOIN named ON named.id = 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0')",
     "resolve_merge_report": f"WITH {PARTS} SELECT cid AS canonical, CAST(count(*) AS INTEGER) AS n, min(id) AS first FROM named GROUP BY cid HAVING count(*) > 1",
     "resolve_components": """
 WITH RECURSIVE links AS (
   SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS u, 'n' || s_nationkey AS v FROM supplier
-  UNION ALL SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'b' || CAST(floor(s_acctbal / 2000) AS BIGINT) FROM supplier WHERE s_suppkey % 9 = 0
+  UNION ALL SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'b' || CAST(floor(s_acctbal / 2000) AS BIGINT) FROM supplier
 ), both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT u AS node, u AS low FROM both_ways UNION SELECT b.v, r.low FROM reach r JOIN both_ways b ON r.node = b.u)
 SELECT node, min(low) AS component FROM reach GROUP BY node""",
@@ -97,9 +97,10 @@ SELECT node, min(low) AS component FROM reach GROUP BY node""",
     "trace_stab": f"WITH {MATCHES}, probes AS (SELECT doc_id, unnest(range(0, length(text) + 1, 50)) AS p FROM documents) SELECT CAST(doc_id AS VARCHAR) AS source_id, p AS \"offset\", doc_id || ':' || m AS element_id FROM spans JOIN probes USING (doc_id) WHERE start <= p AND p < start + length(exact)",
     "trace_overlap": f"WITH {MATCHES}, probes AS (SELECT doc_id, unnest(range(0, length(text) + 1, 400)) AS p FROM documents) SELECT CAST(doc_id AS VARCHAR) AS source_id, p AS \"from\", doc_id || ':' || m AS element_id FROM spans JOIN probes USING (doc_id) WHERE start < p + 90 AND p < start + length(exact)",
     "edge_bag_counts": """
-WITH a AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2), e AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2)
+WITH a AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2),
+e AS (SELECT o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT CAST(sum(least(coalesce(a.n, 0), coalesce(e.n, 0))) AS BIGINT) AS n_both, CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS n_actual, CAST(sum(coalesce(e.n, 0)) AS BIGINT) AS n_expected FROM a FULL JOIN e USING (o_custkey, o_orderstatus)""",
-    "node_set_counts": "SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS n_both, (SELECT count(DISTINCT doc_id) FROM labels) AS n_actual, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id % 2 = 0) AS n_expected",
+    "node_set_counts": "SELECT (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) AS n_both, (SELECT count(DISTINCT doc_id) FROM labels) AS n_actual, (SELECT count(DISTINCT doc_id) FROM documents) AS n_expected",
     "numeric_tolerance_scores": "SELECT l_returnflag, count(*) FILTER (WHERE abs(round(l_extendedprice / 100) * 100 - l_extendedprice) <= greatest(0.5, 0.01 * abs(l_extendedprice))) AS n_passed, count(*) AS n FROM lineitem GROUP BY 1",
     "text_match_scores": "SELECT p_partkey, CAST(CASE WHEN p_name = '  ' || upper(p_name) || ' ' THEN 1 ELSE 0 END AS DOUBLE) AS exact, CAST(1 AS DOUBLE) AS normalized, lower(regexp_replace(trim('  ' || upper(p_name) || ' '), '\\s+', ' ', 'g')) AS norm FROM part",
     "set_match_scores": "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_type, ' ')) AS a, list_distinct([string_split(p_type, ' ')[1], 'COPPER']) AS e FROM part) SELECT p_partkey, round(2.0 * len(list_intersect(a, e)) / (len(a) + len(e)), 9) AS f1 FROM p",
@@ -107,16 +108,24 @@ SELECT CAST(sum(least(coalesce(a.n, 0), coalesce(e.n, 0))) AS BIGINT) AS n_both,
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT e AS q FROM v WHERE vec_id = 0)
 SELECT vec_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS cosine FROM v, p""",
     "text_join": "SELECT conv_id, CAST(length(t) AS INTEGER) AS n, sha256(t) AS sha FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
-    "embedding_record_rows": f"WITH {LOCATED} SELECT DISTINCT id, 'node' AS kind, type, type || ': name=' || name AS text FROM nodes WHERE type <> 'customer' UNION ALL SELECT id, 'edge', type, source || ' ' || type || ' ' || target FROM edges",
+    "embedding_record_rows": f"""
+WITH {LOCATED} SELECT DISTINCT id, 'node' AS kind, type, type || ': name=' || name AS text FROM nodes WHERE type <> 'customer'
+UNION ALL SELECT 'customer:' || {slug("c_name")}, 'node', 'customer', 'customer: balance=' || c_acctbal || '; key=' || c_custkey || '; name=' || c_name || '; segment=' || c_mktsegment FROM customer
+UNION ALL SELECT id, 'edge', type, source || ' ' || type || ' ' || target FROM edges""",
     "cytoscape_element_rows": f"WITH {LOCATED} SELECT DISTINCT id, 'node' AS kind, type AS label, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM nodes UNION ALL SELECT id, 'edge', type, source, target FROM edges",
     "turtle_triples": f"""
-WITH {LOCATED}, n AS (SELECT DISTINCT id, type, name FROM nodes WHERE type <> 'customer')
+WITH {LOCATED}, n AS (SELECT DISTINCT id, type, name FROM nodes),
+own AS (SELECT 'customer:' || {slug("c_name")} AS id, unnest(['balance ' || c_acctbal, 'segment "' || c_mktsegment || '"', 'key ' || c_custkey]) AS said FROM customer)
 SELECT id, 'g:' || replace(id, ':', '_') || ' rdf:type g:' || type || ' .' AS line FROM n
 UNION ALL SELECT id, 'g:' || replace(id, ':', '_') || ' g:name "' || name || '" .' FROM n
+UNION ALL SELECT id, 'g:' || replace(id, ':', '_') || ' g:' || said || ' .' FROM own
 UNION ALL SELECT id, 'g:' || replace(source, ':', '_') || ' g:' || type || ' g:' || replace(target, ':', '_') || ' .' FROM edges""",
     "cypher_parameters": f"""
-WITH {LOCATED} SELECT DISTINCT id, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, '{{"types":["nation"],"name":"' || name || '"}}' AS props FROM nodes WHERE type = 'nation'
-UNION ALL SELECT id, source, target, '{{}}' FROM lies""",
+WITH {LOCATED} SELECT DISTINCT id, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, '{{"types":["' || type || '"],"name":"' || name || '"}}' AS props FROM nodes WHERE type <> 'customer'
+UNION ALL SELECT 'customer:' || {slug("c_name")}, NULL, NULL, '{{"types":["customer"],"balance":' || c_acctbal || ',"key":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}}' FROM customer
+UNION ALL SELECT id, source, target, '{{}}' FROM edges""",
     "corpus_summary": "SELECT round(avg(CAST(quality AS DOUBLE)), 9) AS mean_score, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS pass_rate, count(*) AS n FROM labels",
-    "evidence_lookup": f"SELECT 'nation:' || {slug('n_name')} AS element_id, 'nation' AS source, 'query:table_map' AS strategy, 'deterministic' AS method FROM nation",
+    "evidence_lookup": f"""
+WITH {LOCATED} SELECT DISTINCT id AS element_id, type AS source, 'query:table_map' AS strategy, 'deterministic' AS method FROM nodes
+UNION ALL SELECT id, CASE type WHEN 'located_in' THEN 'located' ELSE 'lies' END, 'query:table_map', 'deterministic' FROM edges""",
 }
