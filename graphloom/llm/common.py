@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: A row's number holds the partition above these bits and the place in it below.
 PLACE_BITS = 33
 
@@ -20,26 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local master may run
-    without it; there, one machine holds every task.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return own
+#: Paths of the shared folder that were made and not deleted yet, in order.
+_made: list[str] = []
+#: Keys that hold over one part in so many of all rows are hot; there are at most as many of them.
+HOT = 1_000
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, noted for ``release``."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -48,30 +42,99 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage, so a lost executor costs a re-read and not a
     recomputation, and fixes row numbers that depend on the input's split.
     """
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, tag)[0]
 
 
 def kept(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """As ``stored``, packed closer, and with the path, for tables that are dropped before the end.
-
-    The shuffle files of finished jobs go when the driver collects its garbage,
-    which it is asked to do here, as there may be no reason of its own for long.
-    """
+    """As ``stored``, with the path, for tables that are dropped before the end."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written(df: DataFrame, path: str) -> None:
+    """Write Parquet; the query's shuffle files go when it ends, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before else conf.unset(CLEANUP)
+
+
+#: Spark's own setting to delete the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, in any store that Spark can write."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def release(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Delete what was made, once the results that read it are written."""
+    for path in [p for p in _made if p not in but]:
+        dropped(spark, path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is made inside."""
+    before = frozenset(_made)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+@atexit.register
+def _leave() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with suppress(Exception):  # the session may be gone, and its files are the cluster's to clear then
+            release(spark)
+
+
+def store(folder: str):
+    """The store of a folder's URI, and the path there, for tasks that read and write files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def with_rows(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """``df`` with numbered rows, written, so that the numbers hold however it is read later; and their column."""
+    name = fresh(df, name)
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique and whose ``weight`` says how many rows of ``left`` have it.
+
+    Keys with over one in ``HOT`` of all rows, at most ``HOT`` of them, are
+    joined by a broadcast of their rows, all others by an ordinary join, so that
+    no task holds a hot key. Both tables are read twice.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) > total / HOT)
+    names = hot.select(*key)
+    warm = left.join(F.broadcast(hot), key)
+    cold = left.join(F.broadcast(names), key, "left_anti").join(right.where(F.col(weight) <= total / HOT), key, how)
+    return cold.unionByName(warm.select(*cold.columns))
 
 
 class RowNumbers:

@@ -6,26 +6,31 @@ is tracked; a match of at least a window's length marks a hit. Stretches in
 which no two neighbouring words are neighbours in any item cannot hold a window
 and are passed over, which changes no result.
 
-An automaton covers at most ``SHARD_WORDS`` item words; more items make more
-automata, through which each batch of documents passes in turn; a broadcast and
-what a task holds of it have a fixed bound.
+An automaton covers about ``SHARD_WORDS`` item words. It is built by the task
+that holds these items and written to the shared folder, where the tasks that
+scan documents load it; more items make more automata, each with a scan of its
+own, so what a task holds has a fixed bound and the driver holds only paths.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import RowNumbers, utf8
+from .common import RowNumbers, fresh, scratch, store, stored, utf8, with_rows
 
 WINDOW = 10
-#: Words of items in one automaton: about 400 MB of Python objects at most.
-SHARD_WORDS = 1_000_000
+#: Words of items in one automaton, about 400 MB of Python objects, and bytes that a word has at least with its gap.
+SHARD_WORDS, BYTES_A_WORD = 1_000_000, 4
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -157,6 +162,7 @@ class Automaton:
 
 SCHEMA = "row long, id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
 KIND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,101 +175,151 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _loaded(shared: list) -> Iterator[Automaton]:
-    """Each automaton in turn; with several, a task holds one at a time and reads it again from the local broadcast file."""
-    for one in shared:
-        yield one.value
-        if len(shared) > 1 and getattr(one, "_path", None):
-            del one._value
+def _built(folder: str, window: int) -> Callable:
+    """One automaton for the items of a task, written to the shared folder; gives its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [(i, words(t)) for batch in batches for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)]
+        if items:
+            filesystem, path = store(folder)
+            filesystem.create_dir(path, recursive=True)
+            path = f"{path}/{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(path, compression=None) as file:
+                pickle.dump(Automaton(items, window), file, protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    return run
+
+
+def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW, unnamed: bool = True) -> tuple[str, list[str]]:
+    """Automata of the items, each built by a task and stored: their folder and paths.
+
+    Items are dealt by a hash over as many shards as keep each near
+    ``SHARD_WORDS`` words, so neither the driver nor a task holds all of them.
+    ``unnamed`` takes items without an id too.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null" if unnamed else "id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-size // (SHARD_WORDS * BYTES_A_WORD)) or 1
+    folder = scratch(spark, "automata")
+    dealt = items.repartitionById(shards, F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).sortWithinPartitions("id", "text")
+    made = stored(dealt.mapInArrow(_built(folder, window), "path string"), "paths")
+    return folder, [r["path"] for r in made.orderBy("path").collect()]  # one row a shard
+
+
+@functools.lru_cache(1)
+def _loaded(folder: str, path: str) -> Automaton:
+    """An automaton from the shared folder; a worker holds one at a time."""
+    with store(folder)[0].open_input_stream(path, compression=None) as file:
+        return pickle.loads(file.read())
 
 
-def _matched(automata: list) -> Callable:
+def _matched(folder: str, path: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = RowNumbers()
+        automaton = _loaded(folder, path) if path else Automaton([])
         for batch in batches:
             own = [words(t) for t in utf8(batch.column(1))]
-            spans: list[list] = [[] for _ in own]
-            items: list[set] = [set() for _ in own]
-            for automaton in _loaded(automata):
-                for k, w in enumerate(own):
-                    found, hit = automaton.matches(w)
-                    spans[k] += found
-                    items[k] |= hit
-            spans = [[{"start": a, "stop": b} for a, b in united(x)] for x in spans]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers.take(len(own)), pa.int64()), batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(spans, KIND), pa.array([sorted(x, key=lambda i: (i is None, i or 0)) for x in items], pa.list_(pa.int64()))],
-                ["row", "id", "n_words", "spans", "items"],
-            )
+            found = [automaton.matches(w) for w in own]
+            spans = [[{"start": a, "stop": b} for a, b in united(x)] for x, _ in found]
+            items = [sorted(x, key=lambda i: (i is None, i or 0)) for _, x in found]
+            rows = batch.column(2) if batch.num_columns > 2 else pa.array(numbers.take(len(own)), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(spans, KIND), pa.array(items, pa.list_(pa.int64()))], ["row", "id", "n_words", "spans", "items"])
 
     return run
 
 
-def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW, unnamed: bool = True) -> list[Automaton]:
-    """Automata of the items, each over at most ``SHARD_WORDS`` words (or one item); ``unnamed`` takes items without an id too."""
-    made, part, n = [], [], 0
-    rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null" if unnamed else "id is not null and text is not null").orderBy("id", "text").toLocalIterator()
-    for row in rows:  # one automaton's items at a time
-        own = words(row["text"].encode())
-        if part and n + len(own) > SHARD_WORDS:
-            made.append(Automaton(part, window))
-            part, n = [], 0
-        part.append((row["id"], own))
-        n += len(own)
-    return [*made, Automaton(part, window)] if part or not made else made
+#: SQL for a document's spans put together, from its spans by automaton, sorted.
+UNITED = """
+aggregate(slice(array_sort(flatten(collect_list(spans))), 2, 2147483647),
+  named_struct('out', slice(array_sort(flatten(collect_list(spans))), 1, 1)),
+  (acc, s) -> named_struct('out', if(s.start <= element_at(acc.out, -1).stop,
+    array_append(slice(acc.out, 1, size(acc.out) - 1), named_struct('start', element_at(acc.out, -1).start, 'stop', greatest(s.stop, element_at(acc.out, -1).stop))),
+    array_append(acc.out, s))), acc -> acc.out)
+"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, unnamed: bool = False, row: str | None = None) -> DataFrame:
     """Where benchmark items occur: ``row, id, n_words, spans, items`` for every document row.
 
     Spans count words. Null and empty texts have no words; items that are null
     or wordless are never found. Items with one id count as one. With ``unnamed``,
     items without an id are found too and count as one, a null in ``items``;
-    else they are not. An empty benchmark hits nothing.
+    else they are not. An empty benchmark hits nothing. ``row`` names a column of
+    numbers that tell the rows apart; without it they are numbered as they are
+    read. Other columns are not read.
+
+    With several automata the documents are scanned once for each, and what was
+    found is put together by document.
     """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_column, item_text, window, unnamed)]
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(_matched(shared), SCHEMA)
+    folder, paths = automata(benchmark, item_column, item_text, window, unnamed)
+    if len(paths) > 1 and row is None:
+        docs, row = with_rows(docs)
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text), *([F.col(row)] if row else []))
+    found = [own.mapInArrow(_matched(folder, p), SCHEMA) for p in paths or [None]]
+    if len(found) == 1:
+        return found[0]
+    both = functools.reduce(DataFrame.unionByName, found).groupBy("row", "id", "n_words")
+    return both.agg(F.expr(UNITED).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
 
+def _removed(text: str, most_words: int, most_share: float) -> Callable:
+    """Cut the spans in the last column out of the text, or leave the row out."""
 
-def _removed(automata: list, most_words: int, most_share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            out, keep = [], []
-            own = utf8(batch.column(at))
-            found: list[list] = [[] for _ in own]
-            for automaton in _loaded(automata):
-                for spans, text in zip(found, own, strict=True):
-                    spans += automaton.matches(words(text))[0]
-            for raw, text, spans in zip(batch.column(at).to_pylist(), own, map(united, found), strict=True):
+            at = batch.schema.get_field_index(text)
+            out, keep = batch.column(at).to_pylist(), []
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                keep.append(True)
                 if not spans:
-                    out.append(raw)
-                    keep.append(True)
                     continue
-                places = [m.span() for m in WORD.finditer(text.lower())]
-                hit = sum(b - a for a, b in spans)
-                longest = max(b - a for a, b in spans)
+                own = out[k].encode()
+                places = [m.span() for m in WORD.finditer(own.lower())]
+                sizes = [s["stop"] - s["start"] for s in spans]
                 kept, last = bytearray(), 0
-                for a, b in spans:
-                    kept += text[last : places[a][0]]
-                    last = places[b - 1][1]
-                kept += text[last:]
-                keep.append(longest <= most_words and hit <= most_share * len(places))
-                out.append(kept.decode())
-            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
+                for s in spans:
+                    kept += own[last : places[s["start"]][0]]
+                    last = places[s["stop"] - 1][1]
+                kept += own[last:]
+                keep[-1] = max(sizes) <= most_words and sum(sizes) <= most_share * len(places)
+                out[k] = kept.decode()
+            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _spotted(folder: str, path: str | None, text: str, name: str) -> Callable:
+    """The spans of each row behind its columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _loaded(folder, path) if path else Automaton([])
+        for batch in batches:
+            found = [automaton.matches(words(t))[0] for t in utf8(batch.column(batch.schema.get_field_index(text)))]
+            spans = pa.array([[{"start": a, "stop": b} for a, b in united(x)] for x in found], KIND)
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, name])
 
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = 200, most_share: float = 0.5, window: int = WINDOW) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = 200, most_share: float = 0.5, window: int = WINDOW, text: str = "text") -> DataFrame:
     """Documents without the spans that match benchmark items.
 
     A document goes altogether if one span has over ``most_words`` words or if
     spans cover over ``most_share`` of its words. Others keep their rows and
-    columns; only hit spans leave ``text``. Clean texts are unchanged. Items need
-    no id.
+    columns; only hit spans leave ``text``. Clean texts are unchanged, null ones
+    too. Items need no id.
     """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window=window)]
-    return docs.mapInArrow(_removed(shared, most_words, most_share), docs.schema)
+    folder, paths = automata(benchmark, window=window)
+    spans = fresh(docs, "_spans")
+    if len(paths) < 2:
+        schema = StructType([*docs.schema.fields, StructField(spans, SPANS)])
+        found = docs.mapInArrow(_spotted(folder, paths[0] if paths else None, text, spans), schema)
+    else:
+        own, row = with_rows(docs)
+        matched = functools.reduce(DataFrame.unionByName, [own.select(F.lit(None).cast("long").alias("id"), F.col(text), F.col(row)).mapInArrow(_matched(folder, p), SCHEMA) for p in paths])
+        hits = matched.where("size(spans) > 0").groupBy(F.col("row").alias(row)).agg(F.expr(UNITED).alias(spans))
+        found = own.join(hits, row, "left").select(*docs.columns, spans)
+    return found.mapInArrow(_removed(text, most_words, most_share), docs.schema)

@@ -5,8 +5,8 @@ order into ranges, each range is sorted externally by Spark (which spills), and
 a pass over neighbours compares whole texts. The order is (first bytes, hash of
 the whole text, text, id), so texts that share a long beginning still spread,
 and the copies of a hot text spread by id over as many ranges as they need.
-A run of equal texts that crosses the border of a range is put together from
-its parts, at most two for each range.
+A run of equal texts that crosses the border of a range, or that is too long to
+be held by a task, is put together from its parts.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, stored
+from .common import RowNumbers, stored, with_rows
 
 #: Bytes of a text that a splitter holds; the hash behind them orders the rest.
 LEAD = 48
-#: Splitters are taken from about so many rows for each range; all of them fit on the driver.
+#: Splitters are taken from a random sample of about so many rows for each range, whatever the ids are.
 SAMPLED = 64
+SEED = 7
 #: Copies of one text held by a task before their rows go out under one run number.
 RUN_ROWS = 50_000
 
@@ -59,7 +60,8 @@ def _dealt(splitters) -> Callable:
             norm, lead, h = _keys(batch.column(1))
             ids = batch.column(0).to_pylist()
             to = [bisect.bisect_right(cuts, (a, b, _last(i))) for a, b, i in zip(lead.to_pylist(), h.to_pylist(), ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.take(len(ids)), pa.int64()), batch.column(0), norm, h, pa.array(to, pa.int32())], ["row", "id", "norm", "h", "to"])
+            rows = batch.column(2) if batch.num_columns > 2 else pa.array(numbers.take(len(ids)), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), norm, h, pa.array(to, pa.int32())], ["row", "id", "norm", "h", "to"])
 
     return run
 
@@ -129,23 +131,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Groups of equal texts: ``row, id, keep_id, group_size, kept, text_sha256`` for every input row.
 
     Texts are equal if they are once A-Z is lower-cased; null is empty. The row
     with the largest id stays. Among repeated ids, the one read first stays.
     Null ids lose against others; a group of null ids keeps the row read first.
-    Other columns are not read; an empty table gives no rows.
+    Other columns are not read; an empty table gives no rows. ``row`` names a
+    column of numbers that tell the rows apart; without it they are numbered as
+    they are read.
     """
     spark = docs.sparkSession
-    kept = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    share = min(1.0, SAMPLED * ranges / max(1, kept.count()))
-    chosen = kept.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sampled = chosen.mapInArrow(_sampled, "lead binary, h long, id long").toArrow()
+    share = min(1.0, SAMPLED * ranges / max(1, own.count()))
+    sampled = own.select("id", "text").sample(share, SEED).mapInArrow(_sampled, "lead binary, h long, id long").toArrow()
     keys = sorted((lead, h, _last(i)) for lead, h, i in zip(*(sampled.column(k).to_pylist() for k in range(3)), strict=True))
     splitters = spark.sparkContext.broadcast([keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else [])
-    dealt = kept.mapInArrow(_dealt(splitters), "row long, id long, norm binary, h long, to int").repartitionById(ranges, F.col("to"))
+    dealt = own.mapInArrow(_dealt(splitters), "row long, id long, norm binary, h long, to int").repartitionById(ranges, F.col("to"))
     ordered = dealt.sortWithinPartitions(F.substring("norm", 1, LEAD), "h", "norm", F.col("id").asc_nulls_first()).select("row", "id", "norm", "h")
     return merged(stored(ordered.mapInArrow(_neighbours, RUNS), "runs"))
 
@@ -153,12 +156,14 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 def merged(runs: DataFrame) -> DataFrame:
     """Whole groups out of runs whose parts lie in several ranges.
 
-    There are at most two such texts for each range, so they are broadcast.
+    Rows find their text's whole by their own part, which has ``RUN_ROWS`` rows
+    at most, so that the copies of a hot text never meet in one task.
     """
     best = F.max(F.struct(F.col("keep_id").alias("id"), (-F.col("keep_row")).alias("row")))
     parts = runs.where("edge").groupBy("text_sha256", "part", "run").agg(best.alias("best"), F.first("size").alias("size"))
-    edges = parts.groupBy("text_sha256").agg(F.max("best").alias("best"), F.sum("size").alias("edge_size")).withColumn("edge", F.lit(True))
-    whole = runs.join(F.broadcast(edges), ["text_sha256", "edge"], "left")
+    texts = parts.groupBy("text_sha256").agg(F.max("best").alias("best"), F.sum("size").alias("edge_size"))
+    edges = parts.select("text_sha256", "part", "run").join(texts, "text_sha256").select("part", "run", "best", "edge_size")
+    whole = runs.join(edges, ["part", "run"], "left")
     at_edge = F.col("best").isNotNull()
     return whole.select(
         "row",
@@ -168,3 +173,10 @@ def merged(runs: DataFrame) -> DataFrame:
         (F.col("row") == F.when(at_edge, -F.col("best.row")).otherwise(F.col("keep_row"))).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of equal texts, with all its columns; which one, ``exact_groups`` says."""
+    own, row = with_rows(docs)
+    stays = exact_groups(own, id_column, text, row).where("kept")
+    return own.join(stays.select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from .common import fresh
 
 SIZES = (1, 2, 3)
 #: N-grams of a language profile, and of a document's.
@@ -31,6 +34,7 @@ FIT, CALIBRATED = 0.5, 1_000
 MEMO = 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+LETTER = r"\p{L}"
 
 
 def word_grams(word: str) -> list[str]:
@@ -135,9 +139,9 @@ class Profiles:
         return codes[np.lexsort((codes, -counts))[: self.own]]
 
     def nearest(self, text: str | None) -> tuple[str, float]:
-        top = self.top(text or "")
-        if not len(top) or not self.langs:
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
+        top = self.top(text)
         k = np.searchsorted(self.codes, top)
         k[k == len(self.codes)] = 0
         k[self.codes[k] != top] = len(self.codes)
@@ -147,14 +151,16 @@ class Profiles:
         return self.langs[best], 1.0 - float(apart[best]) / (self.size * len(top))
 
 
-def _predicted(shared) -> Callable:
+def _predicted(shared, lang: str = "lang_pred", score: str = "score", whole: bool = False) -> Callable:
+    """Language and score behind a batch's columns; ``whole`` keeps the text among these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            got = [profiles.nearest(t) for t in batch.column(at).to_pylist()]
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*keep, "lang_pred", "score"])
+            names = batch.schema.names
+            got = [profiles.nearest(t) for t in batch.column(names.index("text")).to_pylist()]
+            keep = [k for k, n in enumerate(names) if whole or n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*(names[k] for k in keep), lang, score])
 
     return run
 
@@ -188,25 +194,16 @@ def bounds(labelled: DataFrame, profiles: dict[str, list[str]], trained: int = C
 def recognised(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised, columns unchanged; the others go.
 
-    Those are texts without letters and texts too far from every profile. If no
-    profile could be learned, all documents with letters stay.
+    ``lang_pred`` and ``score`` decide: texts without letters and texts with a
+    lower score than ``bounds`` has for their language go. If no profile could
+    be learned, all documents with letters stay.
     """
     known = docs.where(learning_part())
     profiles = learn(known)
-    least = bounds(known, profiles)
+    if not profiles:
+        return docs.where(F.col("text").rlike(LETTER))
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-
-        def stays(text: str | None) -> bool:
-            if not own.langs:
-                return bool(LETTERS.search(text or ""))
-            lang, score = own.nearest(text)
-            return lang != UNKNOWN and score >= least.get(lang, 0.0)
-
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([stays(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    named = docs.mapInArrow(_predicted(shared, lang, score, whole=True), StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
+    least = F.create_map(*[x for k, v in bounds(known, profiles).items() for x in (F.lit(k), F.lit(v))])
+    return named.where((F.col(lang) != UNKNOWN) & (F.col(score) >= F.coalesce(least[F.col(lang)], F.lit(0.0)))).select(*docs.columns)

@@ -57,27 +57,32 @@ FROM q
 
 OP2 = """
 WITH t AS (
-  SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS chosen, CAST(coalesce(turn, 2147483647) AS INTEGER) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations
+  SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
 ), by_turn AS (
   SELECT pair_id, turn, list_sort(list({'r': role, 't': text}) FILTER (WHERE chosen)) AS c, list_sort(list({'r': role, 't': text}) FILTER (WHERE NOT chosen)) AS r
   FROM t GROUP BY pair_id, turn
 ), differ AS (
   SELECT pair_id, min(turn) AS first FROM by_turn WHERE c IS DISTINCT FROM r GROUP BY pair_id
 ), placed AS (
-  SELECT t.*, coalesce(turn < first, true) AS in_prompt FROM t LEFT JOIN differ ON t.pair_id = differ.pair_id
+  SELECT t.*, CASE WHEN differ.pair_id IS NULL THEN true WHEN turn IS NULL THEN false ELSE coalesce(turn < first, true) END AS in_prompt
+  FROM t LEFT JOIN differ ON t.pair_id = differ.pair_id
 ), shown AS (
-  SELECT *, replace(replace(role, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS r,
-         replace(replace(text, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS x,
-         count(*) FILTER (WHERE in_prompt AND chosen) OVER (PARTITION BY pair_id) AS n_prompt
-  FROM placed
+  SELECT pair_id, turn // 1000 AS block, turn, chosen, in_prompt, role = 'assistant' AND NOT in_prompt AS trained, 13 + length(replace(replace(role, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>')) AS head,
+         '<|im_start|>' || replace(replace(role || chr(10) || text, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') || '<|im_end|>' || chr(10) AS rendered
+  FROM placed WHERE chosen OR NOT in_prompt
+), spots AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, block, chosen, in_prompt ORDER BY turn, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM shown
+), masks AS (
+  SELECT *, CAST(place + head AS BIGINT) || ':' || CAST(place + length(rendered) - 1 AS BIGINT) AS mask FROM spots
 )
-SELECT pair_id, CASE WHEN in_prompt THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn,
-       '<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10) AS rendered,
-       CASE WHEN role = 'assistant' AND NOT in_prompt THEN CAST(13 + length(r) AS INTEGER) ELSE 0 END AS mask_start,
-       CASE WHEN role = 'assistant' AND NOT in_prompt THEN CAST(23 + length(r) + length(x) AS INTEGER) ELSE 0 END AS mask_stop,
-       n_prompt
-FROM shown WHERE chosen OR NOT in_prompt
+SELECT pair_id, block,
+       coalesce(string_agg(rendered, '' ORDER BY turn, rendered) FILTER (WHERE in_prompt), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY turn, rendered) FILTER (WHERE chosen AND NOT in_prompt), '') AS chosen,
+       coalesce(string_agg(mask, ',' ORDER BY place) FILTER (WHERE trained AND chosen), '') AS chosen_mask,
+       coalesce(string_agg(rendered, '' ORDER BY turn, rendered) FILTER (WHERE NOT chosen), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY place) FILTER (WHERE trained AND NOT chosen), '') AS rejected_mask
+FROM masks GROUP BY pair_id, block
 """
 
 ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6}

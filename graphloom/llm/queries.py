@@ -25,7 +25,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation 2k is the chosen one of pair k, 2k + 1 the rejected one."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return preferences.segments(turns, F.expr("shiftright(conv_id, 1)"), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+    found = preferences.paired(preferences.segments(turns, F.expr("shiftright(conv_id, 1)"), F.pmod(F.col("conv_id"), F.lit(2)) == 0))
+    listed = lambda mask: F.expr(f"array_join(transform({mask}, s -> concat(s.start, ':', s.stop)), ',')").alias(mask)
+    return found.select("pair_id", "block", "prompt", "chosen", listed("chosen_mask"), "rejected", listed("rejected_mask"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """WARC archives in individually compressed Zstandard frames with an embedded dictionary.
 
-An archive starts with a skippable frame that holds a dictionary trained on the
-archive's own first records, then has one frame for each record, so a record can
-be read by its offset alone. Payloads that are equal are stored once; the other
-records revisit the one with the smallest id.
+An archive starts with a skippable frame that holds a dictionary, then has one
+frame for each record, so a record can be read by its offset alone. The
+dictionary is trained on records that a hash picks from all of the task's
+records; they are sorted to the front, so training needs no second pass. Where
+they are too few or too short to train on, their bytes themselves are the
+dictionary. Payloads that are equal are stored once; the other records revisit
+the one with the smallest id.
 
 Every task writes its own files under names that no other attempt uses and
 reports them; only reported files count, so a task that runs again leaves no
@@ -24,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, hot_join, kept, store, stored
 
 SKIPPABLE = 0x184D2A5D
 FRAME = struct.pack("<I", 0xFD2FB528)
-#: A dictionary is trained on records up to these bounds; later records are compressed with it.
-TRAIN_BYTES, TRAIN_RECORDS, DICTIONARY = 4 << 20, 2_000, 64 << 10
+#: Bytes of records from which a dictionary is trained, in expectation, and its size at most.
+TRAIN_BYTES, DICTIONARY = 4 << 20, 64 << 10
 LEVEL = 3
 #: A file is closed, and another begun, beyond so many bytes.
 ARCHIVE_BYTES = 512 << 20
@@ -37,17 +40,17 @@ DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page: int | None) -> str:
-    """A version 8 UUID that carries the page id; without one, its first half is set."""
-    value = (page or 0) % (1 << 64)
-    own = uuid.UUID(int=((0 if page is not None else (1 << 48) - 1) << 80) | (8 << 76) | ((value >> 62) << 64) | (2 << 62) | (value & ((1 << 62) - 1)))
+def record_id(page: int | None, row: int) -> str:
+    """A version 8 UUID that carries the page id, whether there is one, and the row's number, which makes it unique."""
+    value, row = (page or 0) % (1 << 64), (row << 1 | (page is None)) % (1 << 58)
+    own = uuid.UUID(int=((row >> 10) << 80) | (8 << 76) | ((row & 1023) << 66) | ((value >> 62) << 64) | (2 << 62) | (value & ((1 << 62) - 1)))
     return f"<urn:uuid:{own}>"
 
 
 def page_of(record: str) -> int | None:
     own = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
     value = ((own >> 64) & 3) << 62 | own & ((1 << 62) - 1)
-    return None if own >> 80 else value - (1 << 64) if value >> 63 else value
+    return None if own >> 66 & 1 else value - (1 << 64) if value >> 63 else value
 
 
 def digest(payload: bytes) -> str:
@@ -59,14 +62,18 @@ def one_line(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisits: bool) -> bytes:
-    """One WARC record; a revisit keeps the HTTP headers and leaves the payload out."""
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Type", "revisit" if revisits else "response"), ("WARC-Record-ID", record_id(page)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+def base32(sha1: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha1)).decode()
+
+
+def record(row: int, page: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to: tuple[int, int | None] | None) -> bytes:
+    """One WARC record; a revisit (``refers_to``: row and page of the response) keeps the HTTP headers and leaves the payload out."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    headers = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", record_id(page, row)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         headers.append(("WARC-Target-URI", one_line(url)))
-    if revisits:
-        headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to))]
+    if refers_to:
+        headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to[1], refers_to[0]))]
     else:
         block += payload
     return written([*headers, ("Content-Length", str(len(block)))], block)
@@ -76,86 +83,90 @@ def written(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def trained(samples: list[bytes]):
-    """A dictionary of the samples, or None where they are too few or too short to train on."""
+def trained(records: list[bytes]):
+    """A dictionary of the records; their last bytes as they are where training has too little to go by."""
     import zstandard
 
+    # short samples cut from long records: each begins where a match would help
+    samples = [r[i : i + 16_384] for r in records for i in range(0, len(r), 16_384)]
     size = min(DICTIONARY, sum(map(len, samples)) // 10)
-    try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8) if size >= 1024 and len(samples) > 8 else None
-    except zstandard.ZstdError:
-        return None
+    if size >= 1024 and len(set(samples)) > 8:
+        made = zstandard.train_dictionary(size, samples, k=256, d=8)
+    else:
+        made = zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(level=LEVEL)
+    return made
 
 
 class Archive:
-    """A file that is being written."""
+    """A file that is being written, with a dictionary in front."""
+
+    def __init__(self, filesystem, path: str, dictionary) -> None:
+        import zstandard
 
-    def __init__(self, filesystem, path: str) -> None:
         self.path, self.file = path, filesystem.open_output_stream(path, compression=None)
         self.size = self.records = 0
-        self.first: list[bytes] | None = []
-        self.first_size = 0
-        self.compressor = None
-        self.add(written([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")], b""))
+        body = zstandard.ZstdCompressor(level=9).compress(dictionary.as_bytes())
+        self._put(struct.pack("<II", SKIPPABLE, len(body)) + body)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
+        about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", "0")]
+        self.add(written(about, b""))
 
     def add(self, one: bytes) -> None:
         self.records += 1
-        if self.first is None:
-            self._put(self.compressor.compress(one))
-            return
-        self.first.append(one)
-        self.first_size += len(one)
-        if self.first_size >= TRAIN_BYTES or len(self.first) >= TRAIN_RECORDS:
-            self._begin()
-
-    def _begin(self) -> None:
-        import zstandard
-
-        # short samples cut from long records: each begins where a match would help
-        samples = [r[i : i + 16_384] for r in self.first for i in range(0, len(r), 16_384)]
-        found = trained(samples)
-        if found:
-            body = zstandard.ZstdCompressor(level=9).compress(found.as_bytes())
-            self._put(struct.pack("<II", SKIPPABLE, len(body)) + body)
-            found.precompute_compress(level=LEVEL)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=found, write_checksum=True)
-        first, self.first = self.first, None
-        for one in first:
-            self._put(self.compressor.compress(one))
+        self._put(self.compressor.compress(one))
 
     def _put(self, data: bytes) -> None:
         self.file.write(data)
         self.size += len(data)
 
     def close(self) -> tuple[str, int, int]:
-        if self.first is not None:
-            self._begin()
         self.file.close()
         return self.path, self.records - 1, self.size
 
 
-def _filesystem(folder: str):
-    """The store of a folder's URI, and the path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[bool, bytes]]:
+    """Whether a record teaches, and the record."""
+    html = batch.column("html").view(pa.binary()).to_pylist()
+    names = ("row", "page", "url", "size", "sha", "low_row", "low_page", "teaches")
+    for payload, row, page, url, size, sha, low_row, low_page, teaches in zip(html, *(batch.column(n).to_pylist() for n in names), strict=True):
+        yield teaches, record(row, page, url, payload, size, sha, None if low_row is None else (low_row, low_page))
 
 
 def _written(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, path = _filesystem(folder)
+        filesystem, path = store(folder)
         filesystem.create_dir(path, recursive=True)
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}" if context else "000000-0"
-        done, archive = [], None
+        done, archive, dictionary, first = [], None, None, []
+
+        def put(one: bytes) -> None:
+            nonlocal archive, dictionary
+            if archive is None:
+                if dictionary is None:
+                    dictionary = trained(first or [one])
+                archive = Archive(filesystem, f"{path}/pages-{name}-{len(done):04d}.warc.zst", dictionary)
+            archive.add(one)
+            if archive.size >= ARCHIVE_BYTES:
+                done.append(archive.close())
+                archive = None
+
+        def flush() -> None:
+            held = first[:]
+            for one in held:
+                put(one)
+            first.clear()
+
         for batch in batches:
-            html = batch.column(2).fill_null("").view(pa.binary()).to_pylist()
-            for page, url, payload, low, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), html, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                archive = archive or Archive(filesystem, f"{path}/pages-{name}-{len(done):04d}.warc.zst")
-                archive.add(record(page, url, payload, low, revisits))
-                if archive.size >= ARCHIVE_BYTES:
-                    done.append(archive.close())
-                    archive = None
+            for teaches, one in _rows(batch):
+                if teaches and dictionary is None:
+                    first.append(one)
+                    continue
+                if first:
+                    flush()
+                put(one)
+        flush()
         if archive:
             done.append(archive.close())
         for own, records, size in done:
@@ -167,17 +178,30 @@ def _written(folder: str) -> Callable:
 def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Archive all pages under ``folder``; returns the files: ``path, records, bytes``.
 
-    Null html is an empty payload; a null URL gives a record without one. Equal
-    payloads, empty ones too, are stored once, with the smallest id; rows that
-    repeat that id are each a response. Null ids come after all others; if a
-    payload has no other, they are responses.
+    Null html is an empty payload; a null URL gives a record without one. Of
+    equal payloads, empty ones too, one is stored, with the smallest id; all
+    others revisit it, repeated ids and repeated rows too. Null ids come after
+    all others. Other columns are not read; an empty table gives no file.
     """
-    own = pages.select(F.col(page).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    keyed = own.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "xx": F.xxhash64("html"), "size": F.octet_length("html")})
-    shared = keyed.groupBy("sha", "xx", "size").agg(F.min("page").alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null").drop("n")
-    chosen = keyed.join(shared, ["sha", "xx", "size"], "left")
-    marked = chosen.select("page", "url", "html", "low", (F.col("low").isNotNull() & ~F.col("page").eqNullSafe(F.col("low"))).alias("revisits"))
-    return stored(marked.mapInArrow(_written(folder), "path string, records long, bytes long"), "archives")
+    payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("html"))
+    own = stored(numbered.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "xx": F.xxhash64("html"), "size": F.octet_length("html").cast("long")}), "pages")
+    same = ["sha", "xx", "size"]
+    keyed = own.select("row", "page", *same)
+    low = F.min(F.struct(F.col("page").isNull().alias("null"), "page", "row"))
+    lows, lows_path = kept(keyed.groupBy(*same).agg(low.alias("low"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    revisits, path = kept(hot_join(keyed, lows, same, "n").where("row <> low.row").select("row", F.col("low.row").alias("low_row"), F.col("low.page").alias("low_page")), "revisits")
+    dropped(own.sparkSession, lows_path)
+    total = own.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["size"] or 0) // ARCHIVE_BYTES)
+    share = min(1.0, TRAIN_BYTES * parts / ((total["size"] or 0) + 500 * total["n"] + 1))
+    marked = own.join(revisits, "row", "left").select(
+        "row", "page", "url", F.when(F.col("low_row").isNull(), F.col("html")).alias("html"), "size", "sha", "low_row", "low_page", (F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).alias("teaches")
+    )
+    dealt = marked.repartition(parts, "row").sortWithinPartitions(F.desc("teaches"), "row")
+    out = stored(dealt.mapInArrow(_written(folder), "path string, records long, bytes long"), "archives")
+    dropped(own.sparkSession, path)
+    return out
 
 
 def records(file) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -187,7 +211,7 @@ def records(file) -> Iterator[tuple[dict[str, str], bytes]]:
     known, head = None, file.read(8)
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
         body = file.read(struct.unpack("<I", head[4:])[0])
-        known = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(body) if body.startswith(FRAME) else body)
+        known = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(body) if body.startswith(FRAME) else body)  # trained or plain bytes, as it begins
         head = b""
     reader = zstandard.ZstdDecompressor(dict_data=known)
     left, data = head, b"\0"
@@ -229,7 +253,7 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def _read(folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _filesystem(folder)
+        filesystem, _ = store(folder)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         names = [x.split()[0] for x in READ.split(", ")]
 

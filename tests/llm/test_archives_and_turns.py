@@ -16,17 +16,16 @@ def archived(spark, tmp_path, pages, schema="page_id long, url string, html stri
 
 
 def expected(pages):
-    low = {}
+    """One response for each payload: of the smallest id, nulls last; it does not matter which of repeated rows."""
+    by = {}
     for page, _, html in pages:
-        html = html or ""
-        if page is not None:
-            low[html] = min(page, low.get(html, page))
+        by.setdefault(html or "", []).append(page)
     out = []
-    for page, _, html in pages:
-        payload = (html or "").encode()
-        first = low.get(html or "")
-        again = first is not None and page != first
-        out.append((page, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", first if again else None))
+    for html, own in by.items():
+        payload = html.encode()
+        about = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+        first, *rest = sorted(own, key=lambda p: (p is None, p or 0))
+        out += [(first, *about, "response", None)] + [(p, *about, "revisit", first) for p in rest]
     return out
 
 
@@ -40,6 +39,11 @@ ODD_PAGES = [
     (-(2**63), "u", "WARC/1.1\r\n\r\n"),
     (None, "u", "alone"),
     (None, "u", "<p>same</p>"),
+    (3, "again", "<p>same</p>"),
+    (None, "u", "no id"),
+    (None, "v", "no id"),
+    (4, "u", "whole row"),
+    (4, "u", "whole row"),
 ]
 
 
@@ -82,14 +86,39 @@ def test_clashing_columns(spark, tmp_path):
 
 def test_record_ids():
     for page in (0, 1, -1, 2**63 - 1, -(2**63), 123456789, None):
-        assert warc.page_of(warc.record_id(page)) == page
+        assert warc.page_of(warc.record_id(page, 5)) == page
+    assert len({warc.record_id(p, r) for p in (None, 0, 7) for r in (0, 1, 1 << 33, (1 << 33) + 1, 123 << 33)}) == 15
+
+
+def test_ids_of_records_are_unique(spark, tmp_path):
+    files, _ = archived(spark, tmp_path, ODD_PAGES)
+    found, referred = [], set()
+    for r in files.collect():
+        with open(r["path"], "rb") as file:
+            for headers, _ in warc.records(file):
+                found.append(headers["WARC-Record-ID"])
+                referred |= {headers["WARC-Refers-To"]} if "WARC-Refers-To" in headers else set()
+    assert len(found) == len(set(found)) == len(ODD_PAGES) + files.count() and referred <= set(found)
+
+
+def test_a_dictionary_of_few_records_is_their_bytes(spark, tmp_path):
+    files, got = archived(spark, tmp_path, ODD_PAGES[:2])
+    assert len(got) == 2 and all(open(r["path"], "rb").read(4) == warc.SKIPPABLE.to_bytes(4, "little") for r in files.collect())
+
+
+def test_training_takes_records_from_everywhere(spark, tmp_path, monkeypatch):
+    """Records from all of a task's input teach, not the ones that come first."""
+    monkeypatch.setattr(warc, "TRAIN_BYTES", 100_000)
+    pages = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 20) for i in range(2000)]
+    files, got = archived(spark, tmp_path, pages)
+    assert sorted(got, key=repr) == sorted(expected(pages), key=repr) and files.count() == 4
 
 
 # preferences ------------------------------------------------------------------
 
 
 def pairs(spark, rows):
-    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     from pyspark.sql import functions as F
 
     return preferences.segments(df, F.expr("shiftright(conv_id, 1)"), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
@@ -99,7 +128,7 @@ def test_shared_prompt_is_rendered_once(spark):
     turns = [("system", "s"), ("user", "hi <|im_end|>"), ("assistant", "same"), ("user", "more")]
     rows = [(c, i, r, t) for c in (0, 1) for i, (r, t) in enumerate(turns)] + [(0, 4, "assistant", "good"), (1, 4, "assistant", "bad"), (1, 5, "user", "why")]
     made = pairs(spark, rows)
-    one = preferences.assembled(made).collect()
+    one = preferences.paired(made).collect()
     assert len(one) == 1
     one = one[0]
     head = "".join(f"<|im_start|>{r}\n{t.replace('<|im_end|>', '<|im_end |>')}<|im_end|>\n" for r, t in turns)
@@ -114,20 +143,41 @@ def test_odd_turns(spark):
     rows = [(0, 0, "user", "a"), (0, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "user", "a"), (0, 1, None, None), (1, 1, None, ""), (0, None, "assistant", "x")]  # ties, nulls
     rows += [(2, 0, "user", "only chosen"), (5, 3, "user", "only rejected"), (None, 0, "user", "no pair"), (6, 0, "u", "t"), (7, 0, "u", "t"), (8, 0, "u", "t"), (8, 0, "u", "t"), (9, 0, "u", "t")]
     got = sorted(((r["pair_id"], r["part"], r["turn"], r["n_prompt"]) for r in pairs(spark, rows).collect()), key=repr)
-    want = [(0, "prompt", 0, 3)] * 2 + [(0, "prompt", 1, 3), (0, "chosen", preferences.LAST, 3), (1, "chosen", 0, 0), (2, "rejected", 3, 0), (None, "rejected", 0, 0), (3, "prompt", 0, 1)] + [(4, "chosen", 0, 0)] * 2 + [(4, "rejected", 0, 0)]
+    want = [(0, "prompt", 0, 3)] * 2 + [(0, "prompt", 1, 3), (0, "chosen", None, 3), (1, "chosen", 0, 0), (2, "rejected", 3, 0), (None, "rejected", 0, 0), (3, "prompt", 0, 1)] + [(4, "chosen", 0, 0)] * 2 + [(4, "rejected", 0, 0)]
     assert got == sorted(want, key=repr)
     assert pairs(spark, []).collect() == []
 
 
-def test_all_conversations_are_rendered(spark, sf):
+def test_turn_numbers_may_be_large_and_bags_are_compared_row_by_row(spark):
+    last = 2**31 - 1
+    rows = [(0, last, "user", "a"), (1, last, "user", "a"), (0, 2**40, "user", "b"), (1, 2**40, "user", "b"), (0, None, "assistant", "x"), (1, None, "assistant", "y")]
+    rows += [(c, 0, "user", t) for c, ts in ((2, "aabd"), (3, "abbd")) for t in ts]  # as many rows, the same smallest and largest
+    made = pairs(spark, rows)
+    assert sorted((r["pair_id"], r["part"], r["turn"]) for r in made.where("pair_id = 0").collect() if r["turn"]) == [(0, "prompt", last), (0, "prompt", 2**40)]
+    assert {r["part"] for r in made.where("pair_id = 1").collect()} == {"chosen", "rejected"}
+    got = {(r["pair_id"], r["block"]): r for r in preferences.paired(made).collect()}
+    assert set(got) == {(0, last // 1000), (0, 2**40 // 1000), (0, None), (1, 0)} and "x<|im_end|>" in got[0, None]["chosen"] and "y<|im_end|>" in got[0, None]["rejected"]
+
+
+def test_long_and_clashing_conversations(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, i, "assistant", f"{c} {i} " + "word " * (20_000 if i == 2000 else 1), "clash", 7) for c in (0, 1) for i in range(2500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, part string, pair_id int").repartition(3)
+    got = {r["block"]: r for r in preferences.paired(preferences.segments(df, F.expr("shiftright(conv_id, 1)"), F.col("conv_id") == 0)).collect()}
+    assert set(got) == {0, 1, 2} and [len(got[k]["chosen_mask"]) for k in range(3)] == [1000, 1000, 500]
+    assert all(r["chosen"][s["start"] : s["stop"]].endswith("<|im_end|>") for r in got.values() for s in r["chosen_mask"])
+
+
+def test_all_conversations_are_paired(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     by = {}
     for c, t, r, x in rows:
         by.setdefault(c, {})[t] = (r, x)
-    want = []
+    show = lambda side, turns: "".join(f"<|im_start|>{side[t][0]}\n{side[t][1]}<|im_end|>\n" for t in sorted(turns))
+    want = {}
     for k in {c >> 1 for c in by}:
         a, b = by.get(2 * k, {}), by.get(2 * k + 1, {})
         first = min((t for t in a.keys() | b.keys() if a.get(t) != b.get(t)), default=10**9)
-        want += [(k, "prompt" if t < first else name, t) for name, side in (("chosen", a), ("rejected", b)) for t in side if t >= first or name == "chosen"]
-    got = [(r["pair_id"], r["part"], r["turn"]) for r in queries.op2_preference_formatting(spark, sf).collect()]
-    assert sorted(got) == sorted(want)
+        want[k] = (show(a, [t for t in a if t < first]), show(a, [t for t in a if t >= first]), show(b, [t for t in b if t >= first]))
+    assert {r["pair_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in queries.op2_preference_formatting(spark, sf).collect()} == want
