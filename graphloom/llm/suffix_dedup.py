@@ -1,20 +1,28 @@
 """Repeated byte strings by a distributed difference-cover algorithm.
 
-Only strings that can repeat, and each once, are sorted. Every window of
-``WINDOW`` bytes has an anchor, the first of its smallest shorter grams, and
-equal windows have it in the same place; so a window whose anchor is nowhere
-else is unique. The windows of one anchor lie side by side and span a stretch.
-Equal stretches repeat each other, whole, and are represented by one of them.
-Different stretches around one anchor are cut into parts of ``PART`` windows:
-parts without the same middle share no window, equal parts are again one, and
-the rest is sorted, one representative for each.
-
-There, positions 1 and 2 modulo 3 are the sample. Triples of words at sampled
-positions are sorted and named by rank, and so are the triples of names, which
-stand for ``COVERED`` bytes. The other positions are merged in by the bytes
-that lead to the next sampled one: any two positions are both sampled after 0,
-1 or 2 bytes, so the keys that go with these shifts bring equal windows
-together, where neighbours are compared.
+What cannot repeat is left out first. Every window of ``WINDOW`` bytes has an
+anchor, the first of its smallest shorter grams, and equal windows have it in
+the same place; so a window whose anchor has a hash that is nowhere else is
+unique. The windows of one anchor lie side by side and span a stretch.
+
+Whole copies come next. Stretches around the same anchor are sorted by their
+bytes and compared with their neighbours; the windows of equal ones repeat each
+other, and one of them goes on for all. Only anchors with several kinds of
+stretches go on, and of these stretches the parts of ``PART`` windows whose
+common middle is somewhere else too (by a hash, which lets through at most more).
+
+The windows that are left are decided by the difference cover. Positions 1 and 2
+modulo 3 are the sample. Triples of words at sampled positions are sorted and
+named by their order; then triples of names are, and so on until the names
+stand for all of a window that no shift leaves out, or none is shared. A
+position with a name that no other shares drops out at each level, as nothing
+that holds it repeats. The remaining positions are merged in by the bytes that
+lead to the next sampled one: any two positions are both sampled after 0, 1 or 2
+bytes, so sorted by shift, leading bytes, trailing bytes and name, equal windows
+are neighbours, which are compared.
+
+All sorts are over ranges of the key (``ordering.ranked``); every comparison is of
+whole keys.
 """
 
 from __future__ import annotations
@@ -27,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import numbered
-from .common import RowNumbers, chunks, columns_batch, dropped, kept, utf8
+from .common import RowNumbers, chunks, columns_batch, dropped, hot_join, kept, stored, utf8
+from .ordering import ranked
 
 WINDOW, GRAM = 200, 100
-#: Bytes of a triple of words, and of a triple of such triples' names.
+#: Bytes of a triple of words.
 TRIPLE = 66
-COVERED = 3 * TRIPLE
 PART = 8
+#: Bytes of a text whose anchors are found together; the arrays for it take about 64 times as much.
+BLOCK = 1 << 20
 PLACE = np.uint64((1 << 31) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
@@ -73,18 +82,13 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return at[first], gram[at[first]].view(np.int64), first, last
 
 
-def _digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
-
-
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each anchor the first window of its stretch, how far the anchor is behind it, how many more windows there are, and its hash."""
     for batch in batches:
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, h, first, last = anchors(text)
-            if len(at):
-                whole = [_digest(text[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                place = at << 16 | (at - first) << 8 | (at - last)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(place), pa.array(h), pa.array(whole, pa.int64())], ["row", "place", "h", "whole"])
+            for base in range(0, len(text) - WINDOW + 1, BLOCK):
+                at, h, first, last = anchors(text[base : base + BLOCK + WINDOW - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(first + base), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(h)], ["row", "first", "off", "more", "h"])
 
 
 def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,132 +97,142 @@ def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(numbers.take(batch.num_rows), pa.int64()), batch.column(0), pa.array(utf8(batch.column(1)), pa.binary())], ["row", "id", "text"])
 
 
+STRETCHES = "row long, first long, anchor long, off int, more int, bytes binary"
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of stretches, from their texts."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for row, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             for some in chunks(iter(found), 10_000):
-                rows = []
-                for f in some:
-                    at, first, last = f["place"] >> 16, f["place"] >> 8 & 255, f["place"] & 255
-                    rows.append((row, at, at - first, text[at - first : at - last + WINDOW], f["n"]))
-                yield columns_batch(["row", "at", "base", "bytes", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()], rows)
+                cut = [text[f["first"] : f["first"] + f["more"] + WINDOW] for f in some]
+                columns = [[row] * len(some), *([f[k] for f in some] for k in ("first", "anchor", "off", "more")), cut]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in STRETCHES.split(", ")])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of a stretch by their distance from the anchor, ``PART`` at a time."""
-    names = ["row", "at", "first", "last", "n", "middle", "whole"]
+    """Windows of a stretch by their distance from the anchor, ``PART`` at a time, with a hash of what all of the part's windows hold."""
     for batch in batches:
-        for some in chunks(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True), 1_000):
+        for some in chunks(zip(*(batch.column(n).to_pylist() for n in ("row", "first", "anchor", "off", "more", "bytes")), strict=True), 1_000):
             rows = []
-            for row, at, base, data, n in some:
-                far, near = at - base, at - base - (len(data) - WINDOW)
+            for row, first, anchor, far, more, data in some:
+                near = far - more
                 for part in range(near // PART, far // PART + 1):
-                    # what all windows of the part hold, wherever the stretch ends; it tells the part too
                     middle = data[far - part * PART : far - (part * PART + PART - 1) + WINDOW]
                     a, b = far - min(far, part * PART + PART - 1), far - max(near, part * PART)
-                    mark = part.to_bytes(2, "big") + (far - a).to_bytes(2, "big") + (far - b).to_bytes(2, "big")
-                    rows.append((row, at, base + a, base + b, n, _digest(mark[:2] + middle), hashlib.blake2b(mark + data[a : b + WINDOW], digest_size=16).digest()))
-            yield columns_batch(names, [pa.int64()] * 6 + [pa.binary()], rows)
+                    mark = hashlib.blake2b(anchor.to_bytes(8, "big", signed=True) + part.to_bytes(2, "big", signed=True) + middle, digest_size=8)
+                    rows.append((row, first, a, b, int.from_bytes(mark.digest(), "big", signed=True)))
+            yield columns_batch(["row", "first", "a", "b", "middle"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], rows)
 
 
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """Stretches with windows to be sorted: row, anchor, base, bytes, the windows' places."""
-    for row, at, base, data, parts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-        yield row, at, base, np.frombuffer(data, np.uint8), np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts])
-
-
-def _joined(columns: dict[str, list[np.ndarray]], rows: np.ndarray, places: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
-    """One batch for many stretches: each one's row and anchor, repeated, and the columns' parts put together."""
-    whole = {"row": rows.repeat(sizes), "at": places.repeat(sizes)} | {k: np.concatenate(v) for k, v in columns.items()}
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in whole.values()], list(whole))
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches with windows to be sorted: row, first, bytes, the windows' places in them."""
+    for row, first, data, parts in zip(*(batch.column(n).to_pylist() for n in ("row", "first", "bytes", "parts")), strict=True):
+        yield row, first, np.frombuffer(data, np.uint8), np.concatenate([np.arange(p["a"], p["b"] + 1) for p in parts])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three triples of words for each sampled position."""
+    """The triples of words that a window holds from each sampled position on; positions count in the text."""
+    steps = range(0, WINDOW - 2 - TRIPLE + 1, TRIPLE)
     for batch in batches:
         for some in chunks(_open(batch), 500):
             places, words = [], []
-            for _, _, base, data, starts in some:
-                pos = np.unique(np.concatenate((starts, starts + 1, starts + 2)))
+            for _, first, data, starts in some:
+                pos = np.unique(np.concatenate((starts, starts + 1, starts + 2))) + first
                 pos = pos[pos % 3 > 0]
                 raw = data.tobytes()
-                words += [raw[p + k : p + k + TRIPLE] for p in (pos - base).tolist() for k in (0, TRIPLE, 2 * TRIPLE)]
-                places.append(pos.repeat(3))
-            row, at = (np.array([x[k] for x in some], np.int64) for k in range(2))
-            made = _joined({"pos": places}, row, at, [len(p) for p in places])
-            yield made.append_column("k", pa.array(np.tile(np.arange(3, dtype=np.int32), len(words) // 3))).append_column("words", pa.array(words, pa.binary()))
+                words += [raw[p + k : p + k + TRIPLE] for p in (pos - first).tolist() for k in steps]
+                places.append(pos.repeat(len(steps)))
+            sizes = [len(p) for p in places]
+            row, first = (pa.array(np.array([x[k] for x in some], np.int64).repeat(sizes)) for k in range(2))
+            k = np.tile(np.arange(len(steps), dtype=np.int32), len(words) // len(steps))
+            yield pa.RecordBatch.from_arrays([row, first, pa.array(np.concatenate(places)), pa.array(k), pa.array(words, pa.binary())], ["row", "first", "pos", "k", "words"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window with the bytes at its ends, once for each shift that leads to a sampled position."""
+    """Each window with the name it leads to and the bytes at its ends, once for each shift; windows that lead to no shared name are left out."""
     for batch in batches:
-        for some in chunks(_open(batch), 500):
-            row, at = (np.array([x[k] for x in some], np.int64) for k in range(2))
+        for some in chunks(zip(_open(batch), batch.column("ranks").to_pylist(), strict=True), 500):
+            row = np.array([x[0] for x, _ in some], np.int64)
             for shift in range(3):
-                found: dict[str, list[np.ndarray]] = {"pos": [], "shift": [], "b0": [], "b1": []}
-                for _, _, base, data, starts in some:
-                    own = starts[(starts + shift) % 3 > 0]
+                found: dict[str, list[np.ndarray]] = {"start": [], "b0": [], "b1": [], "rank": []}
+                for (_, base, data, starts), ranks in some:
+                    place = np.array([r["pos"] for r in ranks], np.int64)
+                    name = np.array([r["name"] for r in ranks], np.int64)
+                    order = np.argsort(place)
+                    place, name = place[order], name[order]
+                    at = np.minimum(np.searchsorted(place, starts + base + shift), len(place) - 1)
+                    there = place[at] == starts + base + shift  # which is a sampled position then
+                    own = starts[there]
                     # of the two bytes that a name does not cover, ``shift`` are before it
-                    left, right = (data[own - base + (k if k < shift else COVERED + k)].astype(np.int32) for k in range(2))
-                    for name, part in zip(found, (own + shift, np.full(len(own), shift, np.int32), left, right), strict=True):
-                        found[name].append(part)
-                yield _joined(found, row, at, [len(p) for p in found["pos"]])
-
-
-def named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with the rank of ``key`` in its place."""
-    ranks = numbered(rows.select(*key).distinct(), key, "rank")
-    return rows.join(ranks, key).drop(*key).withColumnRenamed("rank", "name")
+                    left, right = (data[own + (k if k < shift else WINDOW - 2 + k)].astype(np.int32) for k in range(2))
+                    for key, part in zip(found, (own + base, left, right, name[at[there]]), strict=True):
+                        found[key].append(part)
+                sizes = [len(x) for x in found["start"]]
+                whole = {"row": row.repeat(sizes), "shift": np.full(sum(sizes), shift, np.int32)} | {k: np.concatenate(v) for k, v in found.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole.values()], list(whole))
 
 
 def sorted_windows(stretches: DataFrame) -> DataFrame:
-    """``row, first, last`` for windows that are another's equal, one by one; the stretches are different places of the texts."""
+    """``row, first, last`` for windows that are another's equal, one by one; ``stretches`` has ``row, first, bytes, parts``.
+
+    Names of triples are sorted again, in triples, until one name stands for
+    all of ``WINDOW`` but the two bytes that a shift leaves at its ends.
+    """
     spark = stretches.sparkSession
-    sample, sample_path = kept(stretches.mapInArrow(_sampled, "row long, at long, pos long, k int, words binary"), "sample")
-    names, names_path = kept(named(sample, ["words"]), "names")
-    dropped(spark, sample_path)
-    triples, triples_path = kept(names.groupBy("row", "at", "pos").agg(*(F.max(F.when(F.col("k") == k, F.col("name"))).alias(f"n{k}") for k in range(3))), "triples")
-    dropped(spark, names_path)
-    again = named(triples, ["n0", "n1", "n2"])
-    keys = ["shift", "name", "b0", "b1"]
-    merged = stretches.mapInArrow(_windows, "row long, at long, pos long, shift int, b0 int, b1 int").join(again, ["row", "at", "pos"])
-    merged, merged_path = kept(merged.select("row", (F.col("pos") - F.col("shift")).alias("first"), *keys), "merged")
-    dropped(spark, triples_path)
-    equal = merged.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    found = kept(merged.join(equal, keys, "left_semi").select("row", "first", F.col("first").alias("last")).distinct(), "windows")[0]
-    dropped(spark, merged_path)
+    names, path = kept(stretches.mapInArrow(_sampled, "row long, first long, pos long, k int, words binary"), "sample")
+    key, left = ["words"], (WINDOW - 2) // TRIPLE
+    while True:
+        made, made_path = ranked(names, key, ["row", "pos"], "names")
+        dropped(spark, path)
+        made = made.where("shared")
+        if left == 1:
+            break
+        # a triple of names for each position, where all three are shared
+        key = ["n0", "n1", "n2"]
+        triple = [F.max(F.when(F.col("k") % 3 == j, F.col("name"))).alias(n) for j, n in enumerate(key)]
+        names, path = kept(made.groupBy("row", "first", "pos", F.floor(F.col("k") / 3).cast("int").alias("k")).agg(*triple, F.count("*").alias("n")).where("n = 3").drop("n"), "triples")
+        dropped(spark, made_path)
+        left //= 3
+    ranks = made.groupBy("row", "first").agg(F.collect_list(F.struct("pos", "name")).alias("ranks"))
+    merged, path = kept(stretches.join(ranks, ["row", "first"]).select("row", "first", "bytes", "parts", "ranks").mapInArrow(_windows, "row long, shift int, start long, b0 int, b1 int, rank long"), "merged")
+    dropped(spark, made_path)
+    equal, equal_path = ranked(merged, ["shift", "rank", "b0", "b1"], ["row", "start"], "equal")
+    dropped(spark, path)
+    found = stored(equal.where("shared").select("row", F.col("start").alias("first"), F.col("start").alias("last")).distinct(), "windows")
+    dropped(spark, equal_path)
     return found
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """``row, first, last``: ranges of windows that start anywhere else too; ``docs`` has ``row`` and binary ``text``."""
     spark = docs.sparkSession
-    found, found_path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, place long, h long, whole long"), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared, shared_path = kept(found.join(again, "h", "left_semi").select("row", "place", "h", "whole"), "shared")
+    found, found_path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, first long, off int, more int, h long"), "anchors")
+    shared, path = ranked(found, ["h"], ["row", "first"], "shared")
     dropped(spark, found_path)
-    classes, classes_path = kept(shared.groupBy("h", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")), "classes")
-    copies = shared.join(classes.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
-    at = F.shiftright("place", 16)
-    copies = kept(copies.select("row", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")), "copies")[0]
-    dropped(spark, shared_path)
-    several = classes.groupBy("h").agg(F.count("*").alias("wholes")).where("wholes > 1").select("h")
-    lists = classes.join(several, "h", "left_semi").groupBy("one.row").agg(F.collect_list(F.struct("one.place", "n")).alias("found"))
-    stretches, stretches_path = kept(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, at long, base long, bytes binary, n long"), "stretches")
-    dropped(spark, classes_path)
-    parts, parts_path = kept(stretches.mapInArrow(_parts, "row long, at long, first long, last long, n long, middle long, whole binary"), "parts")
-    kinds, kinds_path = kept(parts.groupBy("middle", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
-    equal = kept(parts.where("n = 1").join(kinds.where("n > 1").select("middle", "whole"), ["middle", "whole"], "left_semi").select("row", "first", "last"), "equal")[0]
+    lists = shared.where("shared").groupBy("row").agg(F.collect_list(F.struct("first", F.col("name").alias("anchor"), "off", "more")).alias("found"))
+    stretches, stretches_path = kept(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, STRETCHES), "stretches")
+    dropped(spark, path)
+    # copies: equal stretches around one anchor
+    key = ["anchor", "off", "more", "bytes"]
+    kinds, path = ranked(stretches.withColumn("width", F.col("more")), key, ["row", "first"], "kinds", key)
+    dropped(spark, stretches_path)
+    copies = stored(kinds.where("shared").select("row", "first", (F.col("first") + F.col("width")).alias("last")), "copies")
+    one = kinds.where("leads").select("row", "first", *key)
+    several = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    unlike, unlike_path = kept(hot_join(one, several, ["anchor"], "n").drop("n"), "unlike")
+    dropped(spark, path)
+    parts, parts_path = kept(unlike.mapInArrow(_parts, "row long, first long, a int, b int, middle long"), "parts")
+    middles, path = ranked(parts, ["middle"], ["row", "first", "a"], "middles")
     dropped(spark, parts_path)
-    unlike = kinds.groupBy("middle").agg(F.count("*").alias("wholes")).where("wholes > 1").select("middle")
-    left = kinds.join(unlike, "middle", "left_semi").groupBy("one.row", "one.at").agg(F.collect_list(F.struct("one.first", "one.last")).alias("parts"))
-    opened, opened_path = kept(stretches.join(left, ["row", "at"]).select("row", "at", "base", "bytes", "parts"), "opened")
-    for path in (kinds_path, stretches_path):
-        dropped(spark, path)
+    left = middles.where("shared").groupBy("row", "first").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    opened, opened_path = kept(unlike.join(left, ["row", "first"]).select("row", "first", "bytes", "parts"), "opened")
+    for old in (unlike_path, path):
+        dropped(spark, old)
     windows = sorted_windows(opened)
     dropped(spark, opened_path)
-    return copies.unionByName(equal).unionByName(windows)
+    return copies.unionByName(windows)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

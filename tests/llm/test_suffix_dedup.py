@@ -60,3 +60,43 @@ def test_all_documents(spark, sf):
 
 def test_nothing(spark, none):
     assert suffix_dedup.without_repeats(none).collect() == []
+
+
+def test_odd_rows(spark, odd):
+    """Null, repeated and clashing ids and columns: a row for each row, and repeated rows repeat each other."""
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefgh "), 900))
+    extra = [(None, long, "clash", 1), (None, long[:500], "clash", 1), (7, long[300:] + "x" * 30, None, 2), (7, None, None, 2)]
+    docs = odd.unionByName(spark.createDataFrame(extra, odd.schema)).withColumns({"first": odd["n"], "text_": odd["text"]})
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted(map(repr, ((i, *p) for (i, _), p in zip(texts, plain([t for _, t in texts]), strict=True))))
+    got = suffix_dedup.without_repeats(docs).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+
+
+def test_long_texts_are_cut_into_blocks(spark):
+    rng = np.random.default_rng(6)
+    long = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    shared = [(10, 700), (suffix_dedup.BLOCK - 150, suffix_dedup.BLOCK + 90), (2 * suffix_dedup.BLOCK - 60_000, 2 * suffix_dedup.BLOCK + 60_000)]
+    other = "".join("#" + long[a:b] + "!" for a, b in shared)
+    got = {r["id"]: r for r in suffix_dedup.without_repeats(spark.createDataFrame([(1, long), (2, other)], "doc_id long, text string")).collect()}
+    assert [(s["start"], s["stop"]) for s in got[1]["spans"]] == shared
+    assert [s["stop"] - s["start"] for s in got[2]["spans"]] == [b - a for a, b in shared] and got[2]["n_bytes"] - got[2]["n_removed"] == 6
+
+
+def test_order_and_hot_keys(spark):
+    """Names follow the keys' order, and equal keys have one name however many ranges they fill."""
+    from graphloom.llm.common import stored
+    from graphloom.llm.ordering import ranked
+
+    rows = [(7 if k % 3 else k, bytes([k % 5]), k) for k in range(4000)]
+    made, _ = ranked(stored(spark.createDataFrame(rows, "a int, b binary, at long"), "keys"), ["a", "b"], ["at"], "ranks", ["b"])
+    got = {r["at"]: r for r in made.collect()}
+    keys = sorted({r[:2] for r in rows})
+    names = sorted({r["name"] for r in got.values()})
+    place, many = dict(zip(keys, names, strict=True)), Counter(r[:2] for r in rows)
+    assert all(got[at]["name"] == place[a, b] and got[at]["shared"] == (many[a, b] > 1) for a, b, at in rows)
+    leads = [r for r in got.values() if r["leads"]]
+    assert len(leads) == len(keys) == len({r["name"] for r in leads}) and all(bytes(r["b"]) == rows[r["at"]][1] for r in leads)
+    parts = made.groupBy("name").count().orderBy("count", ascending=False).first()["count"]
+    assert parts > 500
