@@ -21,8 +21,11 @@ def _differs(column: pa.Array) -> np.ndarray:
     return pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
 
 
-def _named(key: list[str], keep: list[str]) -> Callable:
-    """Sorted rows in; out go their other columns, ``name``, ``shared``, ``leads``, and the key at both ends of the range."""
+def _named(key: list[str], keep: list[str], every: bool) -> Callable:
+    """Sorted rows in; out go their other columns, ``name``, ``shared``, ``leads``, and the key at both ends of the range.
+
+    Rows that share their key with none go only if ``every`` row is wanted, or at an end of the range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -39,7 +42,12 @@ def _named(key: list[str], keep: list[str]) -> Callable:
             begun = True
             rest = [x for x in batch.schema.names if x not in key]
             own = [batch.column(x) for x in rest] + [batch.column(x).take(first) for x in keep]
-            return pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(shared), leads, pa.array(ends, pa.binary())], [*rest, *keep, "name", "shared", "leads", "ends"])
+            out = pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(shared), leads, pa.array(ends, pa.binary())], [*rest, *keep, "name", "shared", "leads", "ends"])
+            if every:
+                return out
+            wanted = shared.copy()
+            wanted[[0, -1]] |= [ends[0] is not None, ends[-1] is not None]
+            return out.filter(pa.array(wanted))
 
         for batch in batches:
             if not batch.num_rows:
@@ -63,12 +71,13 @@ def _named(key: list[str], keep: list[str]) -> Callable:
     return run
 
 
-def ranked(rows: DataFrame, key: list[str], salt: list[str], tag: str, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+def ranked(rows: DataFrame, key: list[str], salt: list[str], tag: str, keep: list[str] | None = None, every: bool = False) -> tuple[DataFrame, str]:
     """``rows``, a stored table, without ``key`` and with ``name``, ``shared`` and ``leads``; and the path it is written to.
 
     Names are as many numbers as there are keys, in the order of the keys.
     ``shared`` holds for rows whose key another row has too, ``leads`` for the
     first row of each key; that one keeps the columns ``keep`` of its key.
+    Only rows with a shared key come back, unless ``every`` row is wanted.
 
     Rows are sorted in ranges. A range ends within equal keys where these are
     many, as ``salt``, columns that tell rows apart, is part of the order; so a
@@ -80,7 +89,7 @@ def ranked(rows: DataFrame, key: list[str], salt: list[str], tag: str, keep: lis
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"`{x}` {kind[x]}" for x in kind if x not in key] + [f"`{x}` {kind[x]}" for x in keep] + ["name long", "shared boolean", "leads boolean", "ends binary"])
     ordered = rows.repartitionByRange(parts, *key, *salt).sortWithinPartitions(*key)
-    made, path = kept(ordered.mapInArrow(_named(key, keep), schema), tag)
+    made, path = kept(ordered.mapInArrow(_named(key, keep, every), schema), tag)
     ends: dict[int, dict[int, list]] = {}
     for r in made.where("ends is not null").select("name", "ends").collect():  # two a range
         ends.setdefault(r["name"] >> PLACE_BITS, {})[r["name"]] = pickle.loads(r["ends"])
@@ -98,4 +107,4 @@ def ranked(rows: DataFrame, key: list[str], salt: list[str], tag: str, keep: lis
         made = made.join(fixes, "name", "left").select(
             *other, *(F.when(leads, F.col(x)).alias(x) for x in keep), F.coalesce("whole", "name").alias("name"), (F.col("shared") | F.col("whole").isNotNull()).alias("shared"), leads.alias("leads")
         )
-    return made, path
+    return made if every else made.where("shared"), path

@@ -9,7 +9,8 @@ Whole copies come next. Stretches around the same anchor are sorted by their
 bytes and compared with their neighbours; the windows of equal ones repeat each
 other, and one of them goes on for all. Only anchors with several kinds of
 stretches go on, and of these stretches the parts of ``PART`` windows whose
-common middle is somewhere else too (by a hash, which lets through at most more).
+common middle is somewhere else too (by a hash, which lets through at most more);
+equal parts are found like equal stretches.
 
 The windows that are left are decided by the difference cover. Positions 1 and 2
 modulo 3 are the sample. Triples of words at sampled positions are sorted and
@@ -28,6 +29,7 @@ whole keys.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, chunks, columns_batch, dropped, hot_join, kept, stored, utf8
+from .common import RowNumbers, chunks, columns_batch, dropped, kept, stored, utf8
 from .ordering import ranked
 
 WINDOW, GRAM = 200, 100
@@ -97,39 +99,60 @@ def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(numbers.take(batch.num_rows), pa.int64()), batch.column(0), pa.array(utf8(batch.column(1)), pa.binary())], ["row", "id", "text"])
 
 
-STRETCHES = "row long, first long, anchor long, off int, more int, bytes binary"
+#: A stretch's key: its anchor's name, how far the anchor is behind the first window, how many more windows there are, its bytes.
+HEAD = struct.Struct(">qBB")
+
+
+def lists(column: pa.ListArray, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row the fields of a list of structs, as arrays; nothing for null."""
+    values, offsets = column.values, column.offsets.to_numpy()
+    fields = [values.field(n).to_numpy() for n in names]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield tuple(f[a:b] for f in fields)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of stretches, from their texts."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    """Keys of stretches, from their texts; a place holds the first window and the number of others."""
     for batch in batches:
-        for row, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for some in chunks(iter(found), 10_000):
-                cut = [text[f["first"] : f["first"] + f["more"] + WINDOW] for f in some]
-                columns = [[row] * len(some), *([f[k] for f in some] for k in ("first", "anchor", "off", "more")), cut]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in STRETCHES.split(", ")])
+        for row, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2), "first", "anchor", "off", "more"), strict=True):
+            for k in range(0, len(found[0]), 10_000):
+                first, anchor, off, more = (f[k : k + 10_000] for f in found)
+                keys = [HEAD.pack(n, o, m) + text[f : f + m + WINDOW] for f, n, o, m in zip(first.tolist(), anchor.tolist(), off.tolist(), more.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row, np.int64)), pa.array(first << 8 | more), pa.array(keys, pa.binary())], ["row", "place", "key"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of a stretch by their distance from the anchor, ``PART`` at a time, with a hash of what all of the part's windows hold."""
     for batch in batches:
-        for some in chunks(zip(*(batch.column(n).to_pylist() for n in ("row", "first", "anchor", "off", "more", "bytes")), strict=True), 1_000):
+        for some in chunks(zip(*(batch.column(n).to_pylist() for n in ("row", "place", "key")), strict=True), 1_000):
             rows = []
-            for row, first, anchor, far, more, data in some:
-                near = far - more
+            for row, place, key in some:
+                _, far, more = HEAD.unpack_from(key)
+                data, near = key[HEAD.size :], far - more
                 for part in range(near // PART, far // PART + 1):
                     middle = data[far - part * PART : far - (part * PART + PART - 1) + WINDOW]
                     a, b = far - min(far, part * PART + PART - 1), far - max(near, part * PART)
-                    mark = hashlib.blake2b(anchor.to_bytes(8, "big", signed=True) + part.to_bytes(2, "big", signed=True) + middle, digest_size=8)
-                    rows.append((row, first, a, b, int.from_bytes(mark.digest(), "big", signed=True)))
-            yield columns_batch(["row", "first", "a", "b", "middle"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], rows)
+                    mark = hashlib.blake2b(key[:8] + bytes([part]) + middle, digest_size=8)
+                    rows.append((row, place, a, b, int.from_bytes(mark.digest(), "big", signed=True)))
+            yield columns_batch(["row", "place", "a", "b", "middle"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], rows)
+
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of parts, behind their distances from the anchor."""
+    for batch in batches:
+        for some in chunks(zip(*(batch.column(n).to_pylist() for n in ("row", "place", "key")), lists(batch.column("parts"), "a", "b", "middle"), strict=True), 1_000):
+            rows = []
+            for row, place, key, parts in some:
+                for a, b, middle in zip(*(p.tolist() for p in parts), strict=True):
+                    rows.append((row, place, a, b, middle, bytes([key[8] - a, key[8] - b]) + key[HEAD.size + a : HEAD.size + b + WINDOW]))
+            yield columns_batch(["row", "place", "a", "b", "middle", "piece"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], rows)
 
-def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches with windows to be sorted: row, first, bytes, the windows' places in them."""
-    for row, first, data, parts in zip(*(batch.column(n).to_pylist() for n in ("row", "first", "bytes", "parts")), strict=True):
-        yield row, first, np.frombuffer(data, np.uint8), np.concatenate([np.arange(p["a"], p["b"] + 1) for p in parts])
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Stretches with windows to be sorted: row, place, first window, bytes, the windows' places in them."""
+    for row, place, key, (a, b) in zip(*(batch.column(n).to_pylist() for n in ("row", "place", "key")), lists(batch.column("parts"), "a", "b"), strict=True):
+        starts = [np.arange(x, y + 1) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        yield row, place, place >> 8, np.frombuffer(key, np.uint8)[HEAD.size :], np.concatenate(starts)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,69 +161,65 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in chunks(_open(batch), 500):
             places, words = [], []
-            for _, first, data, starts in some:
+            for _, _, first, data, starts in some:
                 pos = np.unique(np.concatenate((starts, starts + 1, starts + 2))) + first
                 pos = pos[pos % 3 > 0]
                 raw = data.tobytes()
                 words += [raw[p + k : p + k + TRIPLE] for p in (pos - first).tolist() for k in steps]
                 places.append(pos.repeat(len(steps)))
             sizes = [len(p) for p in places]
-            row, first = (pa.array(np.array([x[k] for x in some], np.int64).repeat(sizes)) for k in range(2))
+            row, place = (pa.array(np.array([x[k] for x in some], np.int64).repeat(sizes)) for k in range(2))
             k = np.tile(np.arange(len(steps), dtype=np.int32), len(words) // len(steps))
-            yield pa.RecordBatch.from_arrays([row, first, pa.array(np.concatenate(places)), pa.array(k), pa.array(words, pa.binary())], ["row", "first", "pos", "k", "words"])
+            yield pa.RecordBatch.from_arrays([row, place, pa.array(np.concatenate(places)), pa.array(k), pa.array(words, pa.binary())], ["row", "place", "pos", "k", "words"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window with the name it leads to and the bytes at its ends, once for each shift; windows that lead to no shared name are left out."""
     for batch in batches:
-        for some in chunks(zip(_open(batch), batch.column("ranks").to_pylist(), strict=True), 500):
-            row = np.array([x[0] for x, _ in some], np.int64)
-            for shift in range(3):
-                found: dict[str, list[np.ndarray]] = {"start": [], "b0": [], "b1": [], "rank": []}
-                for (_, base, data, starts), ranks in some:
-                    place = np.array([r["pos"] for r in ranks], np.int64)
-                    name = np.array([r["name"] for r in ranks], np.int64)
-                    order = np.argsort(place)
-                    place, name = place[order], name[order]
-                    at = np.minimum(np.searchsorted(place, starts + base + shift), len(place) - 1)
-                    there = place[at] == starts + base + shift  # which is a sampled position then
-                    own = starts[there]
-                    # of the two bytes that a name does not cover, ``shift`` are before it
-                    left, right = (data[own + (k if k < shift else WINDOW - 2 + k)].astype(np.int32) for k in range(2))
-                    for key, part in zip(found, (own + base, left, right, name[at[there]]), strict=True):
-                        found[key].append(part)
-                sizes = [len(x) for x in found["start"]]
-                whole = {"row": row.repeat(sizes), "shift": np.full(sum(sizes), shift, np.int32)} | {k: np.concatenate(v) for k, v in found.items()}
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole.values()], list(whole))
+        for some in chunks(zip(_open(batch), lists(batch.column("ranks"), "pos", "name"), strict=True), 500):
+            row, sizes, found = [], [], []
+            for (own_row, _, base, data, starts), (pos, name) in some:
+                order = np.argsort(pos)
+                pos, name = pos[order], name[order]
+                to = starts + base + np.arange(3)[:, None]
+                at = np.minimum(np.searchsorted(pos, to), len(pos) - 1)
+                shift, k = np.nonzero(pos[at] == to)  # sampled, with a shared name
+                own = starts[k]
+                # of the two bytes that a name does not cover, ``shift`` are before it
+                b0, b1 = data[own + np.where(shift > 0, 0, WINDOW - 2)], data[own + np.where(shift > 1, 1, WINDOW - 1)]
+                row.append(own_row)
+                sizes.append(len(own))
+                found.append((shift.astype(np.int32), own + base, b0.astype(np.int32), b1.astype(np.int32), name[at[shift, k]]))
+            whole = [np.array(row, np.int64).repeat(sizes), *map(np.concatenate, zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in whole], ["row", "shift", "start", "b0", "b1", "rank"])
 
 
 def sorted_windows(stretches: DataFrame) -> DataFrame:
-    """``row, first, last`` for windows that are another's equal, one by one; ``stretches`` has ``row, first, bytes, parts``.
+    """``row, first, last`` for windows that are another's equal, one by one; ``stretches`` has ``row, place, key, parts``.
 
     Names of triples are sorted again, in triples, until one name stands for
     all of ``WINDOW`` but the two bytes that a shift leaves at its ends.
     """
     spark = stretches.sparkSession
-    names, path = kept(stretches.mapInArrow(_sampled, "row long, first long, pos long, k int, words binary"), "sample")
+    names, path = kept(stretches.mapInArrow(_sampled, "row long, place long, pos long, k int, words binary"), "sample")
     key, left = ["words"], (WINDOW - 2) // TRIPLE
     while True:
         made, made_path = ranked(names, key, ["row", "pos"], "names")
         dropped(spark, path)
-        made = made.where("shared")
         if left == 1:
             break
         # a triple of names for each position, where all three are shared
         key = ["n0", "n1", "n2"]
         triple = [F.max(F.when(F.col("k") % 3 == j, F.col("name"))).alias(n) for j, n in enumerate(key)]
-        names, path = kept(made.groupBy("row", "first", "pos", F.floor(F.col("k") / 3).cast("int").alias("k")).agg(*triple, F.count("*").alias("n")).where("n = 3").drop("n"), "triples")
+        names, path = kept(made.groupBy("row", "place", "pos", F.floor(F.col("k") / 3).cast("int").alias("k")).agg(*triple, F.count("*").alias("n")).where("n = 3").drop("n"), "triples")
         dropped(spark, made_path)
         left //= 3
-    ranks = made.groupBy("row", "first").agg(F.collect_list(F.struct("pos", "name")).alias("ranks"))
-    merged, path = kept(stretches.join(ranks, ["row", "first"]).select("row", "first", "bytes", "parts", "ranks").mapInArrow(_windows, "row long, shift int, start long, b0 int, b1 int, rank long"), "merged")
+    ranks = made.groupBy("row", "place").agg(F.collect_list(F.struct("pos", "name")).alias("ranks"))
+    merged, path = kept(stretches.join(ranks, ["row", "place"]).select("row", "place", "key", "parts", "ranks").mapInArrow(_windows, "row long, shift int, start long, b0 int, b1 int, rank long"), "merged")
     dropped(spark, made_path)
     equal, equal_path = ranked(merged, ["shift", "rank", "b0", "b1"], ["row", "start"], "equal")
     dropped(spark, path)
-    found = stored(equal.where("shared").select("row", F.col("start").alias("first"), F.col("start").alias("last")).distinct(), "windows")
+    found = stored(equal.select("row", F.col("start").alias("first"), F.col("start").alias("last")).distinct(), "windows")
     dropped(spark, equal_path)
     return found
 
@@ -208,52 +227,67 @@ def sorted_windows(stretches: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """``row, first, last``: ranges of windows that start anywhere else too; ``docs`` has ``row`` and binary ``text``."""
     spark = docs.sparkSession
-    found, found_path = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, first long, off int, more int, h long"), "anchors")
+    first = F.shiftright("place", 8)
+    found, old = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, first long, off int, more int, h long"), "anchors")
     shared, path = ranked(found, ["h"], ["row", "first"], "shared")
-    dropped(spark, found_path)
-    lists = shared.where("shared").groupBy("row").agg(F.collect_list(F.struct("first", F.col("name").alias("anchor"), "off", "more")).alias("found"))
-    stretches, stretches_path = kept(docs.join(lists, "row").select("row", "text", "found").mapInArrow(_stretches, STRETCHES), "stretches")
+    dropped(spark, old)
+    by_text = shared.groupBy("row").agg(F.collect_list(F.struct("first", F.col("name").alias("anchor"), "off", "more")).alias("found"))
+    stretches, old = kept(docs.join(by_text, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, place long, key binary"), "stretches")
+    dropped(spark, path)
+    # copies: equal stretches around one anchor; one of each kind goes on where an anchor has several
+    kinds, kinds_path = ranked(stretches, ["key"], ["row", "place"], "kinds", ["key"], every=True)
+    dropped(spark, old)
+    copies = stored(kinds.where("shared").select("row", first.alias("first"), (first + F.col("place").bitwiseAND(255)).alias("last")), "copies")
+    one = kinds.where("leads").select("row", "place", "key", F.substring("key", 1, 8).alias("anchor"))
+    unlike, unlike_path = ranked(one, ["anchor"], ["row", "place"], "unlike")
+    dropped(spark, kinds_path)
+    # parts of these whose middle is somewhere else too
+    parts, old = kept(unlike.mapInArrow(_parts, "row long, place long, a int, b int, middle long"), "parts")
+    middles, path = ranked(parts, ["middle"], ["row", "place", "a"], "middles")
+    dropped(spark, old)
+    open_parts = middles.groupBy("row", "place").agg(F.collect_list(F.struct("a", "b", F.col("name").alias("middle"))).alias("parts"))
+    opened, opened_path = kept(unlike.join(open_parts, ["row", "place"]).select("row", "place", "key", "parts"), "opened")
+    for done in (unlike_path, path):
+        dropped(spark, done)
+    # equal parts again are copies, and one of each goes on where a middle has several
+    pieces, old = kept(opened.mapInArrow(_pieces, "row long, place long, a int, b int, middle long, piece binary"), "pieces")
+    alike, path = ranked(pieces, ["middle", "piece"], ["row", "place", "a"], "alike", ["middle"], every=True)
+    dropped(spark, old)
+    equal = stored(alike.where("shared").select("row", (first + F.col("a")).alias("first"), (first + F.col("b")).alias("last")), "equal")
+    left, left_path = ranked(alike.where("leads").select("row", "place", "a", "b", "middle"), ["middle"], ["row", "place", "a"], "left")
     dropped(spark, path)
-    # copies: equal stretches around one anchor
-    key = ["anchor", "off", "more", "bytes"]
-    kinds, path = ranked(stretches.withColumn("width", F.col("more")), key, ["row", "first"], "kinds", key)
-    dropped(spark, stretches_path)
-    copies = stored(kinds.where("shared").select("row", "first", (F.col("first") + F.col("width")).alias("last")), "copies")
-    one = kinds.where("leads").select("row", "first", *key)
-    several = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    unlike, unlike_path = kept(hot_join(one, several, ["anchor"], "n").drop("n"), "unlike")
+    last_parts = left.groupBy("row", "place").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    last, path = kept(opened.drop("parts").join(last_parts, ["row", "place"]), "last")
+    for done in (opened_path, left_path):
+        dropped(spark, done)
+    windows = sorted_windows(last)
     dropped(spark, path)
-    parts, parts_path = kept(unlike.mapInArrow(_parts, "row long, first long, a int, b int, middle long"), "parts")
-    middles, path = ranked(parts, ["middle"], ["row", "first", "a"], "middles")
-    dropped(spark, parts_path)
-    left = middles.where("shared").groupBy("row", "first").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    opened, opened_path = kept(unlike.join(left, ["row", "first"]).select("row", "first", "bytes", "parts"), "opened")
-    for old in (unlike_path, path):
-        dropped(spark, old)
-    windows = sorted_windows(opened)
-    dropped(spark, opened_path)
-    return copies.unionByName(windows)
+    return copies.unionByName(equal).unionByName(windows)
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Bytes covered by ranges of windows, as disjoint runs in order."""
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    start, stop = first[order], np.maximum.accumulate(last[order] + WINDOW)
+    new = np.concatenate(([True], start[1:] > stop[:-1]))
+    return list(zip(start[new].tolist(), stop[np.concatenate((new[1:], [True]))].tolist(), strict=True))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
     for batch in batches:
         rows = []
-        for i, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            runs: list[list[int]] = []
-            for s, e in sorted((r["first"], r["last"]) for r in starts or ()):
-                if runs and s <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], e + WINDOW)
-                else:
-                    runs.append([s, e + WINDOW])
-            kept, last = hashlib.sha256(), 0
+        for i, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists(batch.column(2), "first", "last"), strict=True):
+            runs = _runs(*found)
+            left, last = hashlib.sha256(), 0
             for a, b in runs:
-                kept.update(text[last:a])
+                left.update(text[last:a])
                 last = b
-            kept.update(text[last:])
-            rows.append((i, len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            left.update(text[last:])
+            rows.append((i, len(text), sum(b - a for a, b in runs), len(runs), left.hexdigest(), [{"start": a, "stop": b} for a, b in runs]))
+        yield columns_batch(["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], kinds, rows)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

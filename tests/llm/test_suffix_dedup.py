@@ -90,7 +90,7 @@ def test_order_and_hot_keys(spark):
     from graphloom.llm.ordering import ranked
 
     rows = [(7 if k % 3 else k, bytes([k % 5]), k) for k in range(4000)]
-    made, _ = ranked(stored(spark.createDataFrame(rows, "a int, b binary, at long"), "keys"), ["a", "b"], ["at"], "ranks", ["b"])
+    made, _ = ranked(stored(spark.createDataFrame(rows, "a int, b binary, at long"), "keys"), ["a", "b"], ["at"], "ranks", ["b"], every=True)
     got = {r["at"]: r for r in made.collect()}
     keys = sorted({r[:2] for r in rows})
     names = sorted({r["name"] for r in got.values()})
@@ -98,5 +98,7 @@ def test_order_and_hot_keys(spark):
     assert all(got[at]["name"] == place[a, b] and got[at]["shared"] == (many[a, b] > 1) for a, b, at in rows)
     leads = [r for r in got.values() if r["leads"]]
     assert len(leads) == len(keys) == len({r["name"] for r in leads}) and all(bytes(r["b"]) == rows[r["at"]][1] for r in leads)
+    only, _ = ranked(stored(spark.createDataFrame(rows, "a int, b binary, at long"), "keys"), ["a", "b"], ["at"], "ranks")
+    assert {r["at"]: r["name"] for r in only.collect()} == {at: r["name"] for at, r in got.items() if r["shared"]}
     parts = made.groupBy("name").count().orderBy("count", ascending=False).first()["count"]
     assert parts > 500
