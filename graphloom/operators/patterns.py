@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..evidence import evidence, selector
@@ -52,8 +52,6 @@ def find_plain(texts: DataFrame, pattern: str) -> DataFrame:
     """Matches of a Java pattern without groups, with offsets, in SQL only: ``ordinal, source_id, m, start, stop, exact``."""
     matches, around = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
     found = texts.where(F.col("text").rlike(pattern)).select("ordinal", "source_id", F.posexplode(F.arrays_zip(matches.alias("exact"), around.alias("before"))).alias("m", "x"))
-    from pyspark.sql import Window
-
     own = Window.partitionBy("ordinal", "source_id").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("x.before") + F.length("x.exact")
     start = F.coalesce(F.sum(size).over(own), F.lit(0)) + F.length("x.before")
@@ -96,14 +94,14 @@ class RegexNodeExtractor:
         from ..functions import json_value
 
         attributes = _cast_groups(_names(self.pattern, self.flags), self.casts)
-        made = matches.withColumn("attributes", attributes)
+        made = numbered(matches, ["ordinal", "source_id", "m"]).withColumn("attributes", attributes)
         key = json_value(F.col("attributes")[self.id_attribute]) if self.id_attribute else F.col("exact")
         return made.select(
             F.concat(F.lit(f"{type}:"), slug(key)).alias("id"),
             F.array(F.lit(type)).alias("types"),
             "attributes",
             evidence(F.col("source_id"), "pattern:RegexNodeExtractor", _grounding()).alias("evidence"),
-            (F.col("ordinal") * (1 << 20) + F.col("m")).alias("seq"),
+            F.col("i").alias("seq"),
         )
 
     def __call__(self, context: ExtractionContext) -> Extraction:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..evidence import evidence, selector
 from ..functions import apply_casts, json_text, slug, template_fields
 from ..functions.text import fill_template
-from ..storage import numbered
+from ..storage import numbered, stored
 from .context import Extraction, ExtractionContext, register_extractor
 
 
@@ -226,22 +226,39 @@ def raw_map(text: Column) -> Column:
 
 @register_extractor("json_query")
 class JsonQuery:
-    """Items of a JSON source that a path selects and a predicate keeps, then mapped."""
+    """Items of a JSON source that a path selects and a predicate keeps, then mapped.
 
-    def __init__(self, records_source: str, select: str | None = None, where: Mapping[str, Any] | None = None, **mapping: Any) -> None:
+    The source is one JSON value, or a DataFrame with a document in ``column`` of each row, whose items are
+    numbered through in the order of ``_row``.
+    """
+
+    def __init__(self, records_source: str, select: str | None = None, where: Mapping[str, Any] | None = None, column: str = "json", **mapping: Any) -> None:
         check_where(where)
-        self.source, self.select, self.where, self.mapping = records_source, select, where, mapping
+        self.source, self.select, self.where, self.column, self.mapping = records_source, select, where, column, mapping
+
+    def _fields(self) -> set[str]:
+        """The fields of an item that the mapping needs."""
+        wanted = self.mapping.get("attributes") or ()
+        out = set(wanted.values() if isinstance(wanted, Mapping) else wanted)
+        for name, given in self.mapping.items():
+            if name.endswith("_template") and given:
+                out |= set(template_fields(given))
+        return out | ({self.mapping["id_from"]} if self.mapping.get("id_from") else set())
 
     def __call__(self, context: ExtractionContext) -> Extraction:
         found = context.sources.get(self.source)
         if found is None:
             return Extraction()
         if isinstance(found.content, DataFrame):
-            raise ValueError("json_query reads one document; use json_records and table_map for a column of documents")
-        items = [x for x in select_path(found.content, self.select) if isinstance(x, Mapping)]
-        names = sorted({k for x in items for k in x})
-        rows = [(i, {k: json.dumps(v, ensure_ascii=False) for k, v in x.items()}) for i, x in enumerate(items)]
-        frame = context.spark.createDataFrame(rows, "_original long, _item map<string,string>")
+            own = found.content if "_row" in found.content.columns else stored(found.content.withColumn("_row", F.monotonically_increasing_id()), "documents")
+            items = json_records(own.select("_row", F.col(self.column).alias("_json")), "_json", self.select)
+            frame = numbered(items.select("_row", "_i", F.col("item").alias("_item")), ["_row", "_i"], "_original").drop("_row", "_i")
+            names = sorted(self._fields())
+        else:
+            items = [x for x in select_path(found.content, self.select) if isinstance(x, Mapping)]
+            names = sorted({k for x in items for k in x})
+            rows = [(i, {k: json.dumps(v, ensure_ascii=False) for k, v in x.items()}) for i, x in enumerate(items)]
+            frame = context.spark.createDataFrame(rows, "_original long, _item map<string,string>")
         kept = numbered(frame.where(where_column(self.where, F.col("_item"))), ["_original"], "_row")
         path = selector("JsonPathSelector", source_id=F.lit(self.source), expression=F.concat(F.lit(f"{self.select or '$'}["), F.col("_row"), F.lit("]")))
         original = selector("JsonPathSelector", source_id=F.lit(self.source), expression=F.concat(F.lit(f"{self.select or '$'}["), F.col("_original"), F.lit("]")))

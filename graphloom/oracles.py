@@ -59,7 +59,7 @@ SELECT 'customer:' || o_custkey AS node, attribute, old, new FROM (
 ) WHERE old <> new""",
     "skipped_edge_report": "SELECT 'o' || o_orderkey AS edge, 'placed' AS type, 'c' || (o_custkey + 7) AS source, 's' || o_orderstatus AS target, 'missing-endpoint' AS reason FROM orders WHERE NOT (o_custkey + 7 IN (SELECT c_custkey FROM customer) AND o_orderstatus IN ('F', 'O'))",
     "kept_edge_rows": "SELECT 'o' || o_orderkey AS id, 'c' || (o_custkey + 7) AS source, 's' || o_orderstatus AS target FROM orders WHERE o_custkey + 7 IN (SELECT c_custkey FROM customer) AND o_orderstatus IN ('F', 'O')",
-    "edges_between_two": f"WITH {LOCATED} SELECT id, source, target FROM edges WHERE (source = 'nation:nation-3' AND target = 'region:asia') OR source = 'customer:customer-000000001'",
+    "edges_between_two": "SELECT 'o' || o_orderkey AS id, 'c8' AS source, 'sF' AS target FROM orders WHERE o_custkey = 1 AND o_orderstatus = 'F'",
     "validate_nodes": """
 WITH c AS (SELECT *, 'c' || c_custkey AS element_id, c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AS checked FROM customer)
 SELECT element_id, 'unknown-type' AS code FROM c WHERE c_custkey % 11 = 0
@@ -128,4 +128,23 @@ UNION ALL SELECT id, source, target, '{{}}' FROM edges""",
     "evidence_lookup": f"""
 WITH {LOCATED} SELECT DISTINCT id AS element_id, type AS source, 'query:table_map' AS strategy, 'deterministic' AS method FROM nodes
 UNION ALL SELECT id, CASE type WHEN 'located_in' THEN 'located' ELSE 'lies' END, 'query:table_map', 'deterministic' FROM edges""",
+    "json_query_strategy": """
+WITH e AS (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)
+SELECT 'mark:' || k AS id, CAST(k AS VARCHAR) AS k, '$[' || i || ']' AS place FROM e WHERE k > 50""",
+    "graph_match_scores": """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE abs(c_acctbal - round(c_acctbal)) <= 0.25) AS fit FROM customer), n AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier),
+parts AS (SELECT 2.0 * (c.n + n.n) / (2 * (c.n + n.n) + s.n) AS f1, CAST(c.n + c.fit + 2 * n.n AS DOUBLE) / (2 * c.n + 2 * n.n) AS a, CAST(2 * c.n + 2 * n.n AS BIGINT) AS compared FROM c, n, s)
+SELECT round((f1 + 1 + a) / 3, 9) AS score, round(f1, 9) AS nodes, CAST(1 AS DOUBLE) AS edges, round(a, 9) AS attributes, compared FROM parts""",
+    "resolve_by_registry": f"WITH {PARTS} SELECT id, CASE WHEN name = 'Brand#11 Ltd.' THEN 'brand:one' WHEN upper(name) IN ('BRAND#12', 'BRAND#12 LTD.') THEN 'brand:two' ELSE id END AS cid FROM parts",
+    "resolve_by_cascade": f"""
+WITH {PARTS}, whole AS (SELECT id, replace(upper(name), ' LTD.', '') AS brand, max(CAST(name = 'Brand#11 Ltd.' AS INTEGER)) OVER (PARTITION BY replace(upper(name), ' LTD.', '')) AS one, min(id) OVER (PARTITION BY replace(upper(name), ' LTD.', '')) AS low FROM parts)
+SELECT id, CASE WHEN one = 1 THEN 'brand:one' WHEN brand = 'BRAND#12' THEN 'brand:two' ELSE low END AS cid FROM whole""",
+    "validate_lists": "SELECT 'c' || c_custkey AS element_id, 'range-type' AS code FROM customer UNION ALL SELECT 'c' || c_custkey, 'not-multivalued' FROM customer WHERE c_acctbal >= 0",
+    "annotations_of_documents": "SELECT CAST(doc_id AS VARCHAR) AS target, quality AS body, 'classifying' AS motivation FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)",
+    "attribute_evidence_rows": "SELECT 's' || s_suppkey AS element_id, attribute, source FROM supplier, (VALUES ('name', 'whole'), ('balance', 'own')) AS t(attribute, source)",
+    "trace_cells": f"SELECT s_suppkey AS row, 'supplier:' || {slug('s_name')} AS element_id FROM supplier",
+    "corpus_evaluation": "WITH n AS (SELECT 2.0 * a / (2 * a + b) AS f1 FROM (SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM region) AS b)) SELECT round((1 + (f1 + 1) / 2) / 2, 9) AS mean_score, CAST(1 AS DOUBLE) AS pass_rate, CAST(2 AS BIGINT) AS n FROM n",
+    "lexical_similarity": "SELECT p_partkey, round(2.0 * length(p_brand) / (2 * length(p_brand) + 1), 9) AS ratio FROM part",
+    "composite_scores": "SELECT p_partkey, CASE WHEN p_name = upper(p_name) THEN 1.0 ELSE 0.75 END::DOUBLE AS score FROM part",
+    "nodes_of_one_type": f"SELECT 'nation:' || {slug('n_name')} AS id, n_name AS name FROM nation",
 }

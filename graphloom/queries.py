@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+from .annotate import annotations_for
+from .evidence import attribute_evidence, evidence
 from .functions import cosine, json_value, normalize_entity, normalized, slug, slug_fast
 from .graph import Graph
 from .operators.assembly import attribute_conflicts, kept_edges, merge_nodes, skipped_edges
 from .operators.context import ExtractionContext
 from .operators.patterns import RegexEdgeExtractor, RegexNodeExtractor, find, find_plain
-from .operators.records import SqlExtractor, TableMap, json_records, where_column
+from .operators.records import JsonQuery, SqlExtractor, TableMap, json_records, where_column
 from .operators.reify import reify, unreify
-from .operators.resolution import NormalizeResolver, clusters, connected, resolve_graph
-from .operators.trace import reanchored, spans_at, spans_overlapping
+from .operators.resolution import CascadeResolver, NormalizeResolver, RegistryResolver, clusters, connected, resolve_graph
+from .operators.trace import TraceIndex, reanchored, spans_at, spans_overlapping
 from .operators.validation import edge_issues, node_issues
-from .operators.verify import ExactMatch, NormalizedMatch, NumericTolerance, SetMatch, edge_bags, node_sets
+from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
 from .plans import extract
+from .plans.evaluation import CorpusCase, evaluate_corpus
 from .sinks import cypher_rows, cytoscape_rows, embedding_rows, turtle_rows, typed_view
 from .sources import Source, SourceBundle
 from .sources.loaders import html_texts
@@ -223,8 +226,10 @@ def kept_edge_rows(spark, sf):
 
 @query
 def edges_between_two(spark, sf):
-    graph = trade_graph(spark, sf)
-    return graph.edges_between("nation:nation-3", "region:asia").unionByName(graph.edges.where("source = 'customer:customer-000000001'")).select("id", "source", "target")
+    """All orders of one customer with one status, as parallel edges."""
+    none = F.create_map().cast("map<string,string>").alias("attributes")
+    graph = Graph(_order_nodes(spark, sf).select("id", F.array(F.lit("party")).alias("types"), none), _order_edges(spark, sf))
+    return graph.edges_between("c8", "sF").select("id", "source", "target")
 
 
 def _customer_nodes(spark, sf) -> DataFrame:
@@ -416,6 +421,111 @@ def evidence_lookup(spark, sf):
     return graph.evidence.select("element_id", F.col("evidence.provenance.derived_from").alias("source"), F.col("evidence.provenance.generated_by").alias("strategy"), F.col("evidence.confidence.method").alias("method"))
 
 
+@query
+def json_query_strategy(spark, sf):
+    """The strategy over a column of JSON documents: one node for each item that the predicate keeps."""
+    events = _t(spark, sf, "events").select(F.col("event_id").alias("_row"), F.col("props").alias("json"))
+    out = JsonQuery("events", where={"k": {"$gt": 50}}, type="mark", id_from="k", attributes=["k"])(_context(spark, events=events))
+    return out.node_rows.select("id", _attr("k"), F.col("evidence.grounding")[1]["expression"].alias("place"))
+
+
+@query
+def graph_match_scores(spark, sf):
+    """Customers and nations as extracted, against ones with other balances, names in capitals, and suppliers too."""
+    c, n, s = (_t(spark, sf, x) for x in ("customer", "nation", "supplier"))
+    text = lambda v: F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)
+    nodes = lambda df, key, name, balance, type: df.select(key.alias("id"), F.array(F.lit(type)).alias("types"), F.create_map(F.lit("name"), text(name), F.lit("balance"), balance.cast("string")).alias("attributes"))
+    ids = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("s"), "s_suppkey")
+    nations = nodes(n, ids[1], F.col("n_name"), F.col("n_nationkey"), "nation")
+    edges = c.select(F.concat(F.lit("e"), "c_custkey").alias("id"), ids[0].alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.lit("located_in").alias("type"), F.create_map().cast("map<string,string>").alias("attributes"))
+    actual = Graph(nodes(c, ids[0], F.col("c_name"), F.col("c_acctbal"), "customer").unionByName(nations), edges)
+    wanted = nodes(c, ids[0], F.upper("c_name"), F.round("c_acctbal"), "customer").unionByName(nations).unionByName(nodes(s, ids[2], F.col("s_name"), F.col("s_acctbal"), "supplier"))
+    verdict = GraphMatch(attribute_verifiers={"balance": NumericTolerance(abs_tol=0.25, rel_tol=0.0)})(actual, Graph(wanted, edges))
+    d = verdict.details
+    row = (round(verdict.score, 9), round(d["nodes"]["f1"], 9), round(d["edges"]["f1"], 9), round(d["attributes"]["score"], 9), d["attributes"]["compared"])
+    return spark.createDataFrame([row], "score double, nodes double, edges double, attributes double, compared long")
+
+
+REGISTRY = {"Brand#11 Ltd.": "brand:one", "brand 12": "brand:two"}
+
+
+@query
+def resolve_by_registry(spark, sf):
+    return clusters(_part_nodes(spark, sf), RegistryResolver(REGISTRY)).select("id", "cid")
+
+
+@query
+def resolve_by_cascade(spark, sf):
+    return clusters(_part_nodes(spark, sf), CascadeResolver([RegistryResolver(REGISTRY), NormalizeResolver("name")])).select("id", "cid")
+
+
+@query
+def validate_lists(spark, sf):
+    """A list where the grammar has one value, and one value where it has a list."""
+    c = _t(spark, sf, "customer")
+    spec = GraphSpec(id="lists", version="1", node_types=(NodeType("party", attributes=(AttrSchema("name"), AttrSchema("tags", multivalued=True))),))
+    attributes = F.create_map(F.lit("name"), F.to_json(F.array("c_name", "c_mktsegment")), F.lit("tags"), F.when(F.col("c_acctbal") < 0, F.to_json(F.array("c_mktsegment"))).otherwise(F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))))
+    nodes = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.array(F.lit("party")).alias("types"), attributes.alias("attributes"))
+    return node_issues(nodes, spec).select("element_id", "code")
+
+
+@query
+def annotations_of_documents(spark, sf):
+    notes = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("target"), F.col("quality").alias("body"), F.lit("classifying").alias("motivation"))
+    return annotations_for(notes, _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id")))
+
+
+@query
+def attribute_evidence_rows(spark, sf):
+    """An attribute's own evidence, else its element's."""
+    s = _t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("element_id"))
+    told = lambda attribute, source: s.select("element_id", F.lit(attribute).cast("string").alias("attribute"), evidence(F.lit(source), "query:table_map", []).alias("evidence"))
+    wanted = s.select("element_id", F.explode(F.array(F.lit("name"), F.lit("balance"))).alias("attribute"))
+    return attribute_evidence(wanted, told(None, "whole").unionByName(told("balance", "own"))).select("element_id", "attribute", F.col("evidence.provenance.derived_from").alias("source"))
+
+
+@query
+def trace_cells(spark, sf):
+    supplier = _t(spark, sf, "supplier")
+    out = TableMap("s", type="supplier", id_from="s_name", attributes=["s_name"])(_context(spark, s=supplier.withColumn("_row", F.col("s_suppkey"))))
+    found = TraceIndex(out.node_rows.select(F.col("id").alias("element_id"), F.lit(None).cast("string").alias("attribute"), "evidence"))
+    probes = supplier.select(F.lit("s").alias("source_id"), F.col("s_suppkey").alias("row"), F.lit("s_name").alias("column"))
+    return found.in_cell(probes).select("row", "element_id")
+
+
+@query
+def corpus_evaluation(spark, sf):
+    """Two cases: nations held against nations, and against nations and regions."""
+    nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    bindings = {"nation": ("table_map", {"records_source": "nation", "id_template": "nation:{n_name}", "attributes": {"name": "n_name"}})}
+    nodes = lambda df, type, name: df.select(F.concat(F.lit(f"{type}:"), slug(F.col(name))).alias("id"), F.array(F.lit(type)).alias("types"), F.create_map(F.lit("name"), F.concat(F.lit('"'), name, F.lit('"'))).alias("attributes"))
+    none = spark.createDataFrame([], "id string, source string, target string, type string, attributes map<string,string>")
+    own = nodes(nation, "nation", "n_name")
+    sources = SourceBundle([Source("nation", nation, "table")])
+    cases = [CorpusCase(name, sources, GRAMMAR, bindings, Graph(wanted, none)) for name, wanted in (("same", own), ("more", own.unionByName(nodes(region, "region", "r_name"))))]
+    result = evaluate_corpus(cases)
+    return spark.createDataFrame([(round(result.mean_score, 9), result.pass_rate, len(result.cases))], "mean_score double, pass_rate double, n long")
+
+
+@query
+def lexical_similarity(spark, sf):
+    """Ratio of matching characters, as the fallback of semantic similarity has it."""
+    p = _t(spark, sf, "part")
+    return p.select("p_partkey", F.round(SemanticSimilarity().column(F.concat(F.lit('"'), "p_brand", F.lit('"')), F.concat(F.lit('"'), "p_brand", F.lit('~"'))), 9).alias("ratio"))
+
+
+@query
+def composite_scores(spark, sf):
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    rule = Composite(((ExactMatch(), 1.0), (NormalizedMatch(), 3.0)))
+    return _t(spark, sf, "part").select("p_partkey", rule.column(quoted(F.col("p_name")), quoted(F.upper("p_name"))).alias("score"))
+
+
+@query
+def nodes_of_one_type(spark, sf):
+    return trade_graph(spark, sf).nodes_of_type("nation").select("id", _attr("name"))
+
+
 # without SQL ---------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ class Source:
     """One input. ``content`` is a string, a list of records, a JSON value, or a DataFrame.
 
     A text source may be a DataFrame with ``source_id`` and ``text`` columns: as
-    many texts as it has rows, in the order of ``source_id``.
+    many texts as it has rows, in the order of ``ordinal`` (below 2^40), if it has one, and ``source_id``.
     """
 
     id: str
@@ -61,7 +61,7 @@ class SourceBundle:
             if s.kind != TEXT:
                 continue
             if isinstance(s.content, DataFrame):
-                order = F.hash("source_id").cast("long") if "ordinal" not in s.content.columns else F.col("ordinal").cast("long")
+                order = F.col("ordinal").cast("long") if "ordinal" in s.content.columns else F.lit(0).cast("long")  # ``source_id`` orders within
                 frames.append(s.content.select((F.lit(k << 40) + order).alias("ordinal"), F.col("source_id").cast("string").alias("source_id"), "text"))
             else:
                 single.append((k << 40, s.id, s.content))

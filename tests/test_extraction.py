@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-import aid
+import coast
 import graphloom as g
 from graphloom.evidence import is_corrected, is_machine
 from graphloom.functions import cast_value, fill_template, json_text, normalize_entity, slug, slug_fast, slug_text
@@ -14,42 +14,62 @@ from graphloom.operators.records import check_where, json_records, select_path,
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return g.extract(aid.sources(), aid.SPEC, aid.BINDINGS, spark=spark, on_missing_binding="skip")
+    return g.extract(coast.sources(), coast.SPEC, coast.BINDINGS, spark=spark, on_missing_binding="skip")
 
 
 def test_whole_corpus(graph):
     counts = {(r["kind"], r["type"]): r["n"] for r in graph.counts_by_type().collect()}
-    assert counts == {
-        **{("node", k): v for k, v in {"donor": 2, "project": 2, "area": 2, "output": 2, "outcome": 2, "reading": 3}.items()},
-        **{("edge", k): v for k, v in {"funds": 3, "addresses": 2, "delivers": 2, "contributes_to": 2, "assesses": 3}.items()},
-    }
-    assert graph.node("project:prj-7").attributes == {"title": "Clean Wells", "code": "PRJ-7"}
-    assert graph.edge("funds:donor-fjord-fund->project-prj-7:0").attributes == {"currency": "EUR", "amount": 3000000, "kind": "commitment"}
-    assert graph.edge("addresses:project-prj-9->area-gender:1").attributes == {"marker": 1}
-    assert graph.node("reading:ind-1-female").attributes["actual"] == 700 and graph.node("reading:ind-2-total").attributes["actual"] == 12.5
-    assert graph.edge("delivers:1").target == "output:o2"
-    assert graph.reports["skipped_edges"].isEmpty() and graph.reports["unbound_elements"] == ["result"]
-    assert g.validate_graph(graph, aid.SPEC, raise_on_error=True).isEmpty()
+    nodes = {"keeper": 2, "light": 2, "vessel": 2, "port": 2, "lamp": 3}
+    edges = {"keeps": 2, "saw": 3, "hails_from": 2, "shines_at": 3}
+    assert counts == {("node", k): n for k, n in nodes.items()} | {("edge", k): n for k, n in edges.items()}
+    assert graph.node("light:cape-sorrow").attributes == {"name": "Cape Sorrow", "year": 1880}
+    assert graph.node("vessel:amalia").attributes == {"rig": "brig", "tons": 1150} and graph.node("vessel:petrel").attributes["tons"] == 38.5
+    assert graph.edge("saw:light-gull-rock->vessel-amalia:0").attributes == {"time": "18:40", "far": 3.5, "unit": "miles", "bearing": 120}
+    assert graph.edge("saw:light-cape-sorrow->vessel-petrel:2").attributes == {"time": "23:50", "far": 1200, "unit": "yards", "bearing": 7}
+    assert graph.edge("hails_from:1").target == "port:hythe" and graph.edge("shines_at:1").source == "lamp:gull-rock-red"
+    assert graph.edges_between("light:gull-rock", "vessel:amalia").count() == 2
+    assert graph.reports["skipped_edges"].isEmpty() and graph.reports["unbound_elements"] == ["craft"]
+    assert g.validate_graph(graph, coast.SPEC, raise_on_error=True).isEmpty()
 
 
 def test_grounding(graph):
-    row = graph.evidence.where("element_id = 'project:prj-9'").first()["evidence"]
+    row = graph.evidence.where("element_id = 'keeper:ilse-brandt'").first()["evidence"]
     quote, place = row["grounding"]
-    assert aid.TEXT[place["start"] : place["end"]] == quote["exact"] == "Project: School Roofs [PRJ-9]"
-    assert aid.TEXT[: place["start"]].endswith(quote["prefix"]) and len(quote["prefix"]) == 24
-    cell = graph.evidence.where("element_id = 'output:o2'").first()["evidence"]["grounding"][0]
-    assert (cell["source_id"], cell["row"], cell["column"]) == ("results", 1, "output")
+    assert coast.LOG[place["start"] : place["end"]] == quote["exact"] == "Ilse Brandt keeps"
+    assert coast.LOG[: place["start"]].endswith(quote["prefix"]) and len(quote["prefix"]) == 24
+    cell = graph.evidence.where("element_id = 'port:hythe'").first()["evidence"]["grounding"][0]
+    assert (cell["source_id"], cell["row"], cell["column"]) == ("vessels", 1, "port")
     assert graph.evidence.where(is_machine(F.col("evidence.provenance")) | is_corrected(F.col("evidence.provenance"))).isEmpty()
 
 
 def test_order_of_input_rows_does_not_show(spark, graph):
-    text = spark.createDataFrame([("agreement", aid.TEXT)], "source_id string, text string").repartition(3)
-    results = spark.createDataFrame(aid.RESULTS).withColumn("_row", F.when(F.col("project") == "PRJ-7", 0).otherwise(1)).repartition(2)
-    bundle = g.SourceBundle([g.Source("agreement", text), g.Source("results", results, "table"), g.Source("readings", aid.READINGS, "table")])
-    again = g.extract(bundle, aid.SPEC, aid.BINDINGS, spark=spark, on_missing_binding="skip")
+    text = spark.createDataFrame([("log", coast.LOG)], "source_id string, text string").repartition(3)
+    vessels = spark.createDataFrame(coast.VESSELS).withColumn("_row", F.when(F.col("rig") == "brig", 0).otherwise(1)).repartition(2)
+    bundle = g.SourceBundle([g.Source("log", text), g.Source("vessels", vessels, "table"), g.Source("lamps", coast.LAMPS, "table")])
+    again = g.extract(bundle, coast.SPEC, coast.BINDINGS, spark=spark, on_missing_binding="skip")
     assert g.to_canonical_json(again) == g.to_canonical_json(graph)
 
 
+def test_many_text_sources(spark):
+    """The last value wins in the order of the sources, however many there are, and of the texts within one."""
+    spec = g.GraphSpec((g.NodeType("w"),))
+    bound = {"w": ("regex_node", {"pattern": r"(?P<name>[a-z]+)=(?P<v>\d+)", "id_attribute": "name"})}
+    single = [g.Source(f"s{k:02}", f"a={k} b{chr(97 + k)}={k}") for k in range(20)]
+    frame = spark.createDataFrame([(f"t{k:03}", f"c={k} d={1000 - k}") for k in range(300)], "source_id string, text string").repartition(5)
+    graph = g.extract(g.SourceBundle([*single[:10], g.Source("frame", frame), *single[10:]]), spec, bound, spark=spark)
+    assert graph.node("w:a").attributes == {"name": "a", "v": "19"} and graph.number_of_nodes() == 23
+    assert graph.node("w:c").attributes["v"] == "299" and graph.node("w:d").attributes["v"] == "701"
+
+
+def test_json_strategy_over_a_column(spark):
+    docs = spark.createDataFrame([(2, '{"l": [{"id": "x", "v": 1}, {"id": "y", "v": 5}]}'), (1, '{"l": [{"id": "z", "v": 9}]}'), (3, None), (4, '{"l": []}')], "_row long, doc string")
+    bound = {"n": ("json_query", {"records_source": "j", "select": "l[*]", "where": {"v": {"$gt": 2}}, "column": "doc", "id_from": "id", "attributes": ["v"]})}
+    graph = g.extract({"j": g.Source("j", docs, "json")}, g.GraphSpec((g.NodeType("n"),)), bound, spark=spark)
+    assert {n.id: n.attributes for n in graph.collect_nodes()} == {"n:z": {"v": 9}, "n:y": {"v": 5}}
+    grounding = {r["element_id"]: [s["expression"] for s in r["evidence"]["grounding"]] for r in graph.evidence.collect()}
+    assert grounding == {"n:z": ["l[*][0]", "l[*][0]"], "n:y": ["l[*][1]", "l[*][2]"]}
+
+
 def test_binding_forms_and_errors(spark):
     spec = g.GraphSpec((g.NodeType("a"), g.NodeType("b")))
     one = lambda c: g.Extraction([g.ExtractedNode(f"{t.id}:1", t.id, {"v": 1}) for t in c.element_types])

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-import aid
+import coast
 import graphloom as g
 from graphloom.operators.trace import reanchored, spans_at, spans_overlapping
 from graphloom.operators.validation import validate_attributes, validate_spec
@@ -17,7 +17,7 @@ from graphloom.streaming import KeyedMerge
 
 @pytest.fixture(scope="module")
 def graph(spark):
-    return g.extract(aid.sources(), aid.SPEC, aid.BINDINGS, spark=spark, on_missing_binding="skip")
+    return g.extract(coast.sources(), coast.SPEC, coast.BINDINGS, spark=spark, on_missing_binding="skip")
 
 
 def issues(spark, spec, nodes, edges=()):
@@ -39,13 +39,13 @@ def test_grammar():
 
 
 def test_linkml_and_schemas():
-    assert g.load_linkml(g.to_linkml(aid.SPEC)) == g.GraphSpec(aid.SPEC.node_types, aid.SPEC.edge_types, aid.SPEC.enums, id="aid")
-    defs = g.generate_json_schema(aid.SPEC)["$defs"]
-    assert defs["funds"]["properties"]["amount"] == {"type": "number", "minimum": 0} and defs["reading"]["properties"]["sex"] == {"enum": ["total", "female", "male"]}
-    models = g.generate_pydantic(aid.SPEC)
-    assert models["donor"](name="x", ref="123").ref == "123"
+    assert g.load_linkml(g.to_linkml(coast.SPEC)) == g.GraphSpec(coast.SPEC.node_types, coast.SPEC.edge_types, coast.SPEC.enums, id="coast")
+    defs = g.generate_json_schema(coast.SPEC)["$defs"]
+    assert defs["saw"]["properties"]["bearing"] == {"type": "integer", "minimum": 0, "maximum": 359} and defs["lamp"]["properties"]["colour"] == {"enum": ["white", "red", "green"]}
+    models = g.generate_pydantic(coast.SPEC)
+    assert models["vessel"](tons=7, rig="brig").rig == "brig"
     with pytest.raises(ValueError):
-        models["donor"](name="x", ref="1")
+        models["vessel"](tons=7, rig="Brig 2")
 
 
 def test_validation_codes(spark):
@@ -74,16 +74,16 @@ def test_validation_codes(spark):
 
 def test_graph_match(spark, graph):
     same = g.from_canonical_json(spark, g.to_canonical_json(graph))
-    assert g.GraphMatch(aid.SPEC)(graph, same).score == 1.0
+    assert g.GraphMatch(coast.SPEC)(graph, same).score == 1.0
     doc = g.to_canonical_dict(graph)
-    doc["nodes"]["donor:fjord-fund"]["attributes"]["name"] = "  FJORD   fund "
-    assert g.GraphMatch(aid.SPEC)(graph, g.from_canonical_dict(spark, doc)).score == 1.0
-    doc["edges"][-1]["attributes"]["amount"] = 1
-    worse = g.GraphMatch(aid.SPEC)(graph, g.from_canonical_dict(spark, doc))
+    doc["nodes"]["keeper:mara-voss"]["attributes"]["name"] = "  MARA   voss "
+    assert g.GraphMatch(coast.SPEC)(graph, g.from_canonical_dict(spark, doc)).score == 1.0
+    next(e for e in doc["edges"] if e["type"] == "saw")["attributes"]["bearing"] = 1
+    worse = g.GraphMatch(coast.SPEC)(graph, g.from_canonical_dict(spark, doc))
     assert 0.9 < worse.score < 1.0 and worse.details["nodes"]["f1"] == 1.0
     empty = g.Graph.of(spark)
     assert g.GraphMatch()(empty, empty).score == 1.0 and g.GraphMatch()(empty, graph).score == 0.0
-    strict = g.GraphMatch(aid.SPEC, {("funds", "amount"): lambda a, e, context=None: g.Verdict(0.0, False)})(graph, same)
+    strict = g.GraphMatch(coast.SPEC, {("saw", "bearing"): lambda a, e, context=None: g.Verdict(0.0, False)})(graph, same)
     assert strict.details["attributes"]["score"] < 1
     assert greedy_pairs([{"a": "1"}, {"a": "2", "b": "3"}], [{"a": "2", "b": "3"}, {"a": "9"}]) == {2: 1, 0: 1}
 
@@ -116,13 +116,13 @@ def test_verifiers():
         v("none")
     with pytest.raises(ValueError):
         g.register_verifier("exact")(object)
-    assert g.schema_description_verifier(aid.SPEC, "funds", "amount", judge)(1, 1).passed
+    assert g.schema_description_verifier(coast.SPEC, "saw", "bearing", judge)(1, 1).passed
     assert len(g.available_verifiers()) == 10 and len(g.available_extractors()) == 8
 
 
 def test_evaluation(spark, graph):
     expected = g.from_canonical_json(spark, g.to_canonical_json(graph))
-    cases = [g.CorpusCase("right", aid.sources(), aid.SPEC, aid.BINDINGS, expected), g.CorpusCase("nothing", "no text", aid.SPEC, None, expected)]
+    cases = [g.CorpusCase("right", coast.sources(), coast.SPEC, coast.BINDINGS, expected), g.CorpusCase("nothing", "no text", coast.SPEC, None, expected)]
     got = g.evaluate_corpus(cases)
     assert got.mean_score == 0.5 and got.pass_rate == 0.5 and got.summary()["cases"]["right"] == {"score": 1.0, "passed": True}
     assert g.evaluate_corpus([]).mean_score == 1.0
@@ -151,12 +151,12 @@ def test_registry_judge_and_cascade(spark):
 
 
 def test_reify_round_trip(spark, graph):
-    there = g.reify(graph, "funds")
-    assert there.node("funds:donor-fjord-fund->project-prj-7:0").attributes["amount"] == 3000000
-    assert there.edges_of_type("funds_subject").count() == 3
-    assert g.to_canonical_json(g.unreify(there, "funds")) == g.to_canonical_json(graph)
-    with pytest.raises(ValueError, match="funds_subject"):
-        g.reify(g.Graph(there.nodes, there.edges.unionByName(graph.edges_of_type("funds"))), "funds")
+    there = g.reify(graph, "saw")
+    assert there.node("saw:light-gull-rock->vessel-amalia:0").attributes["far"] == 3.5
+    assert there.edges_of_type("saw_subject").count() == 3
+    assert g.to_canonical_json(g.unreify(there, "saw")) == g.to_canonical_json(graph)
+    with pytest.raises(ValueError, match="saw_subject"):
+        g.reify(g.Graph(there.nodes, there.edges.unionByName(graph.edges_of_type("saw"))), "saw")
     clash = g.Graph.of(spark, [g.Node("x", ("t",))], [g.Edge("x", "x", "x", "r")])
     with pytest.raises(ValueError, match="'x'"):
         g.reify(clash, "r")
@@ -164,20 +164,20 @@ def test_reify_round_trip(spark, graph):
 
 def test_traces(spark, graph):
     index = g.TraceIndex(graph.evidence)
-    at = aid.TEXT.index("Clean Wells")
-    found = index.at(spark.createDataFrame([("agreement", at), ("agreement", 0), ("other", at)], "source_id string, offset long"))
-    assert [r["element_id"] for r in found.collect()] == ["project:prj-7"]
-    cell = index.in_cell(spark.createDataFrame([("results", 0, "output")], "source_id string, row long, column string"))
-    assert {r["element_id"] for r in cell.collect()} == {"output:o1"}
+    at = coast.LOG.index("Ilse Brandt")
+    found = index.at(spark.createDataFrame([("log", at), ("log", 0), ("other", at)], "source_id string, offset long"))
+    assert [r["element_id"] for r in found.collect()] == ["keeper:ilse-brandt"]
+    cell = index.in_cell(spark.createDataFrame([("vessels", 0, "vessel")], "source_id string, row long, column string"))
+    assert {r["element_id"] for r in cell.collect()} == {"vessel:amalia"}
     spans = spark.createDataFrame([("d", "a", 10, 20), ("d", "b", 30, 45), ("d", "c", 0, 20000)], "source_id string, element_id string, start long, end long")
     probes = spark.createDataFrame([("d", 9), ("d", 10), ("d", 19), ("d", 20), ("d", 19999)], "source_id string, offset long")
     assert sorted((r["offset"], r["element_id"]) for r in spans_at(spans, probes).collect() if r["element_id"] != "c") == [(10, "a"), (19, "a")] and spans_at(spans, probes).where("element_id = 'c'").count() == 5
     ranges = spark.createDataFrame([("d", 20, 30), ("d", 19, 31), ("d", 4000, 9000)], "source_id string, from long, to long")
     assert sorted((r["from"], r["element_id"]) for r in spans_overlapping(spans, ranges).collect()) == [(19, "a"), (19, "b"), (19, "c"), (20, "c"), (4000, "c")]
-    own = g.set_attribute_evidence(graph.evidence, "project:prj-7", "title", g.Evidence(g.Provenance("hand", "typed", attributed_kind="person")))
-    wanted = spark.createDataFrame([("project:prj-7", "title"), ("project:prj-7", "code"), ("none", "x")], "element_id string, attribute string")
+    own = g.set_attribute_evidence(graph.evidence, "light:gull-rock", "name", g.Evidence(g.Provenance("hand", "typed", attributed_kind="person")))
+    wanted = spark.createDataFrame([("light:gull-rock", "name"), ("light:gull-rock", "year"), ("none", "x")], "element_id string, attribute string")
     got = {(r[0], r[1]): r[2] and r[2]["provenance"]["derived_from"] for r in g.attribute_evidence(wanted, own).collect()}
-    assert got == {("project:prj-7", "title"): "hand", ("project:prj-7", "code"): "agreement", ("none", "x"): None}
+    assert got == {("light:gull-rock", "name"): "hand", ("light:gull-rock", "year"): "log", ("none", "x"): None}
 
 
 def test_anchors(spark):
@@ -191,10 +191,10 @@ def test_anchors(spark):
 
 
 def test_canonical_json(spark, graph):
-    text = g.to_canonical_json(graph, spec=aid.SPEC)
+    text = g.to_canonical_json(graph, spec=coast.SPEC)
     doc = json.loads(text)
-    assert doc["spec"] == {"id": "aid", "version": "2"} and list(doc["nodes"]) == sorted(doc["nodes"])
-    assert g.to_canonical_json(g.from_canonical_json(spark, text), spec=aid.SPEC) == text
+    assert doc["spec"] == {"id": "coast", "version": "1"} and list(doc["nodes"]) == sorted(doc["nodes"])
+    assert g.to_canonical_json(g.from_canonical_json(spark, text), spec=coast.SPEC) == text
     for wrong in ([], {**doc, "nodes": []}, {**doc, "more": 1}, {**doc, "edges": [{"id": "x"}]}, {**doc, "nodes": {"x": {"types": [1], "attributes": {}}}}):
         with pytest.raises(ValueError):
             g.validate_canonical(wrong)
