@@ -45,21 +45,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return kept(df, tag)[0]
 
 
-def kept(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def kept(df: DataFrame, tag: str, codec: str | None = None) -> tuple[DataFrame, str]:
     """As ``stored``, with the path, for tables that are dropped before the end."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    written(df, path)
+    written(df, path, codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, path: str) -> None:
-    """Write Parquet; the query's shuffle files go when it ends, as nothing reads them again."""
+def written(df: DataFrame, path: str, codec: str | None = None) -> None:
+    """Write Parquet; the query's shuffle files go when it ends, as nothing reads them again.
+
+    The session's codec is used unless another is named: closer ones take memory outside the heap.
+    """
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         conf.set(CLEANUP, before) if before else conf.unset(CLEANUP)
 

@@ -31,7 +31,7 @@ PROFILE, OWN = 400, 300
 TRAINED = 4_000
 #: A text fits a language if its score is at least this share of the median score of about so many of the language's documents.
 FIT, CALIBRATED = 0.5, 1_000
-MEMO = 300_000
+MEMO = 200_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LETTER = r"\p{L}"

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import PLACE_BITS, kept
 
 
+def packed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """A stored table and its path, in as little space as is cheap, as many of them lie side by side."""
+    return kept(df, tag, "zstd")
+
+
 def _differs(column: pa.Array) -> np.ndarray:
     """Whether each value but the first differs from the one before it."""
     n = len(column)
@@ -89,7 +94,7 @@ def ranked(rows: DataFrame, key: list[str], salt: list[str], tag: str, keep: lis
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"`{x}` {kind[x]}" for x in kind if x not in key] + [f"`{x}` {kind[x]}" for x in keep] + ["name long", "shared boolean", "leads boolean", "ends binary"])
     ordered = rows.repartitionByRange(parts, *key, *salt).sortWithinPartitions(*key)
-    made, path = kept(ordered.mapInArrow(_named(key, keep, every), schema), tag)
+    made, path = packed(ordered.mapInArrow(_named(key, keep, every), schema), tag)
     ends: dict[int, dict[int, list]] = {}
     for r in made.where("ends is not null").select("name", "ends").collect():  # two a range
         ends.setdefault(r["name"] >> PLACE_BITS, {})[r["name"]] = pickle.loads(r["ends"])

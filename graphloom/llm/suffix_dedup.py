@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, chunks, columns_batch, dropped, kept, stored, utf8
-from .ordering import ranked
+from .common import RowNumbers, chunks, columns_batch, dropped, stored, utf8
+from .ordering import packed, ranked
 
 WINDOW, GRAM = 200, 100
 #: Bytes of a triple of words.
@@ -201,7 +201,7 @@ def sorted_windows(stretches: DataFrame) -> DataFrame:
     all of ``WINDOW`` but the two bytes that a shift leaves at its ends.
     """
     spark = stretches.sparkSession
-    names, path = kept(stretches.mapInArrow(_sampled, "row long, place long, pos long, k int, words binary"), "sample")
+    names, path = packed(stretches.mapInArrow(_sampled, "row long, place long, pos long, k int, words binary"), "sample")
     key, left = ["words"], (WINDOW - 2) // TRIPLE
     while True:
         made, made_path = ranked(names, key, ["row", "pos"], "names")
@@ -211,11 +211,11 @@ def sorted_windows(stretches: DataFrame) -> DataFrame:
         # a triple of names for each position, where all three are shared
         key = ["n0", "n1", "n2"]
         triple = [F.max(F.when(F.col("k") % 3 == j, F.col("name"))).alias(n) for j, n in enumerate(key)]
-        names, path = kept(made.groupBy("row", "place", "pos", F.floor(F.col("k") / 3).cast("int").alias("k")).agg(*triple, F.count("*").alias("n")).where("n = 3").drop("n"), "triples")
+        names, path = packed(made.groupBy("row", "place", "pos", F.floor(F.col("k") / 3).cast("int").alias("k")).agg(*triple, F.count("*").alias("n")).where("n = 3").drop("n"), "triples")
         dropped(spark, made_path)
         left //= 3
     ranks = made.groupBy("row", "place").agg(F.collect_list(F.struct("pos", "name")).alias("ranks"))
-    merged, path = kept(stretches.join(ranks, ["row", "place"]).select("row", "place", "key", "parts", "ranks").mapInArrow(_windows, "row long, shift int, start long, b0 int, b1 int, rank long"), "merged")
+    merged, path = packed(stretches.join(ranks, ["row", "place"]).select("row", "place", "key", "parts", "ranks").mapInArrow(_windows, "row long, shift int, start long, b0 int, b1 int, rank long"), "merged")
     dropped(spark, made_path)
     equal, equal_path = ranked(merged, ["shift", "rank", "b0", "b1"], ["row", "start"], "equal")
     dropped(spark, path)
@@ -228,11 +228,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """``row, first, last``: ranges of windows that start anywhere else too; ``docs`` has ``row`` and binary ``text``."""
     spark = docs.sparkSession
     first = F.shiftright("place", 8)
-    found, old = kept(docs.select("row", "text").mapInArrow(_anchored, "row long, first long, off int, more int, h long"), "anchors")
+    found, old = packed(docs.select("row", "text").mapInArrow(_anchored, "row long, first long, off int, more int, h long"), "anchors")
     shared, path = ranked(found, ["h"], ["row", "first"], "shared")
     dropped(spark, old)
     by_text = shared.groupBy("row").agg(F.collect_list(F.struct("first", F.col("name").alias("anchor"), "off", "more")).alias("found"))
-    stretches, old = kept(docs.join(by_text, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, place long, key binary"), "stretches")
+    stretches, old = packed(docs.join(by_text, "row").select("row", "text", "found").mapInArrow(_stretches, "row long, place long, key binary"), "stretches")
     dropped(spark, path)
     # copies: equal stretches around one anchor; one of each kind goes on where an anchor has several
     kinds, kinds_path = ranked(stretches, ["key"], ["row", "place"], "kinds", ["key"], every=True)
@@ -242,22 +242,22 @@ def repeated(docs: DataFrame) -> DataFrame:
     unlike, unlike_path = ranked(one, ["anchor"], ["row", "place"], "unlike")
     dropped(spark, kinds_path)
     # parts of these whose middle is somewhere else too
-    parts, old = kept(unlike.mapInArrow(_parts, "row long, place long, a int, b int, middle long"), "parts")
+    parts, old = packed(unlike.mapInArrow(_parts, "row long, place long, a int, b int, middle long"), "parts")
     middles, path = ranked(parts, ["middle"], ["row", "place", "a"], "middles")
     dropped(spark, old)
     open_parts = middles.groupBy("row", "place").agg(F.collect_list(F.struct("a", "b", F.col("name").alias("middle"))).alias("parts"))
-    opened, opened_path = kept(unlike.join(open_parts, ["row", "place"]).select("row", "place", "key", "parts"), "opened")
+    opened, opened_path = packed(unlike.join(open_parts, ["row", "place"]).select("row", "place", "key", "parts"), "opened")
     for done in (unlike_path, path):
         dropped(spark, done)
     # equal parts again are copies, and one of each goes on where a middle has several
-    pieces, old = kept(opened.mapInArrow(_pieces, "row long, place long, a int, b int, middle long, piece binary"), "pieces")
+    pieces, old = packed(opened.mapInArrow(_pieces, "row long, place long, a int, b int, middle long, piece binary"), "pieces")
     alike, path = ranked(pieces, ["middle", "piece"], ["row", "place", "a"], "alike", ["middle"], every=True)
     dropped(spark, old)
     equal = stored(alike.where("shared").select("row", (first + F.col("a")).alias("first"), (first + F.col("b")).alias("last")), "equal")
     left, left_path = ranked(alike.where("leads").select("row", "place", "a", "b", "middle"), ["middle"], ["row", "place", "a"], "left")
     dropped(spark, path)
     last_parts = left.groupBy("row", "place").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    last, path = kept(opened.drop("parts").join(last_parts, ["row", "place"]), "last")
+    last, path = packed(opened.drop("parts").join(last_parts, ["row", "place"]), "last")
     for done in (opened_path, left_path):
         dropped(spark, done)
     windows = sorted_windows(last)
@@ -297,6 +297,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     the same text or another. Null and short texts lose nothing; repeated rows
     repeat each other. Spans are byte offsets, ends exclusive.
     """
-    own = kept(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_numbered_texts, "row long, id long, text binary"), "texts")[0]
+    own = packed(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_numbered_texts, "row long, id long, text binary"), "texts")[0]
     starts = repeated(own.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     return own.join(starts, "row", "left").select("id", "text", "starts").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")

@@ -185,7 +185,7 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("html"))
-    own = stored(numbered.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "xx": F.xxhash64("html"), "size": F.octet_length("html").cast("long")}), "pages")
+    own = kept(numbered.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "xx": F.xxhash64("html"), "size": F.octet_length("html").cast("long")}), "pages", "zstd")[0]
     same = ["sha", "xx", "size"]
     keyed = own.select("row", "page", *same)
     low = F.min(F.struct(F.col("page").isNull().alias("null"), "page", "row"))
