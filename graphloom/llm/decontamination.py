@@ -232,7 +232,7 @@ def _matched(folder: str, path: str | None) -> Callable:
 
 #: SQL for a document's spans put together, from its spans by automaton, sorted.
 UNITED = """
-aggregate(slice(array_sort(flatten(collect_list(spans))), 2, 2147483647),
+aggregate(slice(array_sort(flatten(collect_list(spans))), 2, 1000000000),
   named_struct('out', slice(array_sort(flatten(collect_list(spans))), 1, 1)),
   (acc, s) -> named_struct('out', if(s.start <= element_at(acc.out, -1).stop,
     array_append(slice(acc.out, 1, size(acc.out) - 1), named_struct('start', element_at(acc.out, -1).start, 'stop', greatest(s.stop, element_at(acc.out, -1).stop))),
