@@ -57,18 +57,30 @@ def written(df: DataFrame, path: str, codec: str | None = None) -> None:
     """Write Parquet; the query's shuffle files go when it ends, as nothing reads them again.
 
     The session's codec is used unless another is named: closer ones take memory outside the heap.
+    Python workers get batches of at most ``BATCH`` rows and bytes; a lower setting of the session holds.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    low = {name: str(bound) for name, bound in BATCH.items() if not 0 < (_number(conf.get(name, None)) or 0) <= bound}
+    names = {CLEANUP: "true", **low}
+    before = {name: conf.get(name, None) for name in names}
+    for name, value in names.items():
+        conf.set(name, value)
     try:
         (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
-        conf.set(CLEANUP, before) if before else conf.unset(CLEANUP)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 #: Spark's own setting to delete the shuffle files of a query once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of an Arrow batch: a task holds it several times over, on both sides and as Python objects.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _number(text: str | None) -> int | None:
+    """A setting that is a plain number, of rows or bytes; None for others."""
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import RowNumbers, fresh, scratch, store, stored, utf8, with_rows
 
@@ -162,7 +161,6 @@ class Automaton:
 
 SCHEMA = "row long, id long, n_words long, spans array<struct<start:int,stop:int>>, items array<long>"
 KIND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,42 +262,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     return both.agg(F.expr(UNITED).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
+def _without(batch: pa.RecordBatch, at: int, found: Iterator[list[tuple[int, int]]], most_words: int, most_share: float) -> pa.RecordBatch:
+    """The batch with each row's spans cut out of its text in column ``at``, or without the row."""
+    out, keep = batch.column(at).to_pylist(), []
+    for k, spans in enumerate(found):
+        keep.append(True)
+        if not spans:
+            continue
+        own = out[k].encode()
+        places = [m.span() for m in WORD.finditer(own.lower())]
+        sizes = [b - a for a, b in spans]
+        kept, last = bytearray(), 0
+        for a, b in spans:
+            kept += own[last : places[a][0]]
+            last = places[b - 1][1]
+        kept += own[last:]
+        keep[-1] = max(sizes) <= most_words and sum(sizes) <= most_share * len(places)
+        out[k] = kept.decode()
+    columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+
 def _removed(text: str, most_words: int, most_share: float) -> Callable:
-    """Cut the spans in the last column out of the text, or leave the row out."""
+    """Cut the spans in the last column out of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            out, keep = batch.column(at).to_pylist(), []
-            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                keep.append(True)
-                if not spans:
-                    continue
-                own = out[k].encode()
-                places = [m.span() for m in WORD.finditer(own.lower())]
-                sizes = [s["stop"] - s["start"] for s in spans]
-                kept, last = bytearray(), 0
-                for s in spans:
-                    kept += own[last : places[s["start"]][0]]
-                    last = places[s["stop"] - 1][1]
-                kept += own[last:]
-                keep[-1] = max(sizes) <= most_words and sum(sizes) <= most_share * len(places)
-                out[k] = kept.decode()
-            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+            found = ([(s["start"], s["stop"]) for s in spans or ()] for spans in batch.column(batch.num_columns - 1).to_pylist())
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield _without(rest, batch.schema.get_field_index(text), found, most_words, most_share)
 
     return run
 
 
-def _spotted(folder: str, path: str | None, text: str, name: str) -> Callable:
-    """The spans of each row behind its columns."""
+def _cleaned(folder: str, path: str | None, text: str, most_words: int, most_share: float) -> Callable:
+    """Find spans with one automaton and cut them out, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _loaded(folder, path) if path else Automaton([])
         for batch in batches:
-            found = [automaton.matches(words(t))[0] for t in utf8(batch.column(batch.schema.get_field_index(text)))]
-            spans = pa.array([[{"start": a, "stop": b} for a, b in united(x)] for x in found], KIND)
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, name])
+            at = batch.schema.get_field_index(text)
+            found = (united(automaton.matches(words(t))[0]) for t in utf8(batch.column(at)))
+            yield _without(batch, at, found, most_words, most_share)
 
     return run
 
@@ -313,13 +317,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = 200,
     too. Items need no id.
     """
     folder, paths = automata(benchmark, window=window)
-    spans = fresh(docs, "_spans")
     if len(paths) < 2:
-        schema = StructType([*docs.schema.fields, StructField(spans, SPANS)])
-        found = docs.mapInArrow(_spotted(folder, paths[0] if paths else None, text, spans), schema)
-    else:
-        own, row = with_rows(docs)
-        matched = functools.reduce(DataFrame.unionByName, [own.select(F.lit(None).cast("long").alias("id"), F.col(text), F.col(row)).mapInArrow(_matched(folder, p), SCHEMA) for p in paths])
-        hits = matched.where("size(spans) > 0").groupBy(F.col("row").alias(row)).agg(F.expr(UNITED).alias(spans))
-        found = own.join(hits, row, "left").select(*docs.columns, spans)
+        return docs.mapInArrow(_cleaned(folder, paths[0] if paths else None, text, most_words, most_share), docs.schema)
+    spans = fresh(docs, "_spans")
+    own, row = with_rows(docs)
+    matched = functools.reduce(DataFrame.unionByName, [own.select(F.lit(None).cast("long").alias("id"), F.col(text), F.col(row)).mapInArrow(_matched(folder, p), SCHEMA) for p in paths])
+    hits = matched.where("size(spans) > 0").groupBy(F.col("row").alias(row)).agg(F.expr(UNITED).alias(spans))
+    found = own.join(hits, row, "left").select(*docs.columns, spans)
     return found.mapInArrow(_removed(text, most_words, most_share), docs.schema)
