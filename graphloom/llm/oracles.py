@@ -85,4 +85,44 @@ SELECT pair_id, block,
 FROM masks GROUP BY pair_id, block
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6}
+#: Unsigned CRC-32 of a decimal number, byte by byte and bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS start, {CRC32.format("conv_id")} % 9 AS h FROM t WHERE place = 1
+), spliced AS (
+  SELECT own.conv_id, place AS depth, role, text FROM own JOIN t ON t.conv_id = own.start WHERE place <= h
+  UNION ALL
+  SELECT own.conv_id, place - h + least(h, (SELECT count(*) FROM t AS s WHERE s.conv_id = own.start)) AS depth, role, text FROM own JOIN t ON t.conv_id = own.conv_id WHERE place > h
+), rows AS (
+  SELECT conv_id, 0 AS depth, 0 AS n_bytes, sha256('') AS k FROM own
+  UNION ALL
+  SELECT conv_id, depth, strlen(text) AS n_bytes,
+         sha256(string_agg(sha256(role) || sha256(text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS k
+  FROM spliced
+), lasts AS (
+  SELECT conv_id, max(depth) AS depth FROM rows GROUP BY conv_id
+), nodes AS (
+  SELECT k, rows.depth AS depth, min(rows.conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes,
+         coalesce(string_agg(CAST(rows.conv_id AS VARCHAR), ',' ORDER BY rows.conv_id) FILTER (WHERE rows.depth = lasts.depth), '') AS ends
+  FROM rows JOIN lasts ON rows.conv_id = lasts.conv_id GROUP BY k, rows.depth
+), placed AS (
+  SELECT nodes.*, up.k AS parent, p.conv_id AS parent_conv_id
+  FROM nodes LEFT JOIN rows AS up ON up.conv_id = nodes.conv_id AND up.depth = nodes.depth - 1 LEFT JOIN nodes AS p ON p.k = up.k AND p.depth = up.depth
+), counted AS (
+  SELECT placed.*, (SELECT count(*) FROM placed AS c WHERE c.parent = placed.k AND c.depth = placed.depth + 1) AS n_children FROM placed
+), sums AS (
+  SELECT up.k AS k, up.depth AS depth, count(*) FILTER (WHERE counted.n_children = 0) AS n_leaves, sum((counted.n_convs - 1) * counted.n_bytes) AS saved
+  FROM counted JOIN rows AS up ON up.conv_id = counted.conv_id AND up.depth <= counted.depth GROUP BY up.k, up.depth
+)
+SELECT conv_id, CAST(counted.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted JOIN sums ON sums.k = counted.k AND sums.depth = counted.depth
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6, "op12_conversation_trie": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, suffix_dedup, token_counts, warc
+from . import conversation_trie, decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, suffix_dedup, token_counts, warc
 from .common import scratch, table
 
 
@@ -80,4 +80,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op8_suffix_dedup, op9_pii, op10_token_counts)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c starts with the first h turns of c - c % 5; h is crc32(c) % 9."""
+    turns = conversation_trie.turns_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    own = turns.where("place = 1").select("conv_id", F.expr("conv_id - conv_id % 5").alias("start"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h"))
+    return conversation_trie.trie(*conversation_trie.shared_start(turns, own)).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op8_suffix_dedup, op9_pii, op10_token_counts, op12_conversation_trie)}
