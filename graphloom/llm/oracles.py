@@ -125,4 +125,25 @@ SELECT conv_id, CAST(counted.depth AS BIGINT) AS depth, parent_conv_id, n_convs,
 FROM counted JOIN sums ON sums.k = counted.k AND sums.depth = counted.depth
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6, "op12_conversation_trie": OP12}
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array({NORMALISED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), size AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY row, doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, size GROUP BY term, n_docs
+), scores AS (
+  SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term), size GROUP BY item_id, row, doc_id
+), ranks AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op2_preference_formatting": OP2, "op4_exact_dedup": OP4, "op6_benchmark_decontamination": OP6, "op12_conversation_trie": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontamination, exact_dedup, language_id, packing, pii, preferences, simhash, suffix_dedup, token_counts, warc
+from . import conversation_trie, decontamination, exact_dedup, language_id, lexical_search, neural_lm, packing, pii, preferences, simhash, suffix_dedup, token_counts, warc
 from .common import scratch, table
 
 
@@ -80,6 +80,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    return neural_lm.scores(table(spark, sf_dir, "documents", "doc_id", "text"), left != 2, left == 2).withColumnRenamed("id", "doc_id")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation c starts with the first h turns of c - c % 5; h is crc32(c) % 9."""
     turns = conversation_trie.turns_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
@@ -87,4 +92,8 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(*conversation_trie.shared_start(turns, own)).withColumnRenamed("saved_bytes", "saved_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op8_suffix_dedup, op9_pii, op10_token_counts, op12_conversation_trie)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_preference_formatting, op3_best_fit_packing, op4_exact_dedup, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_language_id, op8_suffix_dedup, op9_pii, op10_token_counts, op11_lm_scoring, op12_conversation_trie, op13_lexical_search)}
