@@ -39,7 +39,7 @@ WORDS, ENDINGS, LAST = 1_024, 256, 3
 #: Common words whose counts are sent to tasks, of at most so many bytes.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Size of vectors, rounds of training, tokens of a step, noise units of a step, rate of the steps.
-SIZE, ROUNDS, STEP, NOISE, RATE = 24, 4, 1_024, 48, 0.1
+SIZE, ROUNDS, STEP, NOISE, RATE = 16, 4, 1_024, 32, 0.03
 #: Words counted in a task before they are handed on.
 FLUSH = 400_000
 
@@ -230,17 +230,19 @@ class Trainer:
         self._add(1, x.T @ dq)
         self._add(2, y.T @ dq)
         self._rows(3, np.concatenate([unit, noise]), np.concatenate([right[:, None] * q, wrong.T @ q]))
-        self._rows(4, np.concatenate([unit, noise]), np.concatenate([right, wrong.sum(axis=0)])[:, None])
+        self._rows(4, np.concatenate([unit, noise]), np.concatenate([right, wrong.sum(axis=0)]))
         self._rows(0, np.concatenate([last, first]), np.concatenate([dq @ by_last.T, dq @ by_first.T]))
 
     def _rows(self, k: int, at: np.ndarray, rows: np.ndarray) -> None:
-        part, width = self.model.parts[k], rows.shape[1]
-        keys = (at[:, None] * width + np.arange(width)).ravel()
-        self._add(k, np.bincount(keys, rows.ravel(), part.size).reshape(part.shape).astype(np.float32))
-
-    def _add(self, k: int, gradient: np.ndarray) -> None:
-        self.sums[k] += gradient * gradient
-        self.model.parts[k] += self.rate * gradient / np.sqrt(self.sums[k])
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        self._add(k, np.add.reduceat(rows[order], first, axis=0), own[first])
+
+    def _add(self, k: int, gradient: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+        sums = self.sums[k][at] + gradient * gradient
+        self.sums[k][at] = sums
+        self.model.parts[k][at] += self.rate * gradient / np.sqrt(sums)
 
 
 def _trained(tokens: np.ndarray, flat: np.ndarray) -> Callable:
