@@ -27,6 +27,26 @@ PARTS = f"""
 parts AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand || ' Ltd.' END AS name, p_size FROM part),
 named AS (SELECT *, 'brand:' || {slug(NORMAL.format(x="name"))} AS cid FROM parts)
 """
+#: Nodes with their attributes as JSON members and as bare texts, by name; edges have none.
+MEMBERS = f"""
+{LOCATED}, own AS (
+  SELECT DISTINCT id, type, ['name'] AS names, [name] AS bare, ['"' || name || '"'] AS vals FROM nodes WHERE type <> 'customer'
+  UNION ALL SELECT 'customer:' || {slug("c_name")}, 'customer', ['balance', 'key', 'name', 'segment'], [CAST(c_acctbal AS VARCHAR), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment],
+    [CAST(c_acctbal AS VARCHAR), CAST(c_custkey AS VARCHAR), '"' || c_name || '"', '"' || c_mktsegment || '"'] FROM customer
+), last AS (SELECT (SELECT max(id) FROM own) AS n, (SELECT max(id) FROM edges) AS e)
+"""
+
+
+def lines(*texts: str) -> str:
+    """Fixed lines as SQL."""
+    return " || chr(10) || ".join("'" + t.replace("'", "''") + "'" for t in texts)
+
+
+def members(indent: int) -> str:
+    """A node's attributes as JSON members, one a line."""
+    return f"array_to_string(list_transform(list_zip(names, vals), lambda x: '\"' || x[1] || '\": ' || x[2]), ',' || chr(10) || repeat(' ', {indent}))"
+
+
 SALES = "sales AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS source, 'p' || max(l_partkey) AS target, max(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 ORACLES: dict[str, str] = {
@@ -124,6 +144,51 @@ UNION ALL SELECT id, 'g:' || replace(source, ':', '_') || ' g:' || type || ' g:'
 WITH {LOCATED} SELECT DISTINCT id, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, '{{"types":["' || type || '"],"name":"' || name || '"}}' AS props FROM nodes WHERE type <> 'customer'
 UNION ALL SELECT 'customer:' || {slug("c_name")}, NULL, NULL, '{{"types":["customer"],"balance":' || c_acctbal || ',"key":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}}' FROM customer
 UNION ALL SELECT id, source, target, '{{}}' FROM edges""",
+    "element_records": f"""
+WITH {MEMBERS} SELECT 'node' AS kind, id, '{{"id":"' || id || '","types":["' || type || '"],' || array_to_string(list_transform(list_zip(names, vals), lambda x: '"' || x[1] || '":' || x[2]), ',') || '}}' AS record FROM own
+UNION ALL SELECT 'edge', id, '{{"id":"' || id || '","type":"' || type || '","source":"' || source || '","target":"' || target || '"}}' FROM edges""",
+    "canonical_document_lines": f"""
+WITH {MEMBERS} SELECT 0 AS section, '' AS key, {lines("{", '  "$schema": "urn:graphloom:graph:1",', '  "directed": true,')} AS text
+UNION ALL SELECT 1, '', '  "edges": ['
+UNION ALL SELECT 2, id, '    {{' || chr(10) || '      "attributes": {{}},' || chr(10) || '      "id": "' || id || '",' || chr(10) || '      "source": "' || source || '",' || chr(10) || '      "target": "' || target || '",' || chr(10) || '      "type": "' || type || '"' || chr(10) || '    }}' || CASE WHEN id < e THEN ',' ELSE '' END FROM edges, last
+UNION ALL SELECT 3, '', '  ],'
+UNION ALL SELECT 4, '', '  "nodes": {{'
+UNION ALL SELECT 5, id, '    "' || id || '": {{' || chr(10) || '      "attributes": {{' || chr(10) || repeat(' ', 8) || {members(8)} || chr(10) || '      }},' || chr(10) || '      "types": [' || chr(10) || '        "' || type || '"' || chr(10) || '      ]' || chr(10) || '    }}' || CASE WHEN id < n THEN ',' ELSE '' END FROM own, last
+UNION ALL SELECT 6, '', '  }},'
+UNION ALL SELECT 9, '', {lines('  "spec": {', '    "id": "trade",', '    "version": "1"', "  },", '  "version": "1.0"', "}")}""",
+    "jgf_document_lines": f"""
+WITH {MEMBERS} SELECT 0 AS section, '' AS key, {lines("{", '  "graph": {', '    "directed": true,')} AS text
+UNION ALL SELECT 1, '', '    "edges": ['
+UNION ALL SELECT 2, id, '      {{' || chr(10) || '        "id": "' || id || '",' || chr(10) || '        "metadata": {{}},' || chr(10) || '        "relation": "' || type || '",' || chr(10) || '        "source": "' || source || '",' || chr(10) || '        "target": "' || target || '"' || chr(10) || '      }}' || CASE WHEN id < e THEN ',' ELSE '' END FROM edges, last
+UNION ALL SELECT 3, '', '    ],'
+UNION ALL SELECT 4, '', '    "nodes": {{'
+UNION ALL SELECT 5, id, '      "' || id || '": {{' || chr(10) || '        "label": "' || type || '",' || chr(10) || '        "metadata": {{' || chr(10) || repeat(' ', 10) || {members(10)} || ',' || chr(10) || '          "types": [' || chr(10) || '            "' || type || '"' || chr(10) || '          ]' || chr(10) || '        }}' || chr(10) || '      }}' || CASE WHEN id < n THEN ',' ELSE '' END FROM own, last
+UNION ALL SELECT 6, '', '    }}'
+UNION ALL SELECT 9, '', {lines("  }", "}")}""",
+    "graphml_document_lines": f"""
+WITH {MEMBERS} SELECT 0 AS section, '' AS key, {
+        lines(
+            '<?xml version="1.0" encoding="UTF-8"?>',
+            '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+            *(f'  <key id="n{i}" for="node" attr.name="{name}" attr.type="string"/>' for i, name in enumerate(["balance", "key", "name", "segment", "types"])),
+            '  <key id="e0" for="edge" attr.name="type" attr.type="string"/>',
+            '  <graph edgedefault="directed">',
+        )
+    } AS text
+UNION ALL SELECT 1, id, '    <node id="' || id || '">' || chr(10) || '      <data key="n4">' || type || '</data>' ||
+  array_to_string(list_transform(list_zip(names, bare), lambda x: chr(10) || '      <data key="n' || (list_position(['balance', 'key', 'name', 'segment'], x[1]) - 1) || '">' || replace(replace(x[2], '&', '&amp;'), '<', '&lt;') || '</data>'), '') || chr(10) || '    </node>' FROM own
+UNION ALL SELECT 2, id, '    <edge id="' || id || '" source="' || source || '" target="' || target || '">' || chr(10) || '      <data key="e0">' || type || '</data>' || chr(10) || '    </edge>' FROM edges
+UNION ALL SELECT 3, '', {lines("  </graph>", "</graphml>")}""",
+    "dot_document_lines": f"""
+WITH {MEMBERS} SELECT 0 AS section, '' AS key, {lines("digraph graphloom {", "  rankdir=LR;")} AS text
+UNION ALL SELECT 1, id, '  "' || id || '" [label="' || list_extract(bare, list_position(names, 'name')) || '"];' FROM own
+UNION ALL SELECT 2, id, '  "' || source || '" -> "' || target || '" [label="' || type || '"];' FROM edges
+UNION ALL SELECT 3, '', '}}'""",
+    "mermaid_document_lines": f"""
+WITH {MEMBERS}, place AS (SELECT *, 'n' || (row_number() OVER (ORDER BY id) - 1) AS p FROM own)
+SELECT 0 AS section, '' AS key, 'flowchart LR' AS text
+UNION ALL SELECT 1, id, '  ' || p || '["' || coalesce(list_extract(bare, list_position(names, 'segment')), id) || '"]' FROM place
+UNION ALL SELECT 2, edges.id, '  ' || a.p || ' -->|' || edges.type || '| ' || b.p FROM edges JOIN place AS a ON a.id = source JOIN place AS b ON b.id = target""",
     "corpus_summary": "SELECT round(avg(CAST(quality AS DOUBLE)), 9) AS mean_score, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS pass_rate, count(*) AS n FROM labels",
     "evidence_lookup": f"""
 WITH {LOCATED} SELECT DISTINCT id AS element_id, type AS source, 'query:table_map' AS strategy, 'deterministic' AS method FROM nodes

@@ -24,7 +24,7 @@ from .operators.validation import edge_issues, node_issues
 from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
 from .plans import extract
 from .plans.evaluation import CorpusCase, evaluate_corpus
-from .sinks import cypher_rows, cytoscape_rows, embedding_rows, turtle_rows, typed_view
+from .sinks import canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, turtle_rows, typed_view
 from .sources import Source, SourceBundle
 from .sources.loaders import html_texts
 from .spec import AttrSchema, EdgeType, EnumDef, GraphSpec, NodeType
@@ -409,6 +409,36 @@ def cypher_parameters(spark, sf):
     return cypher_rows(trade_graph(spark, sf)).select("id", "source", "target", "props")
 
 
+@query
+def element_records(spark, sf):
+    return record_rows(trade_graph(spark, sf))
+
+
+@query
+def canonical_document_lines(spark, sf):
+    return canonical_document(trade_graph(spark, sf), spec=GRAMMAR).rows
+
+
+@query
+def jgf_document_lines(spark, sf):
+    return jgf_document(trade_graph(spark, sf)).rows
+
+
+@query
+def graphml_document_lines(spark, sf):
+    return graphml_document(trade_graph(spark, sf)).rows
+
+
+@query
+def dot_document_lines(spark, sf):
+    return dot_document(trade_graph(spark, sf), label_attr="name").rows
+
+
+@query
+def mermaid_document_lines(spark, sf):
+    return mermaid_document(trade_graph(spark, sf), label_attr="segment").rows
+
+
 @query
 def corpus_summary(spark, sf):
     labels = _t(spark, sf, "labels")
