@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import json_value, normalize_entity, slug
 from ..graph import Graph
-from ..storage import shared_dir, stored
+from ..storage import stored
 from .assembly import merge_attributes, merge_nodes
+from .candidates import similar_pairs
 
 
 @runtime_checkable
@@ -62,10 +63,17 @@ class RegistryResolver:
 
 
 class LLMResolver:
-    """An injected judge tells whether two attribute values name the same; a cluster is named by its smallest id."""
+    """An injected judge tells whether two attribute values name the same; a cluster is named by its smallest id.
 
-    def __init__(self, judge: Callable[[Any, Any], bool], key: str = "name") -> None:
-        self.judge, self.attribute = judge, key
+    Each pair of distinct values of a type block is asked about once, however many
+    nodes have them. With ``similarity`` only pairs are whose q-grams' Jaccard index
+    reaches it, so the number of questions grows with the matches and not with the
+    square of the block; without, all are, which is exact for judges that know
+    names that look nothing like each other.
+    """
+
+    def __init__(self, judge: Callable[[Any, Any], bool], key: str = "name", similarity: float | None = None) -> None:
+        self.judge, self.attribute, self.similarity = judge, key, similarity
 
     def key(self, attributes: Column) -> None:
         return None
@@ -73,6 +81,13 @@ class LLMResolver:
     def value(self, attributes: Column) -> Column:
         return json_value(attributes[self.attribute])
 
+    def questions(self, values: DataFrame) -> DataFrame:
+        """``block, a, b`` with a < b to ask about, from distinct ``block, value``."""
+        if self.similarity is not None:
+            return similar_pairs(values, self.similarity)
+        side = lambda n: values.select("block", F.col("value").alias(n))
+        return side("a").join(side("b"), "block").where("a < b")
+
 
 class CascadeResolver:
     """Same if any of the resolvers says so, cheapest first; the first that has a name for a cluster gives it."""
@@ -83,7 +98,6 @@ class CascadeResolver:
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component`` over string ids by star contraction; see the rounds' tables in the shared folder."""
-    spark = edges.sparkSession
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = digest(now)
@@ -97,17 +111,40 @@ def connected(edges: DataFrame) -> DataFrame:
         if seen == last:
             break
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    assert shared_dir(spark)
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
 
 
 def _judged(pairs: DataFrame, judge: Callable[[Any, Any], bool]) -> DataFrame:
+    """The pairs of texts ``a, b`` of which the judge says yes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            keep = [bool(judge(a, b)) for a, b in zip(part["a"], part["b"], strict=True)]
-            yield part.loc[keep, ["u", "v"]]
+            yield part.loc[[bool(judge(a, b)) for a, b in zip(part["a"], part["b"], strict=True)]]
 
-    return pairs.mapInPandas(run, "u string, v string")
+    return pairs.mapInPandas(run, "block string, a string, b string, u string, v string")
+
+
+def _links(base: DataFrame, resolver: LLMResolver, links: DataFrame | None) -> DataFrame:
+    """``u, v``: what the judge joins beyond ``links``.
+
+    A value's smallest id stands for it. All nodes of a value that the judge joins
+    with any, itself included, are joined with that id.
+    """
+    own = base.select("block", "id", resolver.value(F.col("attributes")).alias("value")).where("value is not null")
+    values = stored(own.groupBy("block", "value").agg(F.min("id").alias("id"), F.count("*").alias("n")), "values")
+    of = lambda name, id, n: values.select("block", F.col("value").alias(name), F.col("id").alias(id), F.col("n").alias(n))
+    asked = resolver.questions(values.select("block", "value")).join(of("a", "u", "nu"), ["block", "a"]).join(of("b", "v", "nv"), ["block", "b"])
+    if links is not None:  # values that keys have joined already need no judge
+        done = connected(links)
+        c = lambda n: done.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+        asked = asked.join(c("u"), "u", "left").join(c("v"), "v", "left").where("nu > 1 or nv > 1 or coalesce(cu, u) <> coalesce(cv, v)")
+    pairs = asked.select("block", "a", "b", "u", "v").unionByName(values.where("n > 1").select("block", F.col("value").alias("a"), F.col("value").alias("b"), F.col("id").alias("u"), F.col("id").alias("v")))
+    # a larger id is asked about first
+    pairs = pairs.select("block", *(F.when(F.col("u") < F.col("v"), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("u", "v"), ("v", "u"))))
+    same = stored(_judged(pairs, resolver.judge), "judged")
+    met = same.select("block", F.col("a").alias("value")).unionByName(same.select("block", F.col("b").alias("value"))).distinct()
+    copies = own.join(values.where("n > 1").join(met, ["block", "value"]).select("block", "value", F.col("id").alias("v")), ["block", "value"]).where("id <> v")
+    return same.where("u <> v").select("u", "v").unionByName(copies.select(F.col("id").alias("u"), "v"))
 
 
 def clusters(nodes: DataFrame, resolver: Any) -> DataFrame:
@@ -129,13 +166,7 @@ def clusters(nodes: DataFrame, resolver: Any) -> DataFrame:
             own = base.join(first, ["block", f"k{k}"]).select(F.col("id").alias("u"), "v")
             links = own if links is None else links.unionByName(own)
         for j in judges:
-            side = lambda n, v, j=j, links=links: base.select("block", F.col("id").alias(n), j.value(F.col("attributes")).alias(v)).where(f"{v} is not null")
-            pairs = side("u", "a").join(side("v", "b"), "block").where("u > v")
-            if links is not None:  # pairs that keys have joined already need no judge
-                done = connected(links)
-                c = lambda n: done.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-                pairs = pairs.join(c("u"), "u", "left").join(c("v"), "v", "left").where("not (coalesce(cu, u) = coalesce(cv, v))")
-            own = _judged(pairs.select("u", "v", "a", "b"), j.judge)
+            own = _links(base, j, links)
             links = own if links is None else links.unionByName(own)
         found = connected(stored(links, "links"))
         rooted = base.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id"))

@@ -49,7 +49,25 @@ def members(indent: int) -> str:
 
 SALES = "sales AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS source, 'p' || max(l_partkey) AS target, max(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
+#: A document's first four words of letters; no document's text is null in these tables unless ``words`` is.
+TITLES = """
+titles AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> '')[1:4] AS words FROM documents)
+"""
+#: Names lose legal forms and honorifics before they are compared.
+GRAMS = f"""
+{TITLES}, own AS (SELECT DISTINCT array_to_string(words, ' ') AS value FROM titles WHERE words IS NOT NULL),
+plain AS (SELECT value, coalesce(nullif({NORMAL.format(x="value")}, ''), lower(value)) AS p FROM own),
+sets AS (SELECT value, list_distinct(list_transform(range(1, length(p) + 3), lambda i: substr(chr(2) || chr(2) || p || chr(3) || chr(3), i, 3))) AS g FROM plain)
+"""
+
 ORACLES: dict[str, str] = {
+    "resolve_by_judge": f"""
+WITH {TITLES}, ids AS (SELECT unnest(['d', 'v']) || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, lower(array_to_string(words, '')) AS letters FROM titles)
+SELECT id, CASE WHEN letters IS NULL THEN id ELSE min(id) OVER (PARTITION BY letters) END AS cid FROM ids""",
+    "similar_title_pairs": f"""
+WITH {GRAMS} SELECT x.value AS a, y.value AS b FROM sets AS x JOIN sets AS y ON x.value < y.value
+WHERE len(list_intersect(x.g, y.g)) >= 0.35 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) - 1e-9""",
+
     "extract_located_in": f"WITH {LOCATED} SELECT id, source, target FROM located",
     "graph_counts_by_type": f"WITH {LOCATED} SELECT 'node' AS kind, type, count(DISTINCT id) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
     "typed_view_customer": f"SELECT 'customer:' || {slug('c_name')} AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, c_custkey AS key FROM customer",

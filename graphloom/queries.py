@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from .annotate import annotations_for
 from .evidence import attribute_evidence, evidence
-from .functions import cosine, json_value, normalize_entity, normalized, slug, slug_fast
+from .functions import cosine, json_text, json_value, normalize_entity, normalized, slug, slug_fast
 from .graph import Graph
 from .operators.assembly import attribute_conflicts, kept_edges, merge_nodes, skipped_edges
+from .operators.candidates import similar_pairs
 from .operators.context import ExtractionContext
 from .operators.patterns import RegexEdgeExtractor, RegexNodeExtractor, find, find_plain
 from .operators.records import JsonQuery, SqlExtractor, TableMap, json_records, where_column
 from .operators.reify import reify, unreify
-from .operators.resolution import CascadeResolver, NormalizeResolver, RegistryResolver, clusters, connected, resolve_graph
+from .operators.resolution import CascadeResolver, LLMResolver, NormalizeResolver, RegistryResolver, clusters, connected, resolve_graph
 from .operators.trace import TraceIndex, reanchored, spans_at, spans_overlapping
 from .operators.validation import edge_issues, node_issues
 from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
@@ -489,6 +490,32 @@ def resolve_by_cascade(spark, sf):
     return clusters(_part_nodes(spark, sf), CascadeResolver([RegistryResolver(REGISTRY), NormalizeResolver("name")])).select("id", "cid")
 
 
+def _titles(spark, sf) -> DataFrame:
+    """Each document twice: by its first words, and by the same in capitals with other punctuation."""
+    docs = _t(spark, sf, "documents")
+    words = F.slice(F.split(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]+", " "), "^ | $", ""), " "), 1, 4)
+    sides = [("d", F.array_join(words, " ")), ("v", F.upper(F.array_join(words, " - ")))]
+    rows = [docs.select(F.concat(F.lit(p), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.array(F.lit("title")).alias("types"), F.create_map(F.lit("name"), json_text(name)).alias("attributes")) for p, name in sides]
+    return rows[0].unionByName(rows[1])
+
+
+def _letters(text: str) -> str:
+    return "".join(c for c in text.lower() if c.isascii() and c.isalpha())
+
+
+@query
+def resolve_by_judge(spark, sf):
+    """A judge that compares letters is asked about similar titles only."""
+    return clusters(_titles(spark, sf), LLMResolver(lambda a, b: _letters(a) == _letters(b), similarity=0.8)).select("id", "cid")
+
+
+@query
+def similar_title_pairs(spark, sf):
+    """All pairs of distinct titles whose q-grams reach a Jaccard index of 0.35."""
+    titles = _titles(spark, sf).where(F.col("id").startswith("d")).select(F.to_json("types").alias("block"), json_value(F.col("attributes")["name"]).alias("value")).distinct()
+    return similar_pairs(titles, 0.35).select("a", "b")
+
+
 @query
 def validate_lists(spark, sf):
     """A list where the grammar has one value, and one value where it has a list."""
