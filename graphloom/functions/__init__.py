@@ -8,6 +8,7 @@ from .text import (
     json_text,
     json_value,
     normalized,
+    normalized_text,
     normalize_entity,
     number,
     same_value,
@@ -26,6 +27,7 @@ __all__ = [
     "json_text",
     "json_value",
     "normalized",
+    "normalized_text",
     "normalize_entity",
     "number",
     "same_value",

@@ -6,6 +6,7 @@ Attribute values travel as JSON text, one value in each map entry.
 from __future__ import annotations
 
 import difflib
+import re
 import string
 import unicodedata
 from collections.abc import Mapping
@@ -72,7 +73,8 @@ def cast_value(text: Column, to: str) -> Column:
 
     Texts lose all but digits, points and minus signs first; what is no number
     then stays as it was. Lists are cast element by element; booleans, nulls and
-    objects do not change. ``int`` cuts fractions off.
+    objects do not change. ``int`` cuts fractions off. Numbers of 2**95 and beyond
+    have no integer form here and stay as they were.
     """
     if to not in ("int", "float", "number"):
         raise ValueError(f"cannot cast to {to!r}; known: int, float, number")
@@ -81,7 +83,11 @@ def cast_value(text: Column, to: str) -> Column:
         kept = F.regexp_replace(plain, r"[^0-9.\-]", "")
         is_text = value.startswith('"')
         found = F.when(is_text, F.when(kept.rlike(r"^(-?\d+(\.\d+)?|-?\.\d+)$"), kept.cast("double"))).otherwise(number(value))
-        whole = found.cast("long").cast("string")
+        # a double's integer part is two exact halves, whose product and sum a decimal holds
+        high = F.floor(F.when(F.abs(found) < 2.0**95, found) / 2.0**32)
+        low = found - high.cast("double") * 2.0**32
+        large = high.cast("decimal(38,0)") * F.lit(2**32).cast("decimal(10,0)") + low.try_cast("long").cast("decimal(20,0)")
+        whole = F.when(F.abs(found) < 2.0**63, found.try_cast("long").cast("string")).otherwise(large.cast("decimal(38,0)").cast("string"))
         shown = {"int": whole, "float": found.cast("string"), "number": F.when(found == F.floor(found), whole).otherwise(found.cast("string"))}[to]
         return F.coalesce(F.when(value.isin("true", "false", "null"), value), shown, value)
 
@@ -118,9 +124,22 @@ def normalize_entity(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(LEGAL_FORMS + HONORIFICS)), " ")
 
 
-def normalized(text: Column) -> Column:
+def normalized_text(value: str) -> str:
     """Text without outer white space and case, inner white space as one space."""
-    return F.lower(F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), r"\s+", " "))
+    return re.sub(r"\s+", " ", value.strip()).casefold()
+
+
+@F.pandas_udf(T.StringType())
+def _normalized(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else normalized_text(v))
+
+
+def normalized(text: Column) -> Column:
+    """The same of a column: a plain expression for ASCII, Unicode folding in Arrow batches for the rest."""
+    blank = F.lit(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    plain = F.lower(F.regexp_replace(F.btrim(text, blank), r"[\s\x1c-\x1f]+", " "))
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, plain).otherwise(_normalized(F.when(~ascii_only, text)))
 
 
 def cosine(a: Column, b: Column) -> Column:

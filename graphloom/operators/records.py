@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -93,6 +94,14 @@ class TableMap:
 QUERY = re.compile(r"\s*(\(|select\b|with\b|values\b|from\b|table\b)", re.IGNORECASE)
 
 
+QUOTED = re.compile(r"""('(?:[^'\\]|\\.|'')*')|"((?:[^"]|"")*)\"""")
+
+
+def columns_quoted(sql: str) -> str:
+    """A query with ``"names"`` as Spark quotes them, as the standard has it; texts stay."""
+    return QUOTED.sub(lambda m: m[1] or "`" + m[2].replace('""', '"').replace("`", "``") + "`", sql.rstrip().rstrip(";"))
+
+
 @register_extractor("sql")
 class SqlExtractor:
     """A query over a table source, seen as ``t`` with all columns as text, then mapped.
@@ -109,15 +118,12 @@ class SqlExtractor:
         if not QUERY.match(self.sql):
             raise ValueError("the sql strategy takes a query")
         texts = records.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in records.columns if not c.startswith("_")))
-        key = "spark.sql.ansi.doubleQuotedIdentifiers"
-        before = spark.conf.get(key)
-        texts.createOrReplaceTempView("t")
-        spark.conf.set(key, "true")  # "name" is a column, as the standard has it
-        try:
-            return spark.sql(self.sql, args=self.params or None)
+        view = f"_records_{uuid.uuid4().hex}"
+        texts.createOrReplaceTempView(view)
+        try:  # a view named t of the session stays as it is, behind the query's own t
+            return spark.sql(f"WITH t AS (SELECT * FROM {view}) SELECT * FROM ({columns_quoted(self.sql)})", args=self.params or None)
         finally:
-            spark.conf.set(key, before)
-            spark.catalog.dropTempView("t")
+            spark.catalog.dropTempView(view)
 
     def __call__(self, context: ExtractionContext) -> Extraction:
         records = context.sources.table(context.spark, self.source)

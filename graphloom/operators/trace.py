@@ -60,8 +60,9 @@ def spans_overlapping(spans: DataFrame, probes: DataFrame) -> DataFrame:
     return placed.join(cut, ["source_id", "_b"]).where(first & F.expr("start < to and from < end")).drop("_b")
 
 
-def verify_anchor(text: str, selector: TextQuoteSelector) -> bool:
-    return selector.exact in text
+def verify_anchor(selector: TextQuoteSelector, text: str) -> bool:
+    """Whether the quote is in the text as it was; an empty one is lost."""
+    return bool(selector.exact) and selector.exact in text
 
 
 

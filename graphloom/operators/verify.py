@@ -9,7 +9,6 @@ from __future__ import annotations
 import difflib
 import json
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import json_value, normalized, same_value, sequence_ratio
+from ..functions import json_value, normalized, normalized_text, same_value, sequence_ratio
 from ..graph import Graph
 from ..spec import GraphSpec, effective_attributes
 from .context import Registry
@@ -68,7 +67,7 @@ class ExactMatch:
 
 
 def norm(value: Any) -> Any:
-    return re.sub(r"\s+", " ", value.strip()).casefold() if isinstance(value, str) else value
+    return normalized_text(value) if isinstance(value, str) else value
 
 
 @register_verifier("normalized")

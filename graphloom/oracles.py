@@ -207,6 +207,8 @@ WITH {MEMBERS}, place AS (SELECT *, 'n' || (row_number() OVER (ORDER BY id) - 1)
 SELECT 0 AS section, '' AS key, 'flowchart LR' AS text
 UNION ALL SELECT 1, id, '  ' || p || '["' || coalesce(list_extract(bare, list_position(names, 'segment')), id) || '"]' FROM place
 UNION ALL SELECT 2, edges.id, '  ' || a.p || ' -->|' || edges.type || '| ' || b.p FROM edges JOIN place AS a ON a.id = source JOIN place AS b ON b.id = target""",
+    "separated_round_trip": """
+SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place, sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha, coalesce(lang, '') AS lang FROM documents""",
     "corpus_summary": "SELECT round(avg(CAST(quality AS DOUBLE)), 9) AS mean_score, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS pass_rate, count(*) AS n FROM labels",
     "evidence_lookup": f"""
 WITH {LOCATED} SELECT DISTINCT id AS element_id, type AS source, 'query:table_map' AS strategy, 'deterministic' AS method FROM nodes

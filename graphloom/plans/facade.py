@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
@@ -49,6 +50,8 @@ def extract(
         raise ValueError(f"no strategy is bound to {list(plan.unbound)}")
     if own_fallback and "llm" not in services and (open_elements := routed(plan)):
         raise ValueError(f"{open_elements} have no binding and need a client as the service 'llm'; bind them, give services={{'llm': client}}, or pass on_missing_binding='skip'")
+    read = Counter(s for step in plan.steps if isinstance(s := getattr(step.extractor, "source", None), str))
+    bundle.share(s for s, n in read.items() if n > 1)
     nodes: list[DataFrame] = [spark.createDataFrame([], STAGED_NODES)]
     edges: list[DataFrame] = [spark.createDataFrame([], STAGED_EDGES)]
     for k, step in enumerate(plan.steps):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,10 +24,12 @@ from .operators.validation import edge_issues, node_issues
 from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
 from .plans import extract
 from .plans.evaluation import CorpusCase, evaluate_corpus
-from .sinks import canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, turtle_rows, typed_view
+from .sinks import canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, table_document, turtle_rows, typed_view
 from .sources import Source, SourceBundle
 from .sources.loaders import html_texts
+from .sources.separated import Records
 from .spec import AttrSchema, EdgeType, EnumDef, GraphSpec, NodeType
+from .storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,6 +441,15 @@ def mermaid_document_lines(spark, sf):
     return mermaid_document(trade_graph(spark, sf), label_attr="segment").rows
 
 
+@query
+def separated_round_trip(spark, sf):
+    """All documents, written as a table of separated texts and read again by ranges."""
+    path = scratch(spark, "documents")
+    table_document(_t(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id").write(path)
+    frame = Records(spark, path).frame
+    return frame.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("place"), F.sha2("text", 256).alias("sha"), "lang")
+
+
 @query
 def corpus_summary(spark, sf):
     labels = _t(spark, sf, "labels")

@@ -165,6 +165,22 @@ def graphml_document(graph: Graph) -> Document:
     return _document([_fixed(spark, 0, *opening), nodes, edges, _fixed(spark, 3, "  </graph>", "</graphml>")])
 
 
+# tables -----------------------------------------------------------------------
+
+
+def table_document(rows: DataFrame, key: str, separator: str = ",") -> Document:
+    """A table with a header line, in the order of ``key`` as a text; cells that need it are quoted, nulls are empty."""
+
+    def cell(text: Column) -> Column:
+        needs = text.contains('"') | text.contains(separator) | text.rlike(r"[\r\n]")
+        return F.coalesce(F.when(needs, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text), F.lit(""))
+
+    cells = [cell(F.col(f"`{c}`").cast("string")) for c in rows.columns]
+    own = rows.select(F.lit(1).alias("section"), F.col(key).cast("string").alias("key"), F.concat_ws(separator, *cells).alias("text"))
+    header = rows.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit("").alias("key"), F.concat_ws(separator, *(cell(F.lit(c)) for c in rows.columns)).alias("text"))
+    return _document([header, own])
+
+
 # drawings ---------------------------------------------------------------------
 
 

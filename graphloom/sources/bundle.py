@@ -10,6 +10,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .separated import Records
+
 TEXT, TABLE, JSON = "text", "table", "json"
 TEXTS = "ordinal long, source_id string, text string"
 
@@ -34,6 +37,8 @@ class SourceBundle:
 
     def __init__(self, sources: Iterable[Source] = ()) -> None:
         self._by_id: dict[str, Source] = {}
+        self._numbered: dict[str, DataFrame] = {}
+        self._shared: set[str] = set()
         for s in sources:
             if s.id in self._by_id:
                 raise ValueError(f"two sources have the id {s.id!r}")
@@ -48,6 +53,10 @@ class SourceBundle:
     def __contains__(self, id: str) -> bool:
         return id in self._by_id
 
+    def share(self, ids: Iterable[str]) -> None:
+        """Sources that several bindings read: their row numbers are written once, so that all see the same."""
+        self._shared |= set(ids) - set(self._numbered)
+
     def get(self, id: str) -> Source | None:
         return self._by_id.get(id)
 
@@ -76,7 +85,14 @@ class SourceBundle:
         if s is None:
             return None
         if isinstance(s.content, DataFrame):
-            return s.content if "_row" in s.content.columns else s.content.withColumn("_row", F.monotonically_increasing_id())
+            if "_row" in s.content.columns:
+                return s.content
+            if id not in self._numbered:
+                numbered = s.content.withColumn("_row", F.monotonically_increasing_id())
+                self._numbered[id] = stored(numbered, "rows") if id in self._shared else numbered
+            return self._numbered[id]
+        if isinstance(s.content, Records):
+            return s.content.frame
         return records_frame(spark, s.content or [], s.schema)
 
 
@@ -120,4 +136,4 @@ def coerce_sources(given: Any) -> SourceBundle:
 def _kind(content: Any) -> str:
     if isinstance(content, DataFrame):
         return TEXT if {"source_id", "text"} <= set(content.columns) else TABLE
-    return TEXT if isinstance(content, str) else TABLE if isinstance(content, list) else JSON
+    return TEXT if isinstance(content, str) else TABLE if isinstance(content, (list, Records)) else JSON

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Paths of the shared folder that were made and not deleted yet, in order.
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, noted for ``release``."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, tag: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read back, so that its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back, so that its lineage ends there.
+
+    The table stays until ``release`` or the end of the driver, as a lazy result may read it.
+    """
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, in any store that Spark can write."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def release(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Delete what was made, once the results that read it are written."""
+    for path in [p for p in _made if p not in but]:
+        dropped(spark, path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is made inside."""
+    before = frozenset(_made)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+@atexit.register
+def _leave() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with suppress(Exception):  # the session may be gone, and its files are the cluster's to clear then
+            release(spark)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """Rows numbered from 0 in a total order, without bringing them to one task.
 

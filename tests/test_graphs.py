@@ -185,7 +185,7 @@ def test_anchors(spark):
     assert g.reanchor(q, "I the cat x. We saw the cat sat.") == g.TextPositionSelector(20, 27)
     assert g.reanchor(g.TextQuoteSelector("ab"), "ab ab ab", hint=6).start == 6
     assert g.reanchor(g.TextQuoteSelector("fundamental"), "a fundamentxl b").end == 11 and g.reanchor(g.TextQuoteSelector("fundamental"), "nothing") is None and g.reanchor(g.TextQuoteSelector(""), "x") is None
-    assert g.verify_anchor("abc", g.TextQuoteSelector("b"))
+    assert g.verify_anchor(g.TextQuoteSelector("b"), "abc") and not g.verify_anchor(g.TextQuoteSelector(""), "abc")
     rows = spark.createDataFrame([("the cat", "saw ", " sat", "x the cat", None), ("ab", "", "", "ab ab", 3), ("zzz", "", "", "a", None)], "exact string, prefix string, suffix string, text string, hint long")
     assert sorted((r["exact"], r["start"], r["end"]) for r in reanchored(rows).collect()) == [("ab", 3, 5), ("the cat", 2, 9), ("zzz", None, None)]
 
