@@ -28,6 +28,7 @@ whole keys.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ TRIPLE = 66
 PART = 8
 #: Bytes of a text whose anchors are found together; the arrays for it take about 64 times as much.
 BLOCK = 1 << 20
+#: Bytes of texts that are gone through together, so that the arrays stay in the processor's cache.
+GROUP = 1 << 16
 PLACE = np.uint64((1 << 31) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
@@ -62,35 +65,70 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors, their hashes, and the first and last window of each."""
-    n = len(text)
+@functools.lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from the first on, for a block of texts."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.full(BLOCK + WINDOW, x, np.uint64)) for x in (BASE, INVERSE))
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """For each anchor the number of its text, its place there, its hash, and the first and last window that have it.
+
+    The texts of a call have at most ``BLOCK + WINDOW`` bytes together; they are
+    gone through as one array, and windows that reach into the next text are left out.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = int(sizes.sum())
     if n < WINDOW:
         none = np.array([], np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
+    power, inverse = _powers()
     with np.errstate(over="ignore"):
-        data = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * np.cumprod(np.full(n, BASE, np.uint64)))))
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * power[:n])))
         # bytes of a gram times the base to the power of their places, brought to the power of its first place
-        gram = (total[GRAM:] - total[: n - GRAM + 1]) * np.cumprod(np.full(n - GRAM + 1, INVERSE, np.uint64))
+        gram = (total[GRAM:] - total[: n - GRAM + 1]) * inverse[: n - GRAM + 1]
         gram ^= gram >> np.uint64(29)
         gram *= MIX
         gram ^= gram >> np.uint64(32)
     # the upper bits decide, then the place: the first of the smallest
     order = gram & ~PLACE | np.arange(len(gram), dtype=np.uint64)
     at = (_sliding(order, WINDOW - GRAM + 1, np.minimum) & PLACE).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return at[first], gram[at[first]].view(np.int64), first, last
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
+    window = np.flatnonzero(np.arange(WINDOW, n + 1) <= ends[owner])
+    owner, at = owner[window], at[window]
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))) if len(window) else window
+    last = np.concatenate((first[1:], [len(window)]))[: len(first)] - 1
+    base = (ends - sizes)[owner[first]]
+    return owner[first], at[first] - base, gram[at[first]].view(np.int64), window[first] - base, window[last] - base
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, places and texts, up to ``GROUP`` bytes at a time; a longer text comes in pieces that share all but a window."""
+    rows, places, texts, size = [], [], [], 0
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for base in range(0, len(text) - WINDOW + 1, BLOCK):
+                piece = text[base : base + BLOCK + WINDOW - 1] if base or len(text) > BLOCK else text
+                if texts and size + len(piece) > GROUP:
+                    yield rows, places, texts
+                    rows, places, texts, size = [], [], [], 0
+                rows.append(row)
+                places.append(base)
+                texts.append(piece)
+                size += len(piece)
+    if texts:
+        yield rows, places, texts
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each anchor the first window of its stretch, how far the anchor is behind it, how many more windows there are, and its hash."""
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for base in range(0, len(text) - WINDOW + 1, BLOCK):
-                at, h, first, last = anchors(text[base : base + BLOCK + WINDOW - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(first + base), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(h)], ["row", "first", "off", "more", "h"])
+    for rows, places, texts in _blocks(batches):
+        owner, at, h, first, last = anchors(texts)
+        row, base = np.array(rows, np.int64)[owner], np.array(places, np.int64)[owner]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(first + base), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(h)], ["row", "first", "off", "more", "h"])
 
 
 def _numbered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
