@@ -47,9 +47,9 @@ BASE = (
 )
 #: Kind, cheap test, pattern of proposals beyond the base.
 PROPOSED = (
-    ("email", "text like '%@%'", r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,64}+(?![.@A-Za-z0-9-])"),
-    ("email", r"text rlike r'(?i)[\[(]at[\])]'", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,64}+(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]{1,64}+){1,6}+"),
-    ("email", "text like '% at % dot %'", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,64}+(?: dot [A-Za-z0-9-]{1,64}+){1,6}+"),
+    ("email", "text like '%@%'", r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![.@A-Za-z0-9-])"),
+    ("email", r"text rlike r'(?i)[\[(]at[\])]'", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(]at[\])] ?[a-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]++){1,6}+"),
+    ("email", "text like '% at % dot %'", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++){1,6}+"),
     ("ip", "text like '%[.]%'", r"(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])"),
     ("ip", r"text rlike r'[0-9]\.[0-9]'", r"(?<![0-9.])[0-9]{1,9}+(?:\.[0-9]{1,9}+){3}(?![0-9.])"),
     ("ip", r"text rlike r'[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){5,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])"),
@@ -57,22 +57,22 @@ PROPOSED = (
     ("card", "text rlike '[0-9]{14}'", r"(?<![0-9A-Za-z])[0-9]{14,19}+(?![0-9A-Za-z])"),
     ("phone", r"text rlike r'[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-][0-9]{4}'", r"(?<![0-9A-Za-z+.(-])[(]?[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("phone", r"text rlike r'\+[0-9]'", r"(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){5,20}+(?![0-9])"),
-    ("secret", "text rlike '(?i)(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]'", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{4,200}+"),
-    ("secret", "text rlike 'AKIA|ghp_|sk-'", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}+)(?![A-Za-z0-9])"),
-    ("secret", "text rlike '[0-9a-f]{32}'", r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])"),
+    ("secret", "text rlike '(?i)(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:]'", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[^\s,;]{4,}+"),
+    ("secret", "text rlike 'AKIA|ghp_|sk-'", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])"),
+    ("secret", "text rlike '[0-9a-f]{32}'", r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"),
 )
 #: Words before a span that speak for its kind, and words that speak against any.
 CUES = {
-    "email": "mail|contact|write|reach|address",
-    "ip": r"\bip\b|host|server|address|login|from|ping",
-    "card": "card|visa|master|amex|credit|payment|pay|charge",
-    "phone": "phone|tel|call|mobile|fax|contact|reach|dial|ring",
-    "secret": r"key|login|auth|bearer|credential",
+    "email": "mail|contact|write|reach|address|adresse|courriel|[ée]cri|joindre|correo|escrib|direcci|schreib|kontakt|erreich|anschrift",
+    "ip": r"\bip\b|host|server|address|login|from|ping|serveur|h[ôo]te|connexion|adresse|servidor|conexi|direcci|desde|rechner|anmeld|verbind",
+    "card": "card|visa|master|amex|credit|payment|pay|charge|carte|cr[ée]dit|paiement|tarjeta|pago|cobro|karte|zahl|abbuch|kredit",
+    "phone": "phone|tel|call|mobile|fax|contact|reach|dial|ring|appel|joindre|portable|llam|m[óo]vil|anruf|handy|ruf|durchwahl",
+    "secret": r"key|login|auth|bearer|credential|cl[ée]|secret|clave|contrase|schl[üu]ssel|kennwort|passwor",
 }
-AGAINST = r"\b(?:order|invoice|version|release|build|isbn|ean|sku|part|item|serial|ref|reference|tracking|parcel|commit|sha|md5|hash|digest|checksum|etag|id|uuid|section|chapter|figure|page|mac|took|rate|sum)\b"
+AGAINST = r"\b(?:order|invoice|version|release|build|isbn|ean|sku|part|item|serial|ref|reference|tracking|parcel|commit|sha|md5|hash|digest|checksum|etag|id|uuid|section|chapter|figure|page|mac|took|rate|sum|commande|facture|num[ée]ro|pi[èe]ce|pedido|factura|parte|serie|bestellung|rechnung|auftrag|teil)\b"
 CONTEXT = 24
-FEATURES = ("kind", "digits", "size", "marks", "plus", "cue", "against", "left", "right", "shape")
-SIZES = (len(KINDS), 21, 16, 16, 2, 2, 2, 3, 3, 5)
+FEATURES = ("kind", "digits", "size", "marks", "plus", "cue", "against", "left", "right", "shape", "luhn")
+SIZES = (len(KINDS), 21, 16, 16, 2, 2, 2, 3, 3, 5, 2)
 #: Labelled examples: # stands for a digit, ~ for a letter, ^ for a hexadecimal digit, | for a neutral word.
 EXAMPLES = 6_000
 TEMPLATES = {
@@ -80,11 +80,11 @@ TEMPLATES = {
     ("email", False): ("| ~~~@~~ |", "| # @~~~ ~~~@# |", "| rate ~~@~~ |", "| ~~~~~ (at) ~~~~. ~~~~~ |", "| he looked at ~~~~ dot ~~~~ |", "the | stood at | dot |", "| part ~~~[at]~~.~~ |", "version ~~~@#.# |", "| ~~~~~~~~@~~ |"),
     ("ip", True): ("| from ##[.]##[.]1##[.]## |", "| 1##[.]#[.]#[.]## |", "server at #[.]##[.]1##[.]1## |", "ping 192.168.1.3## |", "host ##.3##.1##.## |", "| ip ##.###.##.5## |", "| ^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^ |", "login from ^^^^:^^^:^^^^:^:^^^^:^^:^^^^:^^^^"),
     ("ip", False): ("| version #.#.#.4## |", "release ##.#.###.9## |", "section #.##.#.8## |", "| 4##.6##.7##.9## |", "| build #.#.###.#### |", "| ##.####.##.### |", "| mac ^^:^^:^^:^^:^^:^^ |", "| ^^:^^:^^:^^:^^:^^ |", "| #:#:#:#:#:# |"),
-    ("card", True): ("| 4############### |", "card 5#############~# |".replace("~", "#"), "| 4### #### #### #### |", "| 51##-####-####-#### |", "pay with 37############# |", "visa 4### #### #### #### |", "| 6011############ |", "| | 4###############. |"),
-    ("card", False): ("order 4############### |", "| 1############### |", "| ############### ## 9################# |", "isbn 978#########4## |", "tracking 4### #### #### #### |", "| 16########### |", "| 17############### |", "parcel ref 4############### |", "| 9### #### #### #### |", "| 2################ |", "invoice 51##-####-####-#### |", "| 0################## |"),
+    ("card", True): ("card 4############### |", "carte 5############### |", "credit 4### #### #### #### |", "paid by card 51##-####-####-#### |", "pay with 37############# |", "visa 4### #### #### #### |", "tarjeta 6011############ |", "kreditkarte 4############### |", "| charge 5### #### #### #### |"),
+    ("card", False): ("order 4############### |", "| 1############### |", "| ############### ## 9################# |", "isbn 978#########4## |", "tracking 4### #### #### #### |", "| 16########### |", "| 17############### |", "parcel ref 4############### |", "| 9### #### #### #### |", "| 2################ |", "invoice 51##-####-####-#### |", "| 0################## |", "| 4############### |", "| 5############### |", "| 4### #### #### #### |", "| 51##-####-####-#### |", "| 37############# |", "| 6011############ |", "| | 4###############. |", "facture 4### #### #### #### |"),
     ("phone", True): ("call (###) ###-#### |", "| tel ###-###-#### |", "| phone: ### ### #### |", "| (###) ###-#### |", "fax ###.###.#### |", "| reach us +# ### ### ## |", "dial +## ### #### |", "mobile +######### |"),
     ("phone", False): ("order ###-###-#### |", "| part ### ### #### |", "sum ### ### #### |", "| ###.###.#### |", "| sku ###-###-#### |", "| ### ### #### |", "| took +###### |", "| +################### |", "| ref +####### |", "version +# ### ### |", "| ###-###-#### |"),
-    ("secret", True): ("| password=^^^^^^^^^4a^^^^^^^^ |", "| password: ~~4#~~#~ |", "api_key = ~~~#~~~~##~~~~ |", "token=^^^^^^^^^^^^^^^^3b |", "| pwd: ~~~~##! |", "| AKIA7####A######B### |", "| sk-~~~~~~##~~~~~~~~~~##~~~~ |", "key ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "auth bearer ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "secret: ^^^^^^^^4f |"),
+    ("secret", True): ("| password=^^^^^^^^^4a^^^^^^^^ |", "| password=" + "^" * 150 + "4a" + "^" * 150 + " |", "key " + "^" * 160 + " |", "cl\u00e9 ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "clave ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "schl\u00fcssel ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "| password: ~~4#~~#~ |", "api_key = ~~~#~~~~##~~~~ |", "token=^^^^^^^^^^^^^^^^3b |", "| pwd: ~~~~##! |", "| AKIA7####A######B### |", "| sk-~~~~~~##~~~~~~~~~~##~~~~ |", "key ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "auth bearer ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "secret: ^^^^^^^^4f |"),
     ("secret", False): ("| password: required |", "password=**** |", "token: null |", "| the secret: ~~~~~~ |", "secret = ~~~~~~~~ |", "| token: ~~~~~ |", "pwd: <~~~~> |", "commit ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "| md5 ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "| ^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^ |", "password: ........ |", "api_key=<~~~_~~~> |"),
 }
 ROUNDS, DEPTH, RATE = 40, 4, 0.3
@@ -135,7 +135,7 @@ def _features() -> str:
     'kind', x.kind, 'digits', least(length({digits}), 20), 'size', least(length(x.m) div 4, 15),
     'marks', if(x.m like '% %', 1, 0) + if(x.m like '%-%', 2, 0) + if(x.m like '%.%', 4, 0) + if(x.m rlike r'[(\\[]', 8, 0),
     'plus', if(x.m like '+%', 1, 0), 'cue', if(case {cue} end, 1, 0), 'against', if(lower(x.before) rlike r'{AGAINST}', 1, 0),
-    'left', {_side("right(x.before, 1)")}, 'right', {_side("x.after")}, 'shape', {shape}"""
+    'left', {_side("right(x.before, 1)")}, 'right', {_side("x.after")}, 'shape', {shape}, 'luhn', if(case when x.kind = 2 then {LUHN} end, 1, 0)"""
 
 
 def candidates(docs: DataFrame, id_column: str, text: str, *keep: str) -> DataFrame:

@@ -102,6 +102,22 @@ def test_proposals_are_selected_and_refused(spark):
     assert redacted_spans(spark, [texts[0]]) == got[:1]  # alike in a table of one row
 
 
+def test_long_secrets_are_whole(spark):
+    """Maximal runs: nothing of a secret of any length stays behind."""
+    hexes = "0123456789abcdef" * 30
+    texts = [f"so password={hexes[:300]} it", f"the key {hexes[:160]} is", f"use sk-{hexes[:300]} now", f"mail {'a' * 300}.b[at]{'c' * 100}.org today"]
+    assert redacted_spans(spark, texts) == [[("secret", f"password={hexes[:300]}")], [("secret", hexes[:160])], [("secret", f"sk-{hexes[:300]}")], [("email", f"{'a' * 300}.b[at]{'c' * 100}.org")]]
+
+
+def test_failed_checks_need_a_cue(spark):
+    """A number that fails Luhn is a card only where a word says so, in any of the languages."""
+    bad = ["4111111111111112", "5500 0000 0000 0005", "6011000990139425", "378282246310006"]
+    plainly = [f"{before} {n} {after}" for n in bad for before, after in [("the", "was"), ("le dossier", "est"), ("en la", "dos"), ("nach", "und"), ("then", ".")]]
+    assert redacted_spans(spark, plainly) == [[]] * len(plainly)
+    cued = ["pay by card 4111111111111112 now", "carte 4111 1111 1111 1112 et", "tarjeta 5500 0000 0000 0005 de", "kreditkarte 4111111111111112 und"]
+    assert [[k for k, _ in found] for found in redacted_spans(spark, cued)] == [["card"]] * 4
+
+
 def test_held_out_examples(spark):
     """Each kind has a threshold that holds on examples the trees have not seen."""
     model = pii.fit(spark)
