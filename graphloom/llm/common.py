@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import _made, dropped, release, released, scratch  # noqa: F401  (one rule for what lies in the shared folder)
 
 #: A row's number holds the partition above these bits and the place in it below.
 PLACE_BITS = 33
@@ -23,19 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-#: Paths of the shared folder that were made and not deleted yet, in order.
-_made: list[str] = []
 #: Keys that hold over one part in so many of all rows are hot; there are at most as many of them.
 HOT = 1_000
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, noted for ``release``."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -57,7 +47,7 @@ def written(df: DataFrame, path: str, codec: str | None = None) -> None:
     """Write Parquet; the query's shuffle files go when it ends, as nothing reads them again.
 
     The session's codec is used unless another is named: closer ones take memory outside the heap.
-    Python workers get batches of at most ``BATCH`` rows and bytes; a lower setting of the session holds.
+    Python workers get batches of at most ``BATCH`` bytes; a lower setting of the session holds.
     """
     conf = df.sparkSession.conf
     low = {name: str(bound) for name, bound in BATCH.items() if not 0 < (_number(conf.get(name, None)) or 0) <= bound}
@@ -66,7 +56,7 @@ def written(df: DataFrame, path: str, codec: str | None = None) -> None:
     for name, value in names.items():
         conf.set(name, value)
     try:
-        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+        (df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", "1") if codec else df.write).parquet(path)
     finally:
         for name, value in before.items():
             conf.unset(name) if value is None else conf.set(name, value)
@@ -74,8 +64,8 @@ def written(df: DataFrame, path: str, codec: str | None = None) -> None:
 
 #: Spark's own setting to delete the shuffle files of a query once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows and bytes of an Arrow batch: a task holds it several times over, on both sides and as Python objects.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Bytes of an Arrow batch: a task holds it several times over, on both sides and as Python objects.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def _number(text: str | None) -> int | None:
@@ -83,39 +73,6 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder, in any store that Spark can write."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _made:
-        _made.remove(path)
-
-
-def release(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
-    """Delete what was made, once the results that read it are written."""
-    for path in [p for p in _made if p not in but]:
-        dropped(spark, path)
-
-
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what is made inside."""
-    before = frozenset(_made)
-    try:
-        yield
-    finally:
-        release(spark, before)
-
-
-@atexit.register
-def _leave() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _made:
-        with suppress(Exception):  # the session may be gone, and its files are the cluster's to clear then
-            release(spark)
-
-
 def store(folder: str):
     """The store of a folder's URI, and the path there, for tasks that read and write files of their own."""
     from pyarrow import fs
@@ -152,6 +109,23 @@ def hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, how
     return cold.unionByName(warm.select(*cold.columns))
 
 
+def tidied(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after whose last batch the worker gives back the memory it no longer uses.
+
+    Workers wait for the next task and the next stage, and several of them share an executor.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+        if trim:
+            trim(0)
+
+    return inner
+
+
 class RowNumbers:
     """Numbers that are unique in the job and the same when a task is run again.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, fresh, scratch, store, stored, utf8, with_rows
+from .common import RowNumbers, fresh, scratch, store, stored, tidied, utf8, with_rows
 
 WINDOW = 10
 #: Words of items in one automaton, about 400 MB of Python objects, and bytes that a word has at least with its gap.
@@ -202,7 +202,7 @@ def automata(benchmark: DataFrame, id_column: str = "item_id", text: str = "text
     shards = -(-size // (SHARD_WORDS * BYTES_A_WORD)) or 1
     folder = scratch(spark, "automata")
     dealt = items.repartitionById(shards, F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).sortWithinPartitions("id", "text")
-    made = stored(dealt.mapInArrow(_built(folder, window), "path string"), "paths")
+    made = stored(dealt.mapInArrow(tidied(_built(folder, window)), "path string"), "paths")
     return folder, [r["path"] for r in made.orderBy("path").collect()]  # one row a shard
 
 
@@ -255,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     if len(paths) > 1 and row is None:
         docs, row = with_rows(docs)
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text), *([F.col(row)] if row else []))
-    found = [own.mapInArrow(_matched(folder, p), SCHEMA) for p in paths or [None]]
+    found = [own.mapInArrow(tidied(_matched(folder, p)), SCHEMA) for p in paths or [None]]
     if len(found) == 1:
         return found[0]
     both = functools.reduce(DataFrame.unionByName, found).groupBy("row", "id", "n_words")
@@ -318,10 +318,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_words: int = 200,
     """
     folder, paths = automata(benchmark, window=window)
     if len(paths) < 2:
-        return docs.mapInArrow(_cleaned(folder, paths[0] if paths else None, text, most_words, most_share), docs.schema)
+        return docs.mapInArrow(tidied(_cleaned(folder, paths[0] if paths else None, text, most_words, most_share)), docs.schema)
     spans = fresh(docs, "_spans")
     own, row = with_rows(docs)
-    matched = functools.reduce(DataFrame.unionByName, [own.select(F.lit(None).cast("long").alias("id"), F.col(text), F.col(row)).mapInArrow(_matched(folder, p), SCHEMA) for p in paths])
+    matched = functools.reduce(DataFrame.unionByName, [own.select(F.lit(None).cast("long").alias("id"), F.col(text), F.col(row)).mapInArrow(tidied(_matched(folder, p)), SCHEMA) for p in paths])
     hits = matched.where("size(spans) > 0").groupBy(F.col("row").alias(row)).agg(F.expr(UNITED).alias(spans))
     found = own.join(hits, row, "left").select(*docs.columns, spans)
-    return found.mapInArrow(_removed(text, most_words, most_share), docs.schema)
+    return found.mapInArrow(tidied(_removed(text, most_words, most_share)), docs.schema)

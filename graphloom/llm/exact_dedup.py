@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, stored, with_rows
+from .common import RowNumbers, stored, tidied, with_rows
 
 #: Bytes of a text that a splitter holds; the hash behind them orders the rest.
 LEAD = 48
@@ -145,12 +145,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = min(1.0, SAMPLED * ranges / max(1, own.count()))
-    sampled = own.select("id", "text").sample(share, SEED).mapInArrow(_sampled, "lead binary, h long, id long").toArrow()
+    sampled = own.select("id", "text").sample(share, SEED).mapInArrow(tidied(_sampled), "lead binary, h long, id long").toArrow()
     keys = sorted((lead, h, _last(i)) for lead, h, i in zip(*(sampled.column(k).to_pylist() for k in range(3)), strict=True))
     splitters = spark.sparkContext.broadcast([keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else [])
-    dealt = own.mapInArrow(_dealt(splitters), "row long, id long, norm binary, h long, to int").repartitionById(ranges, F.col("to"))
+    dealt = own.mapInArrow(tidied(_dealt(splitters)), "row long, id long, norm binary, h long, to int").repartitionById(ranges, F.col("to"))
     ordered = dealt.sortWithinPartitions(F.substring("norm", 1, LEAD), "h", "norm", F.col("id").asc_nulls_first()).select("row", "id", "norm", "h")
-    return merged(stored(ordered.mapInArrow(_neighbours, RUNS), "runs"))
+    return merged(stored(ordered.mapInArrow(tidied(_neighbours), RUNS), "runs"))
 
 
 def merged(runs: DataFrame) -> DataFrame:

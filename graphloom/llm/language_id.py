@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, tidied
 
 SIZES = (1, 2, 3)
 #: N-grams of a language profile, and of a document's.
@@ -39,7 +39,8 @@ LETTER = r"\p{L}"
 
 def word_grams(word: str) -> list[str]:
     padded = f"_{word}_"
-    return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
+    longer = (padded[i : i + n] for n in SIZES[1:] for i in range(len(padded) - n + 1))
+    return [*word, *longer]
 
 
 def gram_counts(text: str) -> Counter:
@@ -89,7 +90,7 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", la
     sample = _sampled(labelled, id_column, text, lang, trained)
     if sample is None:
         return {}
-    counted = sample.select(F.col(lang), F.col(text)).mapInArrow(_learned, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select(F.col(lang), F.col(text)).mapInArrow(tidied(_learned), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     out: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "rank").collect():  # at most ``size`` rows a language
@@ -98,54 +99,75 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", la
 
 
 class Profiles:
-    """Language profiles as one table of places, by n-gram and language."""
+    """Language profiles as one table of places, by n-gram and language.
+
+    Each n-gram that a worker meets gets the next row of the table, so a text's
+    n-grams are counted by row number. Rows and remembered words are forgotten
+    when they are many.
+    """
 
     def __init__(self, profiles: dict[str, list[str]], own: int = OWN) -> None:
         self.langs, self.own = sorted(profiles), own
         self.size = max((len(p) for p in profiles.values()), default=1)
-        place = {k: {code(g): i for i, g in enumerate(profiles[k])} for k in self.langs}
-        self.codes = np.array(sorted({c for p in place.values() for c in p}), np.uint32)
-        self.places = np.full((len(self.codes) + 1, len(self.langs)), self.size, np.int32)
+        self.place = {}
         for j, k in enumerate(self.langs):
-            for i, c in enumerate(self.codes.tolist()):
-                self.places[i, j] = place[k].get(c, self.size)
+            for i, gram in enumerate(profiles[k]):
+                self.place.setdefault(code(gram), [self.size] * len(self.langs))[j] = i
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, np.ndarray] = {}
+        self.rows: dict[int, int] = {}
+        self.of: dict[str, int] = {}
+        self.codes = np.zeros(1 << 12, np.uint32)
+        self.places = np.full((1 << 12, len(self.langs)), self.size, np.int32)
+
+    def _row(self, gram: str) -> int:
+        """The row of an n-gram that is met for the first time; those with one code share it."""
+        own = code(gram)
+        row = self.rows.get(own)
+        if row is None:
+            row = self.rows[own] = len(self.rows)
+            if row >= len(self.codes):
+                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+                self.places = np.concatenate((self.places, np.full_like(self.places, self.size)))
+            self.codes[row] = own
+            if own in self.place:
+                self.places[row] = self.place[own]
+        self.of[gram] = row
+        return row
 
     def _grams(self, chunk: str) -> np.ndarray:
         found = self.memo.get(chunk)
         if found is None:
-            found = np.array([code(g) for w in LETTERS.findall(chunk) for g in word_grams(w)], np.uint32)
+            known = self.of.get
+            rows = [r if (r := known(g)) is not None else self._row(g) for w in LETTERS.findall(chunk) for g in word_grams(w)]
+            found = np.array(rows, np.int32)
             if len(chunk) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
                 self.memo[chunk] = found
         return found
 
     def top(self, text: str) -> np.ndarray:
-        """Codes of the text's most frequent n-grams, in order; ties by code."""
+        """Rows of the text's most frequent n-grams, in order; ties by code."""
+        if len(self.memo) >= MEMO or len(self.of) >= MEMO:
+            self.forget()
         chunks = Counter(text.lower().split())
-        if not chunks:
-            return np.array([], np.uint32)
         parts = list(map(self._grams, chunks))
-        codes = np.concatenate(parts)
-        if not len(codes):
-            return codes
-        weights = np.repeat(np.fromiter(chunks.values(), np.int64, len(chunks)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        counts = np.add.reduceat(weights[order], first)
-        codes = codes[first]
-        return codes[np.lexsort((codes, -counts))[: self.own]]
+        found = np.concatenate(parts) if parts else np.array([], np.int32)
+        if not len(found):
+            return found
+        weights = np.repeat(np.fromiter(chunks.values(), np.float64, len(chunks)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        counts = np.bincount(found, weights)
+        rows = np.flatnonzero(counts)
+        if len(rows) > self.own:
+            rows = rows[counts[rows] >= np.partition(counts[rows], len(rows) - self.own)[len(rows) - self.own]]
+        return rows[np.lexsort((self.codes[rows], -counts[rows]))[: self.own]]
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         top = self.top(text)
-        k = np.searchsorted(self.codes, top)
-        k[k == len(self.codes)] = 0
-        k[self.codes[k] != top] = len(self.codes)
-        there = self.places[k]
+        there = self.places[top]
         apart = np.where(there == self.size, self.size, np.abs(there - np.arange(len(top))[:, None])).sum(axis=0)
         best = int(np.argmin(apart))
         return self.langs[best], 1.0 - float(apart[best]) / (self.size * len(top))
@@ -162,6 +184,8 @@ def _predicted(shared, lang: str = "lang_pred", score: str = "score", whole: boo
             keep = [k for k, n in enumerate(names) if whole or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*(names[k] for k in keep), lang, score])
 
+        profiles.forget()  # a worker that waits for its next task keeps no words
+
     return run
 
 
@@ -174,7 +198,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], keep: list[str], t
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
     chosen = docs.select(*keep, F.col(text).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text")
-    return chosen.mapInArrow(_predicted(shared), f"{schema}, lang_pred string, score double")
+    return chosen.mapInArrow(tidied(_predicted(shared)), f"{schema}, lang_pred string, score double")
 
 
 def learning_part(id_column: str = "doc_id"):
@@ -204,6 +228,6 @@ def recognised(docs: DataFrame) -> DataFrame:
         return docs.where(F.col("text").rlike(LETTER))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
-    named = docs.mapInArrow(_predicted(shared, lang, score, whole=True), StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
+    named = docs.mapInArrow(tidied(_predicted(shared, lang, score, whole=True)), StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
     least = F.create_map(*[x for k, v in bounds(known, profiles).items() for x in (F.lit(k), F.lit(v))])
     return named.where((F.col(lang) != UNKNOWN) & (F.col(score) >= F.coalesce(least[F.col(lang)], F.lit(0.0)))).select(*docs.columns)

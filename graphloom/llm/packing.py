@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, stored, utf8
+from .common import RowNumbers, stored, tidied, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -169,7 +169,7 @@ def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
 def pieces(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Documents as token pieces of at most ``capacity``; ``with_ids`` keeps the ids."""
     kept = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text))
-    return kept.mapInArrow(_cut(tokenizer_path, capacity, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return kept.mapInArrow(tidied(_cut(tokenizer_path, capacity, with_ids)), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Plan:
@@ -270,7 +270,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.sparkContext.broadcast(Plan(counts, capacity).arrays())
     ranked = cut.join(offsets, ["part", "length"]).withColumn("rank", F.col("spot") + F.col("before")).drop("before")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name not in ("rank", "part", "spot"))
-    return ranked.mapInArrow(_placed(plan), schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(_placed(plan)), schema + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, dropped, hot_join, kept, stored, utf8, with_rows
+from .common import RowNumbers, dropped, hot_join, kept, stored, tidied, utf8, with_rows
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Points that a shard should hold, and sampled points for each, from which the driver grows the trees.
@@ -81,7 +81,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """``row, id, fp`` for every row; null and wordless texts have fingerprint 0."""
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text), *([F.col(row)] if row else []))
-    return own.mapInArrow(_fingerprints, "row long, id long, fp long")
+    return own.mapInArrow(tidied(_fingerprints), "row long, id long, fp long")
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -265,9 +265,9 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     sampled = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
     sample = np.sort(np.asarray(sampled.column(0).combine_chunks() if sampled.num_rows else np.array([], np.int64)).view(np.uint64))
     tree = Tree(sample, radius)
-    routed = points.select("fp").mapInArrow(_routed(spark.sparkContext.broadcast(tree)), "shard int, fp long, home boolean")
+    routed = points.select("fp").mapInArrow(tidied(_routed(spark.sparkContext.broadcast(tree))), "shard int, fp long, home boolean")
     dealt = routed.repartitionById(len(tree.groups), F.col("shard")).sortWithinPartitions("shard")
-    return dealt.mapInArrow(_linked(radius, tree.groups), "u long, v long")
+    return dealt.mapInArrow(tidied(_linked(radius, tree.groups)), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
