@@ -8,12 +8,15 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..evidence import evidence, selector
 from ..functions import apply_casts, json_text, slug, template_fields
 from ..functions.text import fill_template
+from ..sources.json_ranges import PATH, JsonFile, steps, walked
 from ..storage import numbered, stored
 from .context import Extraction, ExtractionContext, register_extractor
 
@@ -138,29 +141,14 @@ class SqlExtractor:
 
 def select_path(value: Any, path: str | None) -> list[Any]:
     """Items of a driver-side JSON document: keys, ``[n]``, ``[*]`` and ``[]`` steps; JMESPath beyond those where its library is there."""
-    if path is None:
-        found = value
-    elif re.fullmatch(r"[\w\-]*(\.[\w\-]+|\[(\d+|-\d+|\*|)\])*", path):
-        many, found = False, [value]
-        for key, index in re.findall(r"([\w\-]+)|\[([^\]]*)\]", path):
-            out = []
-            for x in found:
-                if key:
-                    out.append(x.get(key) if isinstance(x, dict) else None)
-                elif index in ("*", ""):
-                    many = True
-                    out += (y for y in x) if isinstance(x, list) else []
-                else:
-                    k = int(index)
-                    out.append(x[k] if isinstance(x, list) and -len(x) <= k < len(x) else None)
-            found = [x for x in out if x is not None] if many else out
-        found = found if many else found[0]
-    else:
-        try:
-            import jmespath
-        except ImportError as missing:
-            raise ImportError(f"the path {path!r} needs the library jmespath") from missing
-        found = jmespath.search(path, value)
+    value = value.value if isinstance(value, JsonFile) else value
+    if path is None or PATH.fullmatch(path):
+        return walked(value, steps(path))
+    try:
+        import jmespath
+    except ImportError as missing:
+        raise ImportError(f"the path {path!r} needs the library jmespath") from missing
+    found = jmespath.search(path, value)
     return [] if found is None else list(found) if isinstance(found, list) else [found]
 
 
@@ -230,6 +218,12 @@ def raw_map(text: Column) -> Column:
     return F.transform_values(F.from_json(text, "map<string,variant>"), lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _members(items: pd.Series) -> pd.Series:
+    """The fields of JSON objects as JSON texts, as the driver would write them."""
+    return items.map(lambda text: {k: json.dumps(v, ensure_ascii=False) for k, v in json.loads(text).items()})
+
+
 @register_extractor("json_query")
 class JsonQuery:
     """Items of a JSON source that a path selects and a predicate keeps, then mapped.
@@ -251,6 +245,11 @@ class JsonQuery:
                 out |= set(template_fields(given))
         return out | ({self.mapping["id_from"]} if self.mapping.get("id_from") else set())
 
+    def _spread(self, content: Any) -> DataFrame | None:
+        """Selected values of a file, in Spark; None where only the driver can select."""
+        plain = self.select is None or PATH.fullmatch(self.select)
+        return content.rows(self.select) if isinstance(content, JsonFile) and plain else None
+
     def __call__(self, context: ExtractionContext) -> Extraction:
         found = context.sources.get(self.source)
         if found is None:
@@ -260,6 +259,10 @@ class JsonQuery:
             items = json_records(own.select("_row", F.col(self.column).alias("_json")), "_json", self.select)
             frame = numbered(items.select("_row", "_i", F.col("item").alias("_item")), ["_row", "_i"], "_original").drop("_row", "_i")
             names = sorted(self._fields())
+        elif (rows := self._spread(found.content)) is not None:
+            items = rows.where(F.col("item").startswith("{")).select("_i", "_j", _members(F.col("item")).alias("_item"))
+            frame = numbered(items, ["_i", "_j"], "_original").drop("_i", "_j")
+            names = sorted(self._fields())
         else:
             items = [x for x in select_path(found.content, self.select) if isinstance(x, Mapping)]
             names = sorted({k for x in items for k in x})

@@ -9,9 +9,10 @@ from __future__ import annotations
 import difflib
 import json
 import math
-from collections import Counter
+from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 from typing import Any
 
 import pandas as pd
@@ -276,17 +277,59 @@ def edge_bags(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return met.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in ((F.least("a", "e"), "n_both"), (F.col("a"), "n_actual"), (F.col("e"), "n_expected"))))
 
 
-def _assign(key, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
-    """Pair parallel edges: most equal attributes first, then by place."""
+#: Attributes of an edge up to which its partners are looked up by sets of names; wider ones are compared one by one.
+WIDE = 10
+
+
+def partners(actual: Sequence[Mapping[str, str]], expected: Sequence[Mapping[str, str]]) -> Iterator[tuple[int, int]]:
+    """Pairs (expected, actual) of parallel edges: most equal attributes first, then by place of the expected one, then of the actual one.
+
+    Goes down by the number of equal attributes. At each level no two edges that are
+    left agree in more, so those that agree in as many names are found by hashing
+    them: an expected edge looks up its values under each set of names of that size
+    and takes the first actual edge. Memory and, for edges that are not wide, time
+    grow with the number of edges, not with that of pairs.
+    """
+    waiting, free = list(range(len(expected))), bytearray(b"\1") * len(actual)
+    for level in range(max(map(len, expected), default=0), 0, -1):
+        known: dict[tuple[str, ...], dict[tuple, deque[int]]] = {}
+
+        def offers(names: tuple[str, ...], known=known) -> dict[tuple, deque[int]]:
+            if names not in known:
+                made = known[names] = defaultdict(deque)
+                for i, own in enumerate(actual):
+                    if free[i] and all(n in own for n in names):
+                        made[tuple(own[n] for n in names)].append(i)
+            return known[names]
+
+        def first(wanted: Mapping[str, str], level=level, offers=offers) -> int | None:
+            if len(wanted) > WIDE:
+                return next((i for i, own in enumerate(actual) if free[i] and sum(own.get(n) == v for n, v in wanted.items()) == level), None)
+            found = []
+            for names in combinations(sorted(wanted), level):
+                queue = offers(names).get(tuple(wanted[n] for n in names))
+                while queue and not free[queue[0]]:
+                    queue.popleft()
+                if queue:
+                    found.append(queue[0])
+            return min(found, default=None)
+
+        still = []
+        for j in waiting:
+            i = first(expected[j]) if len(expected[j]) >= level else None
+            if i is None:
+                still.append(j)
+            else:
+                free[i] = 0
+                yield j, i
+        waiting = still
+    yield from zip(waiting, (i for i in range(len(actual)) if free[i]), strict=False)
+
+
+def _partnered(key, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one key's parallel edges, which are in the order of their ids."""
     a, e = (f.sort_values("id")["attributes"].map(dict).tolist() for f in (actual, expected))
-    scored = sorted((-sum(x.get(k) == v for k, v in y.items()), j, i) for j, y in enumerate(e) for i, x in enumerate(a))
-    used_a, used_e, rows = set(), set(), []
-    for _, j, i in scored:
-        if i not in used_a and j not in used_e:
-            used_a.add(i)
-            used_e.add(j)
-            rows.append({"type": key[0], "actual": a[i], "expected": e[j]})
-    return pd.DataFrame(rows, columns=["type", "actual", "expected"])
+    return pd.DataFrame([(key[0], a[i], e[j]) for j, i in partners(a, e)], columns=["type", "actual", "expected"])
 
 
 @register_verifier("graph_match")
@@ -316,7 +359,7 @@ class GraphMatch:
         size = e.groupBy(*key).count().where("count = 1").join(a.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1"), key).select(*key)
         single = e.join(size, key).join(a.select(*key, F.col("attributes").alias("a")), key).select("type", "a", F.col("attributes").alias("e"))
         more = lambda f: f.join(size, key, "left_anti").select(*(F.col(c).alias(c) for c in ("id", *key, "attributes")))
-        paired = more(a).groupBy(*key).cogroup(more(e).groupBy(*key)).applyInPandas(_assign, "type string, actual map<string,string>, expected map<string,string>")
+        paired = more(a).groupBy(*key).cogroup(more(e).groupBy(*key)).applyInPandas(_partnered, "type string, actual map<string,string>, expected map<string,string>")
         pairs = nodes.select("type", "a", "e").unionByName(single).unionByName(paired.select("type", F.col("actual").alias("a"), F.col("expected").alias("e")))
         return pairs.select("type", "a", F.explode("e").alias("attribute", "expected")).select("type", "attribute", F.col("a")[F.col("attribute")].alias("actual"), "expected")
 
@@ -356,10 +399,8 @@ class GraphMatch:
 
 
 def greedy_pairs(a: Sequence[Mapping], e: Sequence[Mapping]) -> Counter:
-    """How many attributes agree over the pairs that ``_assign`` makes; for tests and small graphs."""
-    frame = lambda own: pd.DataFrame({"id": range(len(own)), "attributes": list(own)})
-    rows = _assign(("", "", ""), frame(a), frame(e))
-    return Counter(sum(x.get(k) == v for k, v in y.items()) for x, y in zip(rows["actual"], rows["expected"], strict=True))
+    """How many attributes agree over the pairs of parallel edges; for tests and small graphs."""
+    return Counter(sum(a[i].get(k) == v for k, v in e[j].items()) for j, i in partners(a, e))
 
 
 def rubric_scores(rows: DataFrame, judge_factory: Callable[[], Callable[[str], Any]], rubric: str, actual: str, expected: str) -> DataFrame:

@@ -207,6 +207,7 @@ WITH {MEMBERS}, place AS (SELECT *, 'n' || (row_number() OVER (ORDER BY id) - 1)
 SELECT 0 AS section, '' AS key, 'flowchart LR' AS text
 UNION ALL SELECT 1, id, '  ' || p || '["' || coalesce(list_extract(bare, list_position(names, 'segment')), id) || '"]' FROM place
 UNION ALL SELECT 2, edges.id, '  ' || a.p || ' -->|' || edges.type || '| ' || b.p FROM edges JOIN place AS a ON a.id = source JOIN place AS b ON b.id = target""",
+    "json_file_items": "SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place, sha256(coalesce(text, '')) AS sha, lang FROM documents",
     "separated_round_trip": """
 SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place, sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha, coalesce(lang, '') AS lang FROM documents""",
     "corpus_summary": "SELECT round(avg(CAST(quality AS DOUBLE)), 9) AS mean_score, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 9) AS pass_rate, count(*) AS n FROM labels",
@@ -220,6 +221,12 @@ SELECT 'mark:' || k AS id, CAST(k AS VARCHAR) AS k, '$[' || i || ']' AS place FR
 WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE abs(c_acctbal - round(c_acctbal)) <= 0.25) AS fit FROM customer), n AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier),
 parts AS (SELECT 2.0 * (c.n + n.n) / (2 * (c.n + n.n) + s.n) AS f1, CAST(c.n + c.fit + 2 * n.n AS DOUBLE) / (2 * c.n + 2 * n.n) AS a, CAST(2 * c.n + 2 * n.n AS BIGINT) AS compared FROM c, n, s)
 SELECT round((f1 + 1 + a) / 3, 9) AS score, round(f1, 9) AS nodes, CAST(1 AS DOUBLE) AS edges, round(a, 9) AS attributes, compared FROM parts""",
+    "parallel_edge_scores": """
+WITH a AS (SELECT o_orderpriority AS type, o_custkey AS c, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL),
+e AS (SELECT o_orderpriority AS type, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS status, count(*) AS n FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY ALL),
+same AS (SELECT a.type, sum(least(a.n, e.n)) AS n FROM a JOIN e USING (type, c, status) GROUP BY a.type),
+whole AS (SELECT x.type, sum(least(x.n, y.n)) AS n FROM (SELECT type, c, sum(n) AS n FROM a GROUP BY ALL) AS x JOIN (SELECT type, c, sum(n) AS n FROM e GROUP BY ALL) AS y USING (type, c) GROUP BY x.type)
+SELECT whole.type AS type, CAST(whole.n AS BIGINT) AS compared, CAST(coalesce(same.n, 0) AS BIGINT) AS equal FROM whole LEFT JOIN same USING (type)""",
     "resolve_by_registry": f"WITH {PARTS} SELECT id, CASE WHEN name = 'Brand#11 Ltd.' THEN 'brand:one' WHEN upper(name) IN ('BRAND#12', 'BRAND#12 LTD.') THEN 'brand:two' ELSE id END AS cid FROM parts",
     "resolve_by_cascade": f"""
 WITH {PARTS}, whole AS (SELECT id, replace(upper(name), ' LTD.', '') AS brand, max(CAST(name = 'Brand#11 Ltd.' AS INTEGER)) OVER (PARTITION BY replace(upper(name), ' LTD.', '')) AS one, min(id) OVER (PARTITION BY replace(upper(name), ' LTD.', '')) AS low FROM parts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .annotate import annotations_for
 from .evidence import attribute_evidence, evidence
 from .functions import cosine, json_text, json_value, normalize_entity, normalized, slug, slug_fast
-from .graph import Graph
+from .graph import NODES, Graph
 from .operators.assembly import attribute_conflicts, kept_edges, merge_nodes, skipped_edges
 from .operators.candidates import similar_pairs
 from .operators.context import ExtractionContext
@@ -24,8 +24,9 @@ from .operators.validation import edge_issues, node_issues
 from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
 from .plans import extract
 from .plans.evaluation import CorpusCase, evaluate_corpus
-from .sinks import canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, table_document, turtle_rows, typed_view
+from .sinks import array_document, canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, table_document, turtle_rows, typed_view
 from .sources import Source, SourceBundle
+from .sources.json_ranges import JsonFile
 from .sources.loaders import html_texts
 from .sources.separated import Records
 from .spec import AttrSchema, EdgeType, EnumDef, GraphSpec, NodeType
@@ -450,6 +451,15 @@ def separated_round_trip(spark, sf):
     return frame.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("place"), F.sha2("text", 256).alias("sha"), "lang")
 
 
+@query
+def json_file_items(spark, sf):
+    """All documents, written as one JSON array and read again by ranges."""
+    path = scratch(spark, "documents")
+    array_document(_t(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id").write(path)
+    item = F.from_json("item", "doc_id long, text string, lang string")
+    return JsonFile(spark, path).rows("[*]").select(item.alias("x"), "_i").select("x.doc_id", F.col("_i").alias("place"), F.sha2(F.coalesce("x.text", F.lit("")), 256).alias("sha"), "x.lang")
+
+
 @query
 def corpus_summary(spark, sf):
     labels = _t(spark, sf, "labels")
@@ -487,6 +497,20 @@ def graph_match_scores(spark, sf):
     return spark.createDataFrame([row], "score double, nodes double, edges double, attributes double, compared long")
 
 
+@query
+def parallel_edge_scores(spark, sf):
+    """Orders as parallel edges of a customer and a priority; some statuses differ and some orders are missing."""
+    orders = _t(spark, sf, "orders")
+
+    def graph(rows, status) -> Graph:
+        edges = rows.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.col("o_orderpriority").alias("target"), F.col("o_orderpriority").alias("type"), F.create_map(F.lit("status"), json_text(status)).alias("attributes"))
+        return Graph(spark.createDataFrame([], NODES), edges)
+
+    status = F.when(F.col("o_orderkey") % 3 == 0, F.lit("F")).otherwise(F.col("o_orderstatus"))
+    rows = GraphMatch().attribute_rows(graph(orders, F.col("o_orderstatus")), graph(orders.where("o_orderkey % 11 <> 0"), status))
+    return rows.groupBy("type").agg(F.count("*").alias("compared"), F.count_if(F.col("actual") == F.col("expected")).alias("equal"))
+
+
 REGISTRY = {"Brand#11 Ltd.": "brand:one", "brand 12": "brand:two"}
 
 

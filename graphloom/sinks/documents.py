@@ -117,6 +117,12 @@ def canonical_document(graph: Graph, *, spec: GraphSpec | None = None) -> Docume
     )
 
 
+def array_document(rows: DataFrame, key: str) -> Document:
+    """Rows as a JSON array of objects, one a line, in the order of ``key`` as a text; nulls are given as such."""
+    own = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}).alias("text"))
+    return _document([_fixed(rows.sparkSession, 0, "["), _section(own, 1, ","), _fixed(rows.sparkSession, 2, "]")])
+
+
 def jgf_document(graph: Graph) -> Document:
     """JSON Graph Format, as ``to_jgf``, keys sorted."""
     spark = graph.spark

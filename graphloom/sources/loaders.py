@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import importlib
 import io
-import json
 from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .bundle import JSON, TABLE, TEXT, Source, SourceBundle
+from .json_ranges import JsonFile
 from .separated import Records
 
 Loader = Callable[[SparkSession, str, str], Source]
@@ -97,7 +97,7 @@ def table_files(spark: SparkSession, path: str, id: str, separator: str = ",") -
 
 @register_loader(".json")
 def load_json(spark: SparkSession, path: str, id: str) -> Source:
-    return Source(id, json.loads(_whole(spark, path)), JSON, metadata=_about(path))
+    return Source(id, JsonFile(spark, path), JSON, metadata=_about(path))
 
 
 @register_loader(".parquet", ".orc")
