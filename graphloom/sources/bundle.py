@@ -71,6 +71,8 @@ class SourceBundle:
                 continue
             if isinstance(s.content, DataFrame):
                 order = F.col("ordinal").cast("long") if "ordinal" in s.content.columns else F.lit(0).cast("long")  # ``source_id`` orders within
+                far = F.raise_error(F.lit(f"source {s.id!r} has an ordinal below 0 or from 2^40 on")).cast("long")
+                order = F.when(order.isNull() | order.between(0, (1 << 40) - 1), order).otherwise(far)
                 frames.append(s.content.select((F.lit(k << 40) + order).alias("ordinal"), F.col("source_id").cast("string").alias("source_id"), "text"))
             else:
                 single.append((k << 40, s.id, s.content))

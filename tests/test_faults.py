@@ -83,3 +83,11 @@ def test_bindings_of_one_table_see_the_same_row_numbers(spark):
     graph = g.extract(g.SourceBundle([g.Source("s", shuffled, "table")]), spec, bindings, spark=spark)
     rows = {r["element_id"]: r["evidence"]["grounding"][0]["row"] for r in graph.evidence.where("attribute is null").collect()}
     assert len(rows) == 400 and all(rows[f"a:{k}"] == rows[f"b:{k}"] for k in range(200))
+
+
+def test_ordinals_that_would_run_into_the_next_source(spark):
+    texts = lambda n: g.SourceBundle([g.Source("s", spark.createDataFrame([(n, "a", "text")], "ordinal long, source_id string, text string"))]).texts(spark)
+    assert texts((1 << 40) - 1).first()["ordinal"] == (1 << 40) - 1 and texts(None).first()["ordinal"] is None
+    for n in (-1, 1 << 40):
+        with pytest.raises(Exception, match="has an ordinal"):
+            texts(n).collect()
