@@ -65,6 +65,56 @@ def verify_anchor(selector: TextQuoteSelector, text: str) -> bool:
     return bool(selector.exact) and selector.exact in text
 
 
+#: From this length on, the fuzzy search leaves common characters of the quote out of account, as ``difflib`` does.
+LONG_QUOTE = 200
+
+
+def longest_block(text: str, quote: str) -> tuple[int, int]:
+    """Start in the text and size of the longest run of characters that the quote has too; of equal ones the first.
+
+    The text streams once through a suffix automaton of the quote, so its length
+    costs in proportion. Quotes of ``LONG_QUOTE`` characters go to ``difflib``, whose
+    shortcut for common characters is part of the result there.
+    """
+    if len(quote) >= LONG_QUOTE:
+        block = difflib.SequenceMatcher(None, text, quote).find_longest_match()
+        return block.a, block.size
+    after: list[dict[str, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for c in quote:
+        new = len(after)
+        after.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        at, last = last, new
+        while at >= 0 and c not in after[at]:
+            after[at][c] = new
+            at = link[at]
+        if at < 0:
+            continue
+        there = after[at][c]
+        if size[there] > size[at] + 1:  # longer than what leads to it here: a copy stands for the shorter ones
+            after.append(dict(after[there]))
+            link.append(link[there])
+            size.append(size[at] + 1)
+            link[there] = copy = len(after) - 1
+            while at >= 0 and after[at].get(c) == there:
+                after[at][c] = copy
+                at = link[at]
+            there = copy
+        link[new] = there
+    best, end, state, n = 0, 0, 0, 0
+    for k, c in enumerate(text, 1):
+        while state and c not in after[state]:
+            state = link[state]
+            n = size[state]
+        if c in after[state]:
+            state, n = after[state][c], n + 1
+            if n > best:
+                best, end = n, k
+        else:
+            n = 0
+    return end - best, best
 
 
 def reanchor(selector: TextQuoteSelector, text: str, hint: int | None = None, fuzzy: bool = True) -> TextPositionSelector | None:
@@ -81,7 +131,7 @@ def reanchor(selector: TextQuoteSelector, text: str, hint: int | None = None, fu
     starts, k = [], text.find(quote)
     while k >= 0:
         starts.append(k)
-        k = text.find(quote, k + 1)
+        k = text.find(quote, k + len(quote))
     if starts:
 
         def fit(start: int) -> float:
@@ -93,9 +143,9 @@ def reanchor(selector: TextQuoteSelector, text: str, hint: int | None = None, fu
         start = starts[0] if len(starts) == 1 else max(starts, key=fit)
         return TextPositionSelector(start, start + len(quote))
     if fuzzy:
-        block = difflib.SequenceMatcher(None, text, quote).find_longest_match()
-        if block.size >= max(3, int(0.6 * len(quote))):
-            return TextPositionSelector(block.a, block.a + block.size)
+        start, size = longest_block(text, quote)
+        if size >= max(3, int(0.6 * len(quote))):
+            return TextPositionSelector(start, start + size)
     return None
 
 

@@ -86,6 +86,11 @@ n AS (SELECT *, row_number() OVER (ORDER BY page_id, k) - 1 AS i FROM x)
 SELECT 'links_to:page-links->path-' || {slug('path')} || ':' || i AS id, 'path:' || {slug('path')} AS target, start, CAST(page_id AS VARCHAR) AS page FROM n""",
     "match_offsets": f"WITH {MATCHES} SELECT doc_id, CAST(m AS INTEGER) AS m, start, start + length(exact) AS stop, exact FROM spans",
     "quote_context": f"WITH {MATCHES} SELECT doc_id, CAST(m AS INTEGER) AS m, exact, substring(text, CAST(greatest(0, start - 24) + 1 AS BIGINT), CAST(least(24, start) AS BIGINT)) AS prefix, substring(text, CAST(start + length(exact) + 1 AS BIGINT), 24) AS suffix FROM spans",
+    "reanchor_in_context": f"""
+WITH {MATCHES}, own AS (SELECT doc_id, CAST(m AS INTEGER) AS m, exact, CAST(least(24, start) AS BIGINT) AS before, CAST(length(text) - start - length(exact) AS BIGINT) AS behind FROM spans),
+places AS (SELECT doc_id, m, CAST(length(exact) AS BIGINT) AS n, CASE WHEN before = 0 AND behind = 0 THEN 2 ELSE 5 + length(exact) + before END AS start FROM own)
+SELECT doc_id, m, true AS kept, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end" FROM places
+UNION ALL SELECT doc_id, m, false, NULL, NULL FROM places""",
     "sql_extract": f"SELECT 'priority:' || {slug('o_orderpriority')} AS id, CAST(count(*) AS VARCHAR) AS n, max(CAST(o_orderkey AS VARCHAR)) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
     "json_query_events": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) > 50",
     "json_where_in_ne": "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) IN (1, 2, 5, 8)",

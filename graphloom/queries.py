@@ -629,6 +629,15 @@ def reanchor_emails(spark, sf):
     return reanchored(moved).select("source_id", "m", "exact", "start", "end")
 
 
+@query
+def reanchor_in_context(spark, sf):
+    """Each e-mail address looked for in a text that has it three times, once in its own context, and in one that has it not."""
+    found = find(_documents(spark, sf), [EMAIL]).select(F.col("source_id").cast("long").alias("doc_id"), "m", "exact", "prefix", "suffix", F.lit(None).cast("long").alias("hint"))
+    thrice = found.withColumn("text", F.concat(F.lit("x "), "exact", F.lit(" y "), "prefix", "exact", "suffix", F.lit(" z "), "exact"))
+    lost = found.withColumn("text", F.translate("exact", "@", " "))
+    return reanchored(thrice.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False))), fuzzy=False).select("doc_id", "m", "kept", "start", "end")
+
+
 @query
 def html_markdown(spark, sf):
     return html_texts(_t(spark, sf, "pages"), "page_id", "html")
