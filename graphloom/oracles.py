@@ -167,6 +167,12 @@ UNION ALL SELECT id, 'g:' || replace(source, ':', '_') || ' g:' || type || ' g:'
 WITH {LOCATED} SELECT DISTINCT id, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, '{{"types":["' || type || '"],"name":"' || name || '"}}' AS props FROM nodes WHERE type <> 'customer'
 UNION ALL SELECT 'customer:' || {slug("c_name")}, NULL, NULL, '{{"types":["customer"],"balance":' || c_acctbal || ',"key":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}}' FROM customer
 UNION ALL SELECT id, source, target, '{{}}' FROM edges""",
+    "graph_digests": f"""
+WITH {MEMBERS}, texts AS (
+  SELECT 'node' AS kind, '{{"id":"' || id || '","types":["' || type || '"],"attributes":{{' || array_to_string(list_transform(list_zip(names, vals), lambda x: '"' || x[1] || '":' || x[2]), ',') || '}}}}' AS text FROM own
+  UNION ALL SELECT 'edge', '{{"id":"' || id || '","source":"' || source || '","target":"' || target || '","type":"' || type || '","attributes":{{}}}}' FROM edges
+), hashed AS (SELECT kind, sha256(text) AS h FROM texts)
+SELECT kind, count(*) AS n, concat_ws(':', {", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for k in range(4))}) AS digest FROM hashed GROUP BY kind""",
     "element_records": f"""
 WITH {MEMBERS} SELECT 'node' AS kind, id, '{{"id":"' || id || '","types":["' || type || '"],' || array_to_string(list_transform(list_zip(names, vals), lambda x: '"' || x[1] || '":' || x[2]), ',') || '}}' AS record FROM own
 UNION ALL SELECT 'edge', id, '{{"id":"' || id || '","type":"' || type || '","source":"' || source || '","target":"' || target || '"}}' FROM edges""",

@@ -24,7 +24,7 @@ from .operators.validation import edge_issues, node_issues
 from .operators.verify import Composite, ExactMatch, GraphMatch, NormalizedMatch, NumericTolerance, SemanticSimilarity, SetMatch, edge_bags, node_sets
 from .plans import extract
 from .plans.evaluation import CorpusCase, evaluate_corpus
-from .sinks import array_document, canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graphml_document, jgf_document, mermaid_document, record_rows, table_document, turtle_rows, typed_view
+from .sinks import array_document, canonical_document, cypher_rows, cytoscape_rows, dot_document, embedding_rows, graph_digest, graphml_document, jgf_document, mermaid_document, record_rows, table_document, turtle_rows, typed_view
 from .sources import Source, SourceBundle
 from .sources.json_ranges import JsonFile
 from .sources.loaders import html_texts
@@ -412,6 +412,11 @@ def cypher_parameters(spark, sf):
     return cypher_rows(trade_graph(spark, sf)).select("id", "source", "target", "props")
 
 
+@query
+def graph_digests(spark, sf):
+    return graph_digest(trade_graph(spark, sf))
+
+
 @query
 def element_records(spark, sf):
     return record_rows(trade_graph(spark, sf))
