@@ -5,8 +5,8 @@ compared to each language's by out-of-place distance: how far each of its
 n-grams is from its place in the language's list, and the list's length for
 n-grams that the list lacks. The nearest language wins.
 
-Words are runs of letters, lower-cased and padded, so a text's n-grams are
-those of its distinct words times their counts, and workers remember them.
+Words are runs of letters, lower-cased and padded. A text's n-grams are counted
+as numbers in one sorted array.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ PROFILE, OWN = 400, 300
 TRAINED = 4_000
 #: A text fits a language if its score is at least this share of the median score of about so many of the language's documents.
 FIT, CALIBRATED = 0.5, 1_000
-MEMO = 200_000
+#: N-grams that a worker remembers, and words of a text that are gone through together.
+MEMO, TOGETHER = 200_000, 200_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LETTER = r"\p{L}"
@@ -98,70 +99,78 @@ def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", la
     return out
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's n-grams as numbers made of their code points, ascending, and their counts.
+
+    Its words stand in one array with a mark between; n-grams across a mark are left out.
+    """
+    words = LETTERS.findall(text.lower())
+    keys, counts = np.array([], np.uint64), np.array([], np.int64)
+    for k in range(0, len(words), TOGETHER):
+        own = np.frombuffer(f"_{'_'.join(words[k : k + TOGETHER])}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        letter = own != ord("_")
+        two = own[:-1] << np.uint64(21) | own[1:]
+        three = (own[:-2] << np.uint64(42) | two[1:])[letter[1:-1]]
+        found = np.sort(np.concatenate((own[letter], two, three)))
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        size = np.diff(np.append(first, len(found)))
+        if len(words) <= TOGETHER:
+            return found[first], size
+        found, size = np.concatenate((keys, found[first])), np.concatenate((counts, size))
+        order = np.argsort(found, kind="stable")
+        found, size = found[order], size[order]
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        keys, counts = found[first], np.add.reduceat(size, first)
+    return keys, counts
+
+
+def gram_of(key: int) -> str:
+    """The n-gram of a number."""
+    return "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+
+
 class Profiles:
     """Language profiles as one table of places, by n-gram and language.
 
-    Each n-gram that a worker meets gets the next row of the table, so a text's
-    n-grams are counted by row number. Rows and remembered words are forgotten
-    when they are many.
+    Each n-gram that a worker meets among a text's most frequent ones gets the
+    next row of the table. Rows are forgotten when they are many.
     """
 
     def __init__(self, profiles: dict[str, list[str]], own: int = OWN) -> None:
         self.langs, self.own = sorted(profiles), own
         self.size = max((len(p) for p in profiles.values()), default=1)
-        self.place = {}
+        self.place: dict[str, list[int]] = {}
         for j, k in enumerate(self.langs):
             for i, gram in enumerate(profiles[k]):
-                self.place.setdefault(code(gram), [self.size] * len(self.langs))[j] = i
+                self.place.setdefault(gram, [self.size] * len(self.langs))[j] = i
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.of: dict[str, int] = {}
         self.codes = np.zeros(1 << 12, np.uint32)
         self.places = np.full((1 << 12, len(self.langs)), self.size, np.int32)
 
-    def _row(self, gram: str) -> int:
-        """The row of an n-gram that is met for the first time; those with one code share it."""
-        own = code(gram)
-        row = self.rows.get(own)
-        if row is None:
-            row = self.rows[own] = len(self.rows)
-            if row >= len(self.codes):
-                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
-                self.places = np.concatenate((self.places, np.full_like(self.places, self.size)))
-            self.codes[row] = own
-            if own in self.place:
-                self.places[row] = self.place[own]
-        self.of[gram] = row
+    def _row(self, key: int) -> int:
+        row, gram = len(self.rows), gram_of(key)
+        if row >= len(self.codes):
+            self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+            self.places = np.concatenate((self.places, np.full_like(self.places, self.size)))
+        self.rows[key], self.codes[row] = row, code(gram)
+        if gram in self.place:
+            self.places[row] = self.place[gram]
         return row
 
-    def _grams(self, chunk: str) -> np.ndarray:
-        found = self.memo.get(chunk)
-        if found is None:
-            known = self.of.get
-            rows = [r if (r := known(g)) is not None else self._row(g) for w in LETTERS.findall(chunk) for g in word_grams(w)]
-            found = np.array(rows, np.int32)
-            if len(chunk) <= 64:
-                self.memo[chunk] = found
-        return found
-
     def top(self, text: str) -> np.ndarray:
         """Rows of the text's most frequent n-grams, in order; ties by code."""
-        if len(self.memo) >= MEMO or len(self.of) >= MEMO:
+        if len(self.rows) >= MEMO:
             self.forget()
-        chunks = Counter(text.lower().split())
-        parts = list(map(self._grams, chunks))
-        found = np.concatenate(parts) if parts else np.array([], np.int32)
-        if not len(found):
-            return found
-        weights = np.repeat(np.fromiter(chunks.values(), np.float64, len(chunks)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        counts = np.bincount(found, weights)
-        rows = np.flatnonzero(counts)
-        if len(rows) > self.own:
-            rows = rows[counts[rows] >= np.partition(counts[rows], len(rows) - self.own)[len(rows) - self.own]]
-        return rows[np.lexsort((self.codes[rows], -counts[rows]))[: self.own]]
+        keys, counts = counted(text)
+        if len(keys) > self.own:
+            often = counts >= np.partition(counts, len(counts) - self.own)[len(counts) - self.own]
+            keys, counts = keys[often], counts[often]
+        known = self.rows.get
+        rows = np.array([r if (r := known(k)) is not None else self._row(k) for k in keys.tolist()], np.int64)
+        return rows[np.lexsort((self.codes[rows], -counts))[: self.own]]
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not any(map(str.isalpha, text)):
@@ -184,7 +193,7 @@ def _predicted(shared, lang: str = "lang_pred", score: str = "score", whole: boo
             keep = [k for k, n in enumerate(names) if whole or n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*(names[k] for k in keep), lang, score])
 
-        profiles.forget()  # a worker that waits for its next task keeps no words
+        profiles.forget()  # a worker that waits for its next task keeps no rows
 
     return run
 
