@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh, tidied
+from .common import dropped, fresh, kept, stored, tidied
 
 SIZES = (1, 2, 3)
 #: N-grams of a language profile, and of a document's.
 PROFILE, OWN = 400, 300
-#: Profiles are learned from about so many documents of each language, chosen by a hash of the id.
-TRAINED = 4_000
-#: A text fits a language if its score is at least this share of the median score of about so many of the language's documents.
-FIT, CALIBRATED = 0.5, 1_000
+#: A text fits a language if its score is at least this share of the median score of all documents that may be learned from and are put to it.
+FIT = 0.5
+#: Medians are taken of scores rounded down to one in so many.
+STEPS = 10_000
+#: Characters that are counted at once, and n-grams that a table of counts may have.
+BLOCK, DENSE = 1 << 20, 4 << 20
 #: N-grams that a worker remembers, and words of a text that are gone through together.
 MEMO, TOGETHER = 200_000, 200_000
 UNKNOWN = "und"
@@ -58,44 +60,53 @@ def code(gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "surrogatepass"))
 
 
+def counts_together(texts: list[str]) -> dict[str, int]:
+    """N-grams of all the texts with their counts.
+
+    Letters that occur are numbered, all else is 0, so an n-gram is a number of
+    up to three digits; few letters are counted in a table, more by sorting.
+    """
+    own = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = [c for c in np.flatnonzero(np.bincount(own)).tolist() if LETTERS.match(chr(c))]
+    if not letters:
+        return {}
+    number = np.zeros(int(own.max()) + 1, np.int32)
+    number[letters] = np.arange(1, len(letters) + 1)
+    digits = np.concatenate(([0], number[own], [0, 0])).astype(np.int32)
+    names, base, out = ["_", *map(chr, letters)], len(letters) + 1, Counter()
+    for k in range(0, len(digits) - 2, BLOCK):
+        one, two, three = (digits[k + i : k + i + BLOCK + min(0, len(digits) - 2 - k - BLOCK)].astype(np.int64) for i in range(3))
+        for size, codes in zip(SIZES, (one[one > 0], (one * base + two)[one + two > 0], ((one * base + two) * base + three)[two > 0]), strict=True):
+            if base**size <= DENSE:
+                table = np.bincount(codes)
+                found = np.flatnonzero(table)
+                many = table[found]
+            else:
+                found, many = np.unique(codes, return_counts=True)
+            for key, n in zip(found.tolist(), many.tolist(), strict=True):
+                out["".join(names[key // base**i % base] for i in range(size - 1, -1, -1))] += n
+    return out
+
+
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words: dict[str, Counter] = {}
+        texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        grams: Counter = Counter()
-        for lang, own in words.items():
-            for word, n in own.items():
-                for gram in word_grams(word):
-                    grams[lang, gram] += n
-        keys = list(grams)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()), pa.array([grams[k] for k in keys], pa.int64())], ["lang", "gram", "n"])
-
-
-def _sampled(labelled: DataFrame, id_column: str, text: str, lang: str, trained: int) -> DataFrame | None:
-    """About ``trained`` documents of each language, by a hash of the id; none if no language is known."""
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    many = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not many:
-        return None
-    share = F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(int(min(1.0, trained / n) * (1 << 30))))])
-    return known.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < share[F.col(lang)])
-
-
-def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", trained: int = TRAINED, size: int = PROFILE) -> dict[str, list[str]]:
-    """The profile of each language among rows with a text and a language.
-
-    The sample's bound is ``trained`` documents a language, in expectation: the
-    share of a language's documents that enters is ``trained`` over their number.
-    """
-    sample = _sampled(labelled, id_column, text, lang, trained)
-    if sample is None:
-        return {}
-    counted = sample.select(F.col(lang), F.col(text)).mapInArrow(tidied(_learned), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            grams = counts_together(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+
+
+def learn(labelled: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[str]]:
+    """The profile of each language, from all rows with a text and a language."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    summed, path = kept(known.mapInArrow(tidied(_learned), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     out: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "rank").collect():  # at most ``size`` rows a language
         out.setdefault(r["lang"], []).append(r["gram"])
+    dropped(labelled.sparkSession, path)
     return out
 
 
@@ -215,13 +226,21 @@ def learning_part(id_column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(4)) != 2, F.lit(False))
 
 
-def bounds(labelled: DataFrame, profiles: dict[str, list[str]], trained: int = CALIBRATED) -> dict[str, float]:
-    """For each language, the least score with which a text is taken to be in it."""
-    sample = _sampled(labelled, "doc_id", "text", "lang", trained) if profiles else None
-    if sample is None:
-        return {}
-    scores = identify(sample, profiles, ["lang"]).where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("median"))
-    return {r["lang_pred"]: FIT * r["median"] for r in scores.collect()}  # one row a language
+def bounds(scored: DataFrame, lang: str = "lang_pred", score: str = "score") -> dict[str, float]:
+    """For each language, the least score with which a text is taken to be in it.
+
+    It is ``FIT`` times the median of all rows put to the language, the lower
+    one of two, counted in ``STEPS``, so it is the same however rows are split.
+    """
+    step = F.least(F.floor(F.col(score) * STEPS), F.lit(STEPS)).cast("int")
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in scored.where(F.col(lang) != UNKNOWN).groupBy(F.col(lang).alias("lang"), step.alias("step")).count().orderBy("lang", "step").collect():  # at most ``STEPS`` and one a language
+        counts.setdefault(r["lang"], []).append((r["step"], r["count"]))
+    out = {}
+    for k, own in counts.items():
+        below = np.cumsum([n for _, n in own])
+        out[k] = FIT * own[int(np.searchsorted(2 * below, below[-1]))][0] / STEPS
+    return out
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -229,7 +248,9 @@ def recognised(docs: DataFrame) -> DataFrame:
 
     ``lang_pred`` and ``score`` decide: texts without letters and texts with a
     lower score than ``bounds`` has for their language go. If no profile could
-    be learned, all documents with letters stay.
+    be learned, all documents with letters stay. Profiles and bounds come from
+    all rows of the learning part that have a language; every row is scored
+    once, and stored with its score.
     """
     known = docs.where(learning_part())
     profiles = learn(known)
@@ -237,6 +258,6 @@ def recognised(docs: DataFrame) -> DataFrame:
         return docs.where(F.col("text").rlike(LETTER))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
-    named = docs.mapInArrow(tidied(_predicted(shared, lang, score, whole=True)), StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
-    least = F.create_map(*[x for k, v in bounds(known, profiles).items() for x in (F.lit(k), F.lit(v))])
+    named = stored(docs.mapInArrow(tidied(_predicted(shared, lang, score, whole=True)), StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])), "scored")
+    least = F.create_map(*[x for k, v in bounds(named.where(learning_part() & F.col("lang").isNotNull()), lang, score).items() for x in (F.lit(k), F.lit(v))])
     return named.where((F.col(lang) != UNKNOWN) & (F.col(score) >= F.coalesce(least[F.col(lang)], F.lit(0.0)))).select(*docs.columns)
