@@ -49,26 +49,35 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Known(dict):
+    """A mapping that makes what it lacks, or takes it from one that was kept ``before``."""
+
+    def __init__(self, make: Callable, before: dict) -> None:
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Recent:
     """A mapping that forgets what was not used for ``size`` to twice ``size`` new keys."""
 
-    def __init__(self, size: int) -> None:
-        self.size, self.now, self.before = size, {}, {}
+    def __init__(self, size: int, make: Callable) -> None:
+        self.size, self.now = size, Known(make, {})
 
     def turn(self) -> None:
         if len(self.now) >= self.size:
-            self.now, self.before = {}, self.now
-
-    def missing(self, keys: set) -> list:
-        """Keys that are not known; those that are can be looked up in ``now``."""
-        out = []
-        for k in keys - self.now.keys():
-            value = self.before.get(k)
-            if value is None:
-                out.append(k)
-            else:
-                self.now[k] = value
-        return out
+            before = self.now
+            before.before = {}
+            self.now = Known(before.make, before)
+
+    def forget(self, key) -> None:
+        self.now.pop(key, None)
 
 
 #: The tokenizer's letters for bytes: printable ones stand for themselves, the others follow from U+0100 on.
@@ -87,41 +96,40 @@ class ChunkIds:
 
     The tokenizer drops white space and never merges across it, so the ids of
     a text are those of its chunks in turn. A chunk's are those of its
-    pre-tokens; only new ones reach the tokenizer, many in a call.
+    pre-tokens; only new ones reach the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        self.encoder, self.chunks, self.words = _tokenizer(path), Recent(CHUNKS), Recent(WORDS)
-
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _merged(self, words: list[str]) -> list[bytes]:
-        """Of pre-tokens: only the model is left to apply, on its letters for bytes."""
-        merge = self.encoder.model.tokenize
-        return [_bytes([x.id for x in merge(w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS))]) for w in words]
+        self.encoder = _tokenizer(path)
+        self.merge = self.encoder.model.tokenize
+        self.chunks, self.words = Recent(CHUNKS, self._chunk), Recent(WORDS, self._merged)
+        self.long: list[bytes] = []
+
+    def _merged(self, word: str) -> bytes:
+        """Of a pre-token: only the model is left to apply, on its letters for bytes."""
+        return _bytes([x.id for x in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS))])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if len(text) > LONG or (not chunk.isalpha() and BEYOND.search(text)):
+            if len(chunk) > 4 * LONG:
+                self.long.append(chunk)
+            return _bytes(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        lower, word = text.lower(), self.words.now
+        if lower.isalpha():  # a single pre-token
+            return word[lower]
+        if lower[-1] in ",." and lower[:-1].isalpha():
+            return word[lower[:-1]] + word[lower[-1]]
+        return b"".join(map(word.__getitem__, PRETOKEN.findall(lower)))
 
     def ids(self, given: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in given]
         self.chunks.turn()
         self.words.turn()
-        plain, whole = {}, []
-        for chunk in self.chunks.missing(set().union(*split)):
-            text = chunk.decode()
-            if len(text) > LONG or BEYOND.search(text):
-                whole.append(chunk)
-            else:
-                plain[chunk] = PRETOKEN.findall(text.lower())
-        new = self.words.missing(set().union(*plain.values()))
-        self.words.now.update(zip(new, self._merged(new), strict=True))
-        known, word = self.chunks.now, self.words.now.__getitem__
-        for chunk, parts in plain.items():
-            known[chunk] = b"".join(map(word, parts))
-        known.update(zip(whole, self._encoded([c.decode() for c in whole]), strict=True))
-        out = [b"".join(map(known.__getitem__, own)) for own in split]
-        for chunk in whole:
-            if len(chunk) > 4 * LONG:
-                del known[chunk]
+        known = self.chunks.now.__getitem__
+        out = [b"".join(map(known, text.split())) for text in given]
+        for chunk in self.long:
+            self.chunks.forget(chunk)
+        self.long.clear()
         return out
 
 
