@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +98,76 @@ def with_rows(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+#: Rows that share the bits of their numbers above these are a block, whose marks are one file of 128 KB.
+BLOCK_BITS = 20
+
+
+def only(df: DataFrame, row: str, stays: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Rows of ``df`` whose number in column ``row`` is in the one column of ``stays``.
+
+    A semi join that moves row numbers alone: they are dealt by blocks, each
+    block's are written as bits to the shared folder, and whoever reads a row
+    looks up its bit. The driver holds one path a block.
+    """
+    spark = df.sparkSession
+    folder = scratch(spark, "marks")
+    numbers = stays.toDF("row")
+    dealt = numbers.repartition(F.shiftright("row", bits)).sortWithinPartitions("row")
+    made = stored(dealt.mapInArrow(tidied(_marked(folder, bits)), "block long, path string"), "blocks")
+    paths = spark.sparkContext.broadcast({r["block"]: r["path"] for r in made.collect()})  # one row a block
+    return df.where(_staying(folder, paths, bits)(F.col(row)))
+
+
+def _marked(folder: str, bits: int) -> Callable:
+    """Bits of each block of sorted row numbers, written to the shared folder; gives block and path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, marks = None, np.zeros(1 << bits, bool)
+
+        def put() -> pa.RecordBatch:
+            filesystem, path = store(folder)
+            filesystem.create_dir(path, recursive=True)
+            path = f"{path}/{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(path, compression=None) as file:
+                file.write(np.packbits(marks).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([path])], ["block", "path"])
+
+        for batch in batches:
+            rows = np.asarray(batch.column(0))
+            for k in np.unique(rows >> bits).tolist():
+                if k != block:
+                    if block is not None:
+                        yield put()
+                    block = k
+                    marks[:] = False
+                marks[rows[rows >> bits == k] & ((1 << bits) - 1)] = True
+        if block is not None:
+            yield put()
+
+    return run
+
+
+@functools.lru_cache(4)
+def _marks(folder: str, path: str) -> np.ndarray:
+    """A block's bits from the shared folder; a worker holds a few, as a task reads neighbouring rows."""
+    with store(folder)[0].open_input_stream(path, compression=None) as file:
+        return np.unpackbits(np.frombuffer(file.read(), np.uint8)).view(bool)
+
+
+def _staying(folder: str, paths, bits: int) -> Callable:
+    @F.pandas_udf("boolean")
+    def stays(rows: pd.Series) -> pd.Series:
+        own = rows.to_numpy()
+        out = np.zeros(len(own), bool)
+        for k in np.unique(own >> bits).tolist():
+            if k in paths.value:  # of other blocks no row stays
+                here = own >> bits == k
+                out[here] = _marks(folder, paths.value[k])[own[here] & ((1 << bits) - 1)]
+        return pd.Series(out)
+
+    return stays
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: list[str], weight: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique and whose ``weight`` says how many rows of ``left`` have it.
 

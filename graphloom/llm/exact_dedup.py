@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, stored, tidied, with_rows
+from .common import RowNumbers, only, stored, tidied, with_rows
 
 #: Bytes of a text that a splitter holds; the hash behind them orders the rest.
 LEAD = 48
@@ -179,4 +179,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """One document of each group of equal texts, with all its columns; which one, ``exact_groups`` says."""
     own, row = with_rows(docs)
     stays = exact_groups(own, id_column, text, row).where("kept")
-    return own.join(stays.select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
+    return only(own, row, stays.select("row")).select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, dropped, hot_join, kept, stored, tidied, utf8, with_rows
+from .common import RowNumbers, dropped, hot_join, kept, only, stored, tidied, utf8, with_rows
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Points that a shard should hold, and sampled points for each, from which the driver grows the trees.
@@ -332,4 +332,4 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     own, row = with_rows(docs)
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row")).alias("first")
     stays = near_duplicates(own, id_column, text, row=row).groupBy("component").agg(first)
-    return own.join(stays.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return only(own, row, stays.select("first.row")).select(*docs.columns)
