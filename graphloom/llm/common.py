@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -155,15 +154,15 @@ def _marks(folder: str, path: str) -> np.ndarray:
 
 
 def _staying(folder: str, paths, bits: int) -> Callable:
-    @F.pandas_udf("boolean")
-    def stays(rows: pd.Series) -> pd.Series:
-        own = rows.to_numpy()
+    @F.arrow_udf("boolean")
+    def stays(rows: pa.Array) -> pa.Array:
+        own = np.asarray(rows)
         out = np.zeros(len(own), bool)
         for k in np.unique(own >> bits).tolist():
             if k in paths.value:  # of other blocks no row stays
                 here = own >> bits == k
                 out[here] = _marks(folder, paths.value[k])[own[here] & ((1 << bits) - 1)]
-        return pd.Series(out)
+        return pa.array(out)
 
     return stays
 
