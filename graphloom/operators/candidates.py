@@ -21,10 +21,19 @@ from ..storage import stored
 COMMON = 10_000
 
 
+def plain(text: Column) -> Column:
+    """A name without case, punctuation and legal forms; the text in lower case if nothing is left."""
+    return F.coalesce(F.nullif(normalize_entity(text), F.lit("")), F.lower(text))
+
+
+def bare(text: Column) -> Column:
+    """A text without case, spaces and punctuation; in lower case if nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.lower(text), r"[\p{P}\p{Z}\p{C}\s]+", ""), F.lit("")), F.lower(text))
+
+
 def grams(text: Column, size: int = 3) -> Column:
     """The distinct q-grams of a name without case, punctuation and legal forms, its ends marked; of the bare text if nothing is left."""
-    plain = F.coalesce(F.nullif(normalize_entity(text), F.lit("")), F.lower(text))
-    marked = F.concat(F.repeat(F.lit("\x02"), F.lit(size - 1)), plain, F.repeat(F.lit("\x03"), F.lit(size - 1)))
+    marked = F.concat(F.repeat(F.lit("\x02"), F.lit(size - 1)), plain(text), F.repeat(F.lit("\x03"), F.lit(size - 1)))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (size - 1), F.lit(1))), lambda i: F.substr(marked, i, F.lit(size))))
 
 
@@ -48,3 +57,12 @@ def similar_pairs(values: DataFrame, similarity: float = 0.5, size: int = 3) ->
     met = met.where(F.get(F.array_intersect("ga_first", "gb_first"), F.lit(0)) == F.col("gram"))
     shared = F.size(F.array_intersect("ga", "gb"))
     return met.where(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("block", "a", "b")
+
+
+def respelled_pairs(values: DataFrame, similarity: float, size: int = 3) -> DataFrame:
+    """``block, a, b`` with a < b for texts that differ in case, spaces and punctuation only, of those that ``similar_pairs`` leaves out."""
+    side = lambda n: values.select("block", bare(F.col("value")).alias("bare"), plain(F.col("value")).alias(f"p{n}"), F.col("value").alias(n))
+    met = side("a").join(side("b"), ["block", "bare"]).where("a < b and pa <> pb")
+    met = met.select("block", "a", "b", grams(F.col("a"), size).alias("ga"), grams(F.col("b"), size).alias("gb"))
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return met.where(shared < similarity * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("block", "a", "b")

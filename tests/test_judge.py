@@ -84,6 +84,17 @@ def test_copies_follow_the_judge(spark):
     assert got == {"n0": "n0", "n1": "n1", "n2": "n2", "n3": "n2", "n4": "n2", "n5": "n5"}
 
 
+def test_other_spacing_is_asked_about(spark):
+    """Names of the same letters meet however their spaces and punctuation change their q-grams, each pair once."""
+    spelled = ["Ci nci n Que", "Ci n ci nque", "CI - N - CI - NQUE", "The The", "THE - THE", "c", "d++", "...", "- -"]
+    values = spark.createDataFrame([("b", v) for v in spelled], "block string, value string")
+    same = lambda v: re.sub("[- ]", "", v.lower()) or v
+    asked = [(r["a"], r["b"]) for r in g.LLMResolver(None, similarity=0.8).questions(values).collect()]
+    assert sorted(asked) == sorted((a, b) for a in spelled for b in spelled if a < b and same(a) == same(b))
+    found = clusters(nodes(spark, [(f"n{k}", ("t",), v) for k, v in enumerate(spelled)]), g.LLMResolver(lambda a, b: same(a) == same(b), similarity=0.8))
+    assert {r["id"]: r["cid"] for r in found.collect()} == dict(zip([f"n{k}" for k in range(9)], ["n0"] * 3 + ["n3"] * 2 + ["n5", "n6", "n7", "n8"], strict=True))
+
+
 def test_similarity_is_checked(spark):
     with pytest.raises(ValueError, match="similarity"):
         similar_pairs(spark.createDataFrame([], "block string, value string"), 0)
