@@ -10,12 +10,14 @@ import difflib
 import json
 import math
 from collections import Counter, defaultdict, deque
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,10 +328,88 @@ def partners(actual: Sequence[Mapping[str, str]], expected: Sequence[Mapping[str
     yield from zip(waiting, (i for i in range(len(actual)) if free[i]), strict=False)
 
 
-def _partnered(key, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one key's parallel edges, which are in the order of their ids."""
-    a, e = (f.sort_values("id")["attributes"].map(dict).tolist() for f in (actual, expected))
-    return pd.DataFrame([(key[0], a[i], e[j]) for j, i in partners(a, e)], columns=["type", "actual", "expected"])
+#: What edges must share to be parallel.
+KEY = ["type", "source", "target"]
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Whether a row has another key than the one before it."""
+    out = np.ones(rows.num_rows, dtype=bool)
+    out[1:] = False
+    for name in KEY:
+        codes = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def _in_turn(rows: np.ndarray, group: np.ndarray, code: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both sides, the k-th actual and the k-th expected one of each group and code."""
+    order = np.lexsort((rows, side, code, group))
+    g, c, s = group[order], code[order], side[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    turn = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = np.lexsort((s, turn, c, g))
+    order, g, c, s, turn = order[again], g[again], c[again], s[again], turn[again]
+    met = np.flatnonzero((g[1:] == g[:-1]) & (c[1:] == c[:-1]) & (turn[1:] == turn[:-1]) & (s[1:] != s[:-1]))
+    return rows[order[met]], rows[order[met + 1]]
+
+
+def _partnered(rows: pa.Table) -> pa.Table:
+    """The pairs of whole keys' edges, which are in the order of key, side and id.
+
+    Keys whose edges have one attribute at most, and those with one edge on either
+    side, are paired all at once; the others one by one.
+    """
+    group = np.cumsum(_starts(rows)) - 1
+    side = rows.column("side").to_numpy().astype(np.int64)
+    maps = rows.column("attributes").combine_chunks()
+    offsets = maps.offsets.to_numpy()  # into all keys and items, also where rows are a slice
+    n = np.where(maps.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    n_actual, n_expected = (np.bincount(group, weights=side == k, minlength=group[-1] + 1).astype(np.int64) for k in (0, 1))
+    sole = (n_actual == 1) & (n_expected == 1)
+    thin = np.bincount(group, weights=n > 1, minlength=len(sole)) == 0
+    everyone, live = np.arange(len(group)), (n_actual > 0) & (n_expected > 0)
+    at = np.flatnonzero(n == 1)
+    names, values = (f.take(pa.array(offsets[at])).dictionary_encode(null_encoding="encode") for f in (maps.keys, maps.items))
+    one = np.zeros(len(group), dtype=np.int64)  # the attribute of an edge that has one
+    one[at] = names.indices.to_numpy() * np.int64(len(values.dictionary)) + values.indices.to_numpy()
+    found = []
+    left = (live & thin & ~sole)[group]
+    pick = everyone[left & (n == 1)]
+    found.append(_in_turn(pick, group[pick], one[pick], side[pick]))
+    left[np.concatenate(found[0])] = False
+    pick = everyone[left | (live & sole)[group]]
+    found.append(_in_turn(pick, group[pick], np.zeros(len(pick), dtype=np.int64), side[pick]))
+    bounds = np.searchsorted(group, np.arange(len(sole) + 1))
+    for k in np.flatnonzero(live & ~thin & ~sole):
+        low, high = bounds[k], bounds[k + 1]
+        own = [dict(x or ()) for x in maps.slice(low, high - low).to_pylist()]
+        middle = int(n_actual[k])
+        met = np.array([(low + i, low + middle + j) for j, i in partners(own[:middle], own[middle:])], dtype=np.int64).reshape(-1, 2)
+        found.append((met[:, 0], met[:, 1]))
+    a, e = (pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1))
+    return pa.table({"type": rows.column("type").take(e), "actual": maps.take(a), "expected": maps.take(e)})
+
+
+def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``type, actual, expected`` of the pairs of parallel edges, from edges in the order of key, side (0: actual) and id; holds a batch or a key."""
+    held: list[pa.Table] = []  # their last key may go on
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        cut = int(np.flatnonzero(_starts(rows))[-1])
+        if cut:
+            yield from _partnered(pa.concat_tables([*held, rows.slice(0, cut)])).combine_chunks().to_batches()
+            held = [rows.slice(cut)]
+        elif held and _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows.slice(0, 1)]))[1]:
+            yield from _partnered(pa.concat_tables(held)).combine_chunks().to_batches()
+            held = [rows]
+        else:
+            held.append(rows)
+    if held:
+        yield from _partnered(pa.concat_tables(held)).combine_chunks().to_batches()
 
 
 @register_verifier("graph_match")
@@ -354,13 +434,10 @@ class GraphMatch:
     def attribute_rows(self, actual: Graph, expected: Graph) -> DataFrame:
         """``type, attribute, actual, expected`` for each attribute that matched elements should have."""
         nodes = expected.nodes.select("id", F.get("types", F.lit(0)).alias("type"), F.col("attributes").alias("e")).join(actual.nodes.select("id", F.col("attributes").alias("a")), "id")
-        key = ["type", "source", "target"]
-        a, e = actual.edges.select("id", *key, "attributes"), expected.edges.select("id", *key, "attributes")
-        size = e.groupBy(*key).count().where("count = 1").join(a.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1"), key).select(*key)
-        single = e.join(size, key).join(a.select(*key, F.col("attributes").alias("a")), key).select("type", "a", F.col("attributes").alias("e"))
-        more = lambda f: f.join(size, key, "left_anti").select(*(F.col(c).alias(c) for c in ("id", *key, "attributes")))
-        paired = more(a).groupBy(*key).cogroup(more(e).groupBy(*key)).applyInPandas(_partnered, "type string, actual map<string,string>, expected map<string,string>")
-        pairs = nodes.select("type", "a", "e").unionByName(single).unionByName(paired.select("type", F.col("actual").alias("a"), F.col("expected").alias("e")))
+        side = lambda graph, k: graph.edges.select(*KEY, F.lit(k).alias("side"), "id", "attributes")
+        ordered = side(actual, 0).unionByName(side(expected, 1)).repartition(*KEY).sortWithinPartitions(*KEY, "side", F.asc_nulls_last("id"))
+        met = ordered.drop("id").mapInArrow(paired, "type string, actual map<string,string>, expected map<string,string>")
+        pairs = nodes.select("type", "a", "e").unionByName(met.select("type", F.col("actual").alias("a"), F.col("expected").alias("e")))
         return pairs.select("type", "a", F.explode("e").alias("attribute", "expected")).select("type", "attribute", F.col("a")[F.col("attribute")].alias("actual"), "expected")
 
     def attribute_score(self, actual: Graph, expected: Graph, spec: GraphSpec | None, context: VerificationContext | None) -> tuple[float, int]:
