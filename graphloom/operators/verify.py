@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import json_value, normalized, normalized_text, same_value, sequence_ratio
 from ..graph import Graph
 from ..spec import GraphSpec, effective_attributes
+from .batches import starts, whole_keys
 from .context import Registry
 from .validation import validation_issues
 
@@ -332,16 +333,6 @@ def partners(actual: Sequence[Mapping[str, str]], expected: Sequence[Mapping[str
 KEY = ["type", "source", "target"]
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
-    """Whether a row has another key than the one before it."""
-    out = np.ones(rows.num_rows, dtype=bool)
-    out[1:] = False
-    for name in KEY:
-        codes = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-        out[1:] |= codes[1:] != codes[:-1]
-    return out
-
-
 def _in_turn(rows: np.ndarray, group: np.ndarray, code: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of both sides, the k-th actual and the k-th expected one of each group and code."""
     order = np.lexsort((rows, side, code, group))
@@ -361,7 +352,7 @@ def _partnered(rows: pa.Table) -> pa.Table:
     Keys whose edges have one attribute at most, and those with one edge on either
     side, are paired all at once; the others one by one.
     """
-    group = np.cumsum(_starts(rows)) - 1
+    group = np.cumsum(starts(rows, KEY)) - 1
     side = rows.column("side").to_numpy().astype(np.int64)
     maps = rows.column("attributes").combine_chunks()
     offsets = maps.offsets.to_numpy()  # into all keys and items, also where rows are a slice
@@ -394,22 +385,8 @@ def _partnered(rows: pa.Table) -> pa.Table:
 
 def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``type, actual, expected`` of the pairs of parallel edges, from edges in the order of key, side (0: actual) and id; holds a batch or a key."""
-    held: list[pa.Table] = []  # their last key may go on
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if not rows.num_rows:
-            continue
-        cut = int(np.flatnonzero(_starts(rows))[-1])
-        if cut:
-            yield from _partnered(pa.concat_tables([*held, rows.slice(0, cut)])).combine_chunks().to_batches()
-            held = [rows.slice(cut)]
-        elif held and _starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows.slice(0, 1)]))[1]:
-            yield from _partnered(pa.concat_tables(held)).combine_chunks().to_batches()
-            held = [rows]
-        else:
-            held.append(rows)
-    if held:
-        yield from _partnered(pa.concat_tables(held)).combine_chunks().to_batches()
+    for rows in whole_keys(batches, KEY):
+        yield from _partnered(rows).combine_chunks().to_batches()
 
 
 @register_verifier("graph_match")

@@ -531,11 +531,12 @@ def resolve_by_cascade(spark, sf):
 
 def _titles(spark, sf) -> DataFrame:
     """Each document twice: by its first words, and by the same in capitals with other punctuation."""
-    docs = _t(spark, sf, "documents")
-    words = F.slice(F.split(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]+", " "), "^ | $", ""), " "), 1, 4)
-    sides = [("d", F.array_join(words, " ")), ("v", F.upper(F.array_join(words, " - ")))]
-    rows = [docs.select(F.concat(F.lit(p), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.array(F.lit("title")).alias("types"), F.create_map(F.lit("name"), json_text(name)).alias("attributes")) for p, name in sides]
-    return rows[0].unionByName(rows[1])
+    head = F.regexp_extract("text", "^[^A-Za-z]*+((?:[A-Za-z]++[^A-Za-z]*+){0,4})", 1)  # so that no text is gone through to its end
+    words = F.slice(F.split(F.regexp_replace(F.regexp_replace(head, "[^A-Za-z]+", " "), "^ | $", ""), " "), 1, 4)
+    docs = _t(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("number"), words.alias("words"))
+    sides = [("d", F.array_join("words", " ")), ("v", F.upper(F.array_join("words", " - ")))]
+    rows = docs.select(F.explode(F.array(*(F.struct(F.concat(F.lit(p), "number").alias("id"), name.alias("name")) for p, name in sides))).alias("side"))
+    return rows.select("side.id", F.array(F.lit("title")).alias("types"), F.create_map(F.lit("name"), json_text(F.col("side.name"))).alias("attributes"))
 
 
 def _letters(text: str) -> str:

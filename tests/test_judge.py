@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 import graphloom as g
+from graphloom.operators import candidates
 from graphloom.operators.candidates import similar_pairs
 from graphloom.operators.resolution import clusters
 
@@ -55,6 +57,25 @@ def test_pairs_grow_with_matches(spark):
     assert joined == n and found.count() < 1.05 * n
 
 
+@pytest.mark.parametrize(("tile", "short"), [(16, 64), (40, 20), (8_192, 0)])
+def test_lists_split_into_tiles(spark, monkeypatch, tile, short):
+    """The same pairs where lists are dealt out by tiles, and where long texts go without their q-grams."""
+    monkeypatch.setattr(candidates, "TILE", tile)
+    monkeypatch.setattr(candidates, "SHORT", short)
+    own = names(400, 5)
+    want = sorted((a, b) for a, b in combinations(sorted({*own, "  - "}), 2) if len(gram_set(a) & gram_set(b)) >= 0.4 * len(gram_set(a) | gram_set(b)) - 1e-9)
+    got = similar_pairs(spark.createDataFrame([("x", n) for n in {*own, "  - "}], "block string, value string"), 0.4)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want and len(want) > 100
+
+
+def test_names_of_few_syllables(spark):
+    """20,000 names that share most q-grams: 200 million pairs are looked at in batches, none by a join of its own."""
+    syllable = lambda k: F.element_at(F.array(*map(F.lit, "ta ren shi no lum ver ka del ost in".split())), (F.conv(F.substring(F.md5(F.col("id").cast("string")), k, 2), 16, 10).cast("int") % 10 + 1))
+    values = spark.range(20_000).select(F.lit("x").alias("block"), F.concat_ws("", *(F.concat(syllable(k), F.lit(" ")) if k % 6 == 5 else syllable(k) for k in range(1, 17, 2))).alias("value")).distinct()
+    began = time.perf_counter()
+    assert similar_pairs(values, 0.5).count() > 5_000 and time.perf_counter() - began < 120
+
+
 def nodes(spark, rows):
     from graphloom.graph import NODES, attribute_map
 
