@@ -235,8 +235,9 @@ def similar_pairs(values: DataFrame, similarity: float = 0.5, size: int = 3) ->
 
 def respelled_pairs(values: DataFrame, similarity: float, size: int = 3) -> DataFrame:
     """``block, a, b`` with a < b for texts that differ in case, spaces and punctuation only, of those that ``similar_pairs`` leaves out."""
-    side = lambda n: values.select("block", bare(F.col("value")).alias("bare"), plain(F.col("value")).alias(f"p{n}"), F.col("value").alias(n))
+    own = stored(values.where("value is not null").select("block", "value", bare(F.col("value")).alias("bare"), plain(F.col("value")).alias("plain")), "bare")
+    side = lambda n: own.select("block", "bare", F.col("plain").alias(f"p{n}"), F.col("value").alias(n))
     met = side("a").join(side("b"), ["block", "bare"]).where("a < b and pa <> pb")
-    met = met.select("block", "a", "b", grams(F.col("a"), size).alias("ga"), grams(F.col("b"), size).alias("gb"))
+    met = met.select("block", "a", "b", _grams(F.col("pa"), size).alias("ga"), _grams(F.col("pb"), size).alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
-    return met.where(shared < similarity * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("block", "a", "b")
+    return met.where(shared < similarity * (F.size("ga") + F.size("gb") - shared) - SLACK).select("block", "a", "b")
